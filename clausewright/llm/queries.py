@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import format_duplicates
+from . import format_duplicates, near_duplicates
 from .base import table
 
 
@@ -20,6 +20,14 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("req_seq", "n_copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.found(table(spark, sf_dir, "sample_normalized_reqs"))
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.document_links(table(spark, sf_dir, "sample_normalized_reqs"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_links)}
 
 ORACLES: dict[str, str] = {}
