@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import format_duplicates, near_duplicates
+from . import format_duplicates, lookalikes, near_duplicates
 from .base import table
 
 
@@ -28,6 +28,17 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.document_links(table(spark, sf_dir, "sample_normalized_reqs"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_links)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.found(table(spark, sf_dir, "sample_chunks"), table(spark, sf_dir, "sample_normalized_reqs"))
+
+
+def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and quote in its consistent form."""
+    values = lookalikes.values_of(table(spark, sf_dir, "sample_chunks"), "chunk_seq", "text")
+    values = values.unionByName(lookalikes.values_of(table(spark, sf_dir, "sample_normalized_reqs"), "req_seq", "source_quote"))
+    return lookalikes.consistent_column(values).select("field_name", "row_seq", "consistent")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent)}
 
 ORACLES: dict[str, str] = {}
