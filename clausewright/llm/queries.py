@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import format_duplicates, lookalikes, near_duplicates
+from . import format_duplicates, lookalikes, near_duplicates, personal_data
 from .base import table
 
 
@@ -39,6 +39,15 @@ def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent_column(values).select("field_name", "row_seq", "consistent")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.found(table(spark, sf_dir, "documents"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return personal_data.redacted(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent, p9_found, p9_redacted)}
 
 ORACLES: dict[str, str] = {}
