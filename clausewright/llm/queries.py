@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_duplicates, lookalikes, mixing, near_duplicates, packing, personal_data, splitting, truncation
+from . import format_duplicates, lookalikes, mixing, near_duplicates, packing, personal_data, scan_noise, splitting, truncation
 from .base import staged, table
 from .sizes import token_sizes
 
@@ -50,6 +50,16 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.redacted(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.found(*(table(spark, sf_dir, t) for t in ("sample_chunks", "sample_normalized_reqs", "source_manifest")))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value as continuous paragraphs."""
+    values = scan_noise.scanned_values(table(spark, sf_dir, "sample_chunks"), table(spark, sf_dir, "sample_normalized_reqs"))
+    return scan_noise.repaired(values, table(spark, sf_dir, "source_manifest")).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.found(table(spark, sf_dir, "sample_chunks"), table(spark, sf_dir, "size_limits"))
 
@@ -89,7 +99,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p2_found, p2_pieces, p3_found, p3_share_by_source, p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent, p7_packed, p8_mixed, p8_shares, p9_found, p9_redacted,
+    p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_share_by_source, p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent, p7_packed, p8_mixed, p8_shares, p9_found, p9_redacted,
 )}
 
 ORACLES: dict[str, str] = {}

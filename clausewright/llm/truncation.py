@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import staged
+
 _TOKENS = r"regexp_extract_all(regexp_replace(lower({0}), '\\p{{N}}+', '#'), '[\\p{{L}}\\p{{M}}]+|[^\\s\\p{{L}}\\p{{M}}]', 0)"
 
 #: Texts to (core, stop, mark): without cut marks, white space and one final stop.
@@ -34,14 +36,14 @@ grams AS (
     'g1', t[i-1], 'g2', IF(i > 1, concat(t[i-2], ' ', t[i-1]), NULL), 'g3', IF(i > 2, concat(t[i-3], ' ', t[i-2], ' ', t[i-1]), NULL),
     'last', IF(i = size(t), 1L, 0L)))) AS g
   FROM toks WHERE size(t) > 0)
-SELECT g.g3 AS g3, g.g2 AS g2, g.g1 AS g1, count(*) AS n, sum(g.last) AS ends FROM grams GROUP BY 1, 2, 3
+SELECT xxhash64(g.g3) AS h3, xxhash64(g.g2) AS h2, g.g1 AS g1, count(*) AS n, sum(g.last) AS ends FROM grams GROUP BY 1, 2, 3
 """
 )
 
 _SCORES = r"""
 WITH c AS (SELECT * FROM {finals}),
-n3 AS (SELECT g3, sum(n) AS n, sum(ends) AS ends FROM {counts} WHERE g3 IN (SELECT DISTINCT g3 FROM {finals}) GROUP BY g3),
-n2 AS (SELECT g2, sum(n) AS n, sum(ends) AS ends FROM {counts} WHERE g2 IN (SELECT DISTINCT g2 FROM {finals}) GROUP BY g2),
+n3 AS (SELECT h3, sum(n) AS n, sum(ends) AS ends FROM {counts} WHERE h3 IN (SELECT DISTINCT xxhash64(g3) FROM {finals}) GROUP BY h3),
+n2 AS (SELECT h2, sum(n) AS n, sum(ends) AS ends FROM {counts} WHERE h2 IN (SELECT DISTINCT xxhash64(g2) FROM {finals}) GROUP BY h2),
 w AS (SELECT g1, sum(n) AS n, sum(ends) AS ends FROM {counts} GROUP BY g1),
 longer AS (
   SELECT p, sum(n) AS n FROM (SELECT explode(transform(sequence(1, length(g1) - 1), i -> left(g1, i))) AS p, n - ends AS n FROM w WHERE length(g1) > 1)
@@ -53,7 +55,7 @@ SELECT c.*, coalesce(w.n, 0) AS n1, coalesce(longer.n, 0) AS begun,
        WHEN n2.n >= {least} THEN ln((n2.n - n2.ends + 0.5D) / (n2.ends + 0.5D))
        WHEN w.n >= {least} THEN ln((w.n - w.ends + 0.5D) / (w.ends + 0.5D))
        ELSE 0D END AS inside
-FROM c LEFT JOIN n3 ON c.g3 = n3.g3 LEFT JOIN n2 ON c.g2 = n2.g2 LEFT JOIN w ON c.g1 = w.g1 LEFT JOIN longer ON c.g1 = longer.p
+FROM c LEFT JOIN n3 ON c.g3 IS NOT NULL AND xxhash64(c.g3) = n3.h3 LEFT JOIN n2 ON c.g2 IS NOT NULL AND xxhash64(c.g2) = n2.h2 LEFT JOIN w ON c.g1 = w.g1 LEFT JOIN longer ON c.g1 = longer.p
 """
 
 
@@ -65,7 +67,7 @@ def scored(failures: DataFrame, others: DataFrame, least: int = 20) -> DataFrame
     """
     spark = failures.sparkSession
     f = failures.selectExpr("failure_seq", "doc_key", "quote AS q", "word_count", "ends_colon")
-    counts = spark.sql(_COUNTS, failures=f.select("q"), others=others.selectExpr("source_quote AS q"))
+    counts = staged(spark.sql(_COUNTS, failures=f.select("q"), others=others.selectExpr("source_quote AS q")), "trigrams")
     cores = spark.sql(_CORES, src=f)
     t = _TOKENS.format("core")
     finals = cores.selectExpr("*", f"{t} AS t").selectExpr(
