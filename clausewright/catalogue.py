@@ -1,4 +1,880 @@
-"""Named queries of the core operators and the SQL each is compared with."""
+"""Named queries of the core operators over the test tables, and the SQL of each.
 
-QUERIES = {}
-ORACLES = {}
+A query without SQL uses something SQL cannot say (fuzzy ratios, order-dependent folds,
+assignment, tolerant JSON); those are tested against brute force in ``tests``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import ids as I
+from .functions import model_json
+from .functions import text as T
+from .operators import chunks as C
+from .operators import evaluation as E
+from .operators import gate as G
+from .operators import requirements as Q
+from .operators import retrieval as R
+from .operators import runs as U
+from .operators import sections as S
+from .operators import services as V
+from .operators import stems as M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SKIPS = ["GLOSSARY", "REFERENCES", "Shared", "Weekly"]
+TAGS = ["access-control", "network-security", "privacy", "risk-management", "audit-and-logging"]
+TYPES = ["policy", "technical-control", "procedural-control", "assessment", "guidance"]
+TERMS = ["token retirement accordance", "quarterly keyring", "compressed visa approver", "harbor supervisor writing"]
+FLOORS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reqs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "sample_normalized_reqs")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "sample_chunks")
+
+
+# ---- SQL pieces of the comparison engine -----------------------------------------
+_SP = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), 'ς', 'σ'), '{_SP}+', ' ', 'g'))"
+
+
+_HEAD = r"^(?i:(?:appendix|attachment|annex|section|chapter|part|addendum|enclosure|exhibit)\s+[\w.-]+\s*[-–—:.]?\s*|\d+(?:\.\d+)*\.?\s+|[a-z]\.\s+)"
+
+
+def _heading(x: str) -> str:
+    return f"trim(regexp_replace({_norm(x)}, '{_HEAD}', ''))"
+
+
+def _list(values: list) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values)
+
+
+_LATEST = "(SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_seq DESC) AS _n FROM sample_chunks) WHERE _n = 1)"
+_DEDUP = (
+    "(SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, "
+    + _norm("coalesce(source_ref, '')")
+    + ", "
+    + _norm("coalesce(source_quote, '')")
+    + " ORDER BY coalesce(confidence, 0) * 1000 - length(coalesce(source_quote, '')) DESC, req_seq) AS _n FROM sample_normalized_reqs) WHERE _n = 1)"
+)
+
+
+def _sigma(c):
+    return F.translate(c, "ς", "σ")
+
+
+# ---- text and identifiers ---------------------------------------------------------
+@query(f"SELECT req_seq, sha256({_norm('source_quote')}) AS quote_hash FROM sample_normalized_reqs WHERE source_quote IS NOT NULL")
+def normalize_text_hash(spark, d):
+    return reqs(spark, d).where("source_quote is not null").select("req_seq", F.sha2(_sigma(T.normalize_text(F.col("source_quote"))), 256).alias("quote_hash"))
+
+
+_SID = (
+    "WITH n AS (SELECT req_seq, document_id, chunk_id, requirement_type, "
+    + ", ".join(f"{_norm(f'''coalesce({c}, '')''')} AS {a}" for c, a in (("source_ref", "r"), ("source_quote", "q"), ("description", "de")))
+    + " FROM sample_normalized_reqs WHERE coalesce(source_quote,'') NOT LIKE '%Σ%') SELECT req_seq, 'REQ-' || substr(sha256(CASE WHEN q <> '' AND r <> '' THEN concat_ws(':', document_id, r, q) WHEN q <> '' THEN concat_ws(':', document_id, q)"
+    " ELSE concat_ws(':', document_id, coalesce(CAST(chunk_id AS VARCHAR), 'None'), coalesce(requirement_type, ''), de) END), 1, 12) AS stable_id FROM n"
+)
+
+
+@query(_SID.replace(" WHERE coalesce(source_quote,'') NOT LIKE '%Σ%'", "").replace("replace(lower(", "(lower(").replace(", 'ς', 'σ')", ")"))
+def stable_id_cascade(spark, d):
+    return Q.fresh_ids(reqs(spark, d)).select("req_seq", "stable_id")
+
+
+@query("SELECT document_id, source_ref, 'CHK-' || substr(sha256(string_agg(requirement_id, '|' ORDER BY requirement_id)), 1, 16) AS item_id FROM (SELECT DISTINCT document_id, source_ref, requirement_id FROM sample_normalized_reqs) GROUP BY ALL")
+def checklist_item_id(spark, d):
+    g = reqs(spark, d).groupBy("document_id", "source_ref").agg(F.collect_set("requirement_id").alias("ids"))
+    return g.select("document_id", "source_ref", I.checklist_item_id(F.col("ids")).alias("item_id"))
+
+
+@query(
+    f"""WITH h AS (SELECT chunk_seq, sha1(unhex('{I.URL_NAMESPACE}') || encode(document_id || ':' || chunk_id)) AS h FROM sample_chunks)
+SELECT chunk_seq, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h,17,1)), 1)||substr(h,18,3)||'-'||substr(h,21,12) AS point_id FROM h"""
+)
+def uuid5_point_id(spark, d):
+    return chunks(spark, d).select("chunk_seq", I.uuid5(F.concat_ws(":", "document_id", F.col("chunk_id").cast("string"))).alias("point_id"))
+
+
+_CRUMB = "CASE WHEN len(coalesce(section_title_path, [])) > 0 THEN array_to_string(section_title_path, ' > ') ELSE coalesce(parent_header_text, '') END"
+_PROMPT = f"CASE WHEN {_CRUMB} <> '' THEN '[' || {_CRUMB} || ']' || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END"
+
+
+@query(f"SELECT chunk_seq, {_CRUMB} AS breadcrumb, sha256({_PROMPT}) AS prompt_hash FROM sample_chunks")
+def chunk_breadcrumb_text(spark, d):
+    return C.prompts(chunks(spark, d)).select("chunk_seq", "breadcrumb", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query(f"WITH p AS (SELECT chunk_seq, ingested_at, substr(sha256({_PROMPT}), 1, 16) AS h FROM sample_chunks) SELECT chunk_seq, h AS prompt_hash FROM p WHERE h NOT IN (SELECT h FROM p WHERE ingested_at < TIMESTAMP '2025-07-01')")
+def prompt_hash_cache_miss(spark, d):
+    """Chunks that a cache of all prompts seen before July does not hold."""
+    p = C.prompts(chunks(spark, d)).select("chunk_seq", "ingested_at", I.prompt_hash(F.col("prompt")).alias("prompt_hash"))
+    cache = p.where("ingested_at < timestamp_ntz'2025-07-01'").select("prompt_hash").distinct()
+    return p.join(cache, "prompt_hash", "left_anti").select("chunk_seq", "prompt_hash")
+
+
+_REFS = [
+    r"\b[A-Z]{2,4}-\d+(?:\([a-zA-Z0-9]+\))+|\b[A-Z]{2,4}-\d+\b",
+    r"\b(?i:Section|Sec\.)\s+\d+(?:\.\d+)*",
+    r"\b(?i:Para(?:graph)?)\s+\d+(?:\.\d+)*",
+    r"\b\d+\.\d+(?:\.\d+)+\b",
+]
+
+
+@query(
+    "WITH f AS (SELECT chunk_seq, list_filter("
+    + " || ".join(f"regexp_extract_all(text, '{p}')" for p in _REFS)
+    + r""", lambda r: NOT (regexp_full_match(r, '\d+(\.\d+){3}') AND len(list_filter(string_split(r, '.'), lambda p: TRY_CAST(p AS INT) > 255)) = 0)) AS l FROM sample_chunks WHERE text IS NOT NULL),
+u AS (SELECT chunk_seq, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM f), o AS (SELECT chunk_seq, r, min(i) AS i FROM u GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY chunk_seq ORDER BY i) AS n FROM o) SELECT chunk_seq, string_agg(r, ',' ORDER BY encode(r)) AS refs FROM k WHERE n <= 20 GROUP BY chunk_seq"""
+)
+def source_ref_scan(spark, d):
+    refs = F.array_join(T.scan_source_refs(F.col("text")), ",")
+    return chunks(spark, d).where("text is not null").select("chunk_seq", refs.alias("refs")).where("refs <> ''")
+
+
+@query(f"SELECT DISTINCT requirement_type, translate(lower({_strip('requirement_type')}), ' _', '--') AS value FROM sample_normalized_reqs")
+def filter_value_normalize(spark, d):
+    return reqs(spark, d).select("requirement_type", T.normalize_filter_value(F.col("requirement_type")).alias("value")).distinct()
+
+
+_TITLES = "SELECT DISTINCT t FROM (SELECT unnest(section_title_path) AS t FROM sample_chunks UNION ALL SELECT string_split(text, chr(10))[1] FROM sample_chunks WHERE text IS NOT NULL)"
+
+
+def _titles(spark, d):
+    c = chunks(spark, d)
+    return c.select(F.explode("section_title_path").alias("t")).unionByName(c.where("text is not null").select(F.split("text", "\n")[0].alias("t"))).distinct()
+
+
+@query(f"SELECT t, {_heading('t')} AS heading FROM ({_TITLES}) WHERE t IS NOT NULL")
+def heading_normalize(spark, d):
+    return _titles(spark, d).where("t is not null").select("t", _sigma(T.normalize_heading(F.col("t"))).alias("heading"))
+
+
+_NUM = r"^(?i:([a-z]?\d+(?:\.\d+)*))"
+_KW = r"^(?i:(section|enclosure|appendix|annex|attachment)\s+(\w+))"
+
+
+def _depth_ref(x: str) -> tuple[str, str]:
+    t = _strip(x)
+    num = f"regexp_extract({t}, '{_NUM}', 1)"
+    depth = f"length({num}) - length(replace({num}, '.', '')) + 1"
+    return depth, f"CASE WHEN {num} <> '' THEN {num} WHEN regexp_matches({t}, '{_KW}') THEN upper(regexp_extract({t}, '{_KW}', 1) || '-' || regexp_extract({t}, '{_KW}', 2)) ELSE '' END"
+
+
+@query(f"SELECT t, {_depth_ref('t')[0]} AS depth, {_depth_ref('t')[1]} AS ref FROM ({_TITLES}) WHERE t IS NOT NULL")
+def heading_depth_ref(spark, d):
+    t = F.col("t")
+    return _titles(spark, d).where("t is not null").select("t", T.heading_depth(t).alias("depth"), T.section_ref(t).alias("ref"))
+
+
+# ---- sections and chunks ----------------------------------------------------------
+_ITEMS = f"""items AS (
+  SELECT document_id, chunk_id * 2 AS item_seq, section_ref_path[-1] || '. ' || section_title_path[-1] AS heading FROM {_LATEST} WHERE len(section_ref_path) > 0 AND chunk_id IS NOT NULL
+  UNION ALL SELECT document_id, chunk_id * 2 + 1, NULL FROM {_LATEST} WHERE chunk_id IS NOT NULL)"""
+
+
+def _items(spark, d):
+    c = C.latest_delivery(chunks(spark, d)).where("chunk_id is not null")
+    heads = c.where("size(section_ref_path) > 0").select("document_id", (F.col("chunk_id") * 2).alias("item_seq"), F.concat(F.element_at("section_ref_path", -1), F.lit(". "), F.element_at("section_title_path", -1)).alias("heading"))
+    return heads.unionByName(c.select("document_id", (F.col("chunk_id") * 2 + 1).alias("item_seq"), F.lit(None).cast("string").alias("heading")))
+
+
+_K = range(1, 7)
+
+
+@query(
+    f"WITH {_ITEMS}, d AS (SELECT *, least({_depth_ref('heading')[0]}, 6) AS depth FROM items),\nl AS (SELECT *, "
+    + ", ".join(f"last_value(CASE WHEN depth = {k} THEN {{'at': item_seq, 'title': heading, 'ref': {_depth_ref('heading')[1]}}} END IGNORE NULLS) OVER w AS l{k}" for k in _K)
+    + " FROM d WINDOW w AS (PARTITION BY document_id ORDER BY item_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),\np AS (SELECT document_id, item_seq, list_filter(["
+    + ", ".join("CASE WHEN l{0} IS NOT NULL AND (depth IS NULL OR depth > {0}){1} THEN l{0} END".format(k, "".join(f" AND coalesce(l{j}.at, -1) < l{k}.at" for j in range(1, k))) for k in _K)
+    + "], lambda x: x IS NOT NULL) AS path FROM l) SELECT document_id, item_seq, array_to_string(list_transform(path, lambda x: x['ref']), '>') AS refs, array_to_string(list_transform(path, lambda x: x['title']), '>') AS titles, CASE WHEN len(path) > 1 THEN path[-2]['title'] END AS parent_header_text FROM p"
+)
+def section_ancestry(spark, d):
+    a = S.ancestry(_items(spark, d))
+    return a.select("document_id", "item_seq", F.array_join("section_ref_path", ">").alias("refs"), F.array_join("section_title_path", ">").alias("titles"), "parent_header_text")
+
+
+@query(
+    """WITH p AS (SELECT document_id, unnest(list_zip(section_ref_path[:-2], section_ref_path[2:])) AS x FROM sample_normalized_reqs WHERE len(section_ref_path) > 1),
+e AS (SELECT DISTINCT document_id, x[1] AS parent, x[2] AS child FROM p WHERE x[1] <> '' AND x[2] <> '') SELECT document_id, parent, string_agg(child, ',' ORDER BY encode(child)) AS children FROM e GROUP BY ALL"""
+)
+def section_children(spark, d):
+    return S.children(reqs(spark, d), "section_ref_path", "document_id").select("document_id", "parent", F.array_join("child_section_refs", ",").alias("children"))
+
+
+@query(
+    f"""WITH n AS (SELECT document_id, section_ref_path[-1] AS ref, text, row_number() OVER (PARTITION BY document_id, section_ref_path[-1] ORDER BY chunk_id) AS n FROM {_LATEST} WHERE {_strip("coalesce(text, '')")} <> '' AND len(section_ref_path) > 0)
+SELECT document_id, ref, substr(string_agg(text, ' ' ORDER BY n), 1, 600) AS body_preview FROM n WHERE n <= 5 GROUP BY ALL"""
+)
+def section_bodies(spark, d):
+    c = C.latest_delivery(chunks(spark, d)).where("size(section_ref_path) > 0").withColumn("ref", F.element_at("section_ref_path", -1))
+    return S.bodies(c, ["document_id", "ref"], "chunk_id", "text")
+
+
+@query(f"SELECT document_id, array_to_string(arg_max(section_ref_path, {{'n': len(section_ref_path), 's': chunk_seq}}), '>') AS path FROM sample_chunks WHERE section_ref_path IS NOT NULL GROUP BY document_id")
+def deepest_ancestry(spark, d):
+    return S.deepest(chunks(spark, d).where("section_ref_path is not null"), ["document_id"], "chunk_seq", "section_ref_path").select("document_id", F.array_join("section_ref_path", ">").alias("path"))
+
+
+def _toc(leader: str) -> str:
+    lines = f"list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: {_strip('l')} <> '')"
+    return f"len(list_filter({lines}, lambda l: regexp_matches(l, '{leader}'))) * 1.0 / nullif(len({lines}), 0)"
+
+
+@query(f"SELECT chunk_seq, coalesce({_toc('[0-9]')}, 0) > 0.4 AS numbers, coalesce({_toc('[.]{5,}')}, 0) > 0.4 AS leaders FROM sample_chunks WHERE text IS NOT NULL")
+def toc_line_ratio(spark, d):
+    t = F.col("text")
+    return chunks(spark, d).where("text is not null").select("chunk_seq", T.is_toc_text(t, "[0-9]").alias("numbers"), T.is_toc_text(t).alias("leaders"))
+
+
+_SKIP = f"len(list_filter(coalesce(section_title_path, []), lambda h: {' OR '.join(f'''starts_with({_heading('h')}, '{s.lower()}')''' for s in SKIPS)})) > 0"
+
+
+@query(f"SELECT chunk_seq FROM sample_chunks WHERE {_SKIP}")
+def skip_section_filter(spark, d):
+    return chunks(spark, d).where(T.in_skipped_section(F.col("section_title_path"), SKIPS)).select("chunk_seq")
+
+
+@query(f"SELECT chunk_seq, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) - 1 AS chunk_no FROM {_LATEST} WHERE {_strip("coalesce(text, '')")} <> '' AND NOT coalesce({_toc('[.]{5,}')}, 0) > 0.4 AND NOT ({_SKIP})")
+def chunk_numbering(spark, d):
+    return C.numbered(C.kept(C.latest_delivery(chunks(spark, d)), SKIPS)).select("chunk_seq", "chunk_no")
+
+
+@query("SELECT source_pdf, coalesce(min(CASE WHEN page_start > 0 THEN page_start END), 1) AS page_start, coalesce(max(CASE WHEN page_start > 0 THEN page_start END), 1) AS page_end FROM sample_chunks GROUP BY source_pdf")
+def chunk_page_range(spark, d):
+    return C.page_range(chunks(spark, d), ["source_pdf"], "page_start")
+
+
+@query("SELECT req_seq, CASE WHEN source_ref IS NULL OR row_number() OVER (PARTITION BY document_id, source_ref ORDER BY req_seq) = 1 THEN source_quote ELSE '' END AS emitted FROM sample_normalized_reqs WHERE source_quote LIKE 'Control:%'")
+def table_emit_once(spark, d):
+    return C.emit_once(reqs(spark, d).where("source_quote like 'Control:%'"), "document_id", "source_ref", "req_seq", "source_quote").select("req_seq", "emitted")
+
+
+@query("SELECT count(*) AS chunks, round(avg(length(coalesce(text, ''))), 1) AS avg_chars, min(length(coalesce(text, ''))) AS min_chars, max(length(coalesce(text, ''))) AS max_chars, round(100 * avg(CASE WHEN len(coalesce(section_title_path, [])) > 0 THEN 1 ELSE 0 END), 1) AS breadcrumb_pct FROM sample_chunks")
+def chunk_size_stats(spark, d):
+    return C.size_stats(chunks(spark, d))
+
+
+@query("SELECT chunk_seq, CASE WHEN page_start IS NULL THEN '' WHEN page_end > page_start THEN 'pp. ' || page_start || '–' || page_end ELSE 'p. ' || page_start END AS label, CASE WHEN page_start IS NULL THEN '' WHEN page_end > page_start THEN array_to_string(generate_series(page_start, page_end), ',') ELSE CAST(page_start AS VARCHAR) END AS pages FROM sample_chunks")
+def page_refs_label(spark, d):
+    a, b = F.col("page_start"), F.col("page_end")
+    return chunks(spark, d).select("chunk_seq", T.page_label(a, b).alias("label"), F.array_join(T.page_refs(a, b).cast("array<string>"), ",").alias("pages"))
+
+
+_LIG = "source_quote"
+for _a, _b in T.LIGATURES.items():
+    _LIG = f"replace({_LIG}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT req_seq, {_LIG} AS repaired, length(source_quote) - length(regexp_replace(source_quote, '[{''.join(T.LIGATURES)}]', '', 'g')) AS n FROM sample_normalized_reqs WHERE source_quote IS NOT NULL")
+def ligature_repair(spark, d):
+    q = F.col("source_quote")
+    return reqs(spark, d).where("source_quote is not null").select("req_seq", T.ligatures_repaired(q).alias("repaired"), T.ligature_count(q).alias("n"))
+
+
+# ---- requirements -----------------------------------------------------------------
+@query(
+    f"SELECT req_seq, array_to_string(list_filter(list_transform(coalesce(domain_tags, []), lambda t: lower({_strip('t')})), lambda t: t IN ({_list(TAGS)})), ',') AS tags, CASE WHEN lower({_strip("coalesce(requirement_type, '')")}) IN ({_list(TYPES)}) THEN lower({_strip("coalesce(requirement_type, '')")}) ELSE '' END AS requirement_type FROM sample_normalized_reqs WHERE {_strip("coalesce(source_quote, '')")} <> ''"
+)
+def pass1_validate(spark, d):
+    return Q.pass1(reqs(spark, d), TAGS, TYPES).select("req_seq", F.array_join("domain_tags", ",").alias("tags"), "requirement_type")
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{_SP}+'), lambda w: w <> '')"
+
+
+_EDGE = "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
+_DANG = f"(NOT contains({_strip('q')}, '?') AND lower(regexp_replace(coalesce({_words(_strip('q'))}[1], ''), '{_EDGE}', '', 'g')) IN ('is', 'are', 'was', 'were'))"
+_RULES = f"""CASE WHEN {_strip('q')} = '' THEN 'empty_source_quote' WHEN ends_with({_strip('q')}, ':') THEN 'unrepairable_fragment'
+  WHEN {_DANG} AND {_strip("coalesce(h, '')")} = '' THEN 'dangling_clause' WHEN starts_with({_norm('de')}, 'not explicitly stated') THEN 'not_actionable'
+  WHEN starts_with({_norm('de')}, 'change ') AND (contains({_norm('de')}, ' to ') OR contains({_norm('de')}, ' from ')) AND length({_norm('de')}) < 100 THEN 'errata_change_entry' END"""
+_JOINED = f"SELECT r.req_seq, coalesce(source_quote, '') AS q, coalesce(description, '') AS de, c.parent_header_text AS h FROM sample_normalized_reqs r LEFT JOIN {_LATEST} c ON r.document_id = c.document_id AND r.chunk_id = c.chunk_id"
+
+
+def _joined(spark, d):
+    return Q.with_chunks(reqs(spark, d), C.latest_delivery(chunks(spark, d)))
+
+
+@query(f"SELECT req_seq, {_RULES} AS error FROM ({_JOINED}) WHERE NOT regexp_matches(q, '(?i)as defined in')")
+def validation_rules(spark, d):
+    """The rules that need no fuzzy ratio; rows with a definitional opener are in ``validation_cascade``."""
+    return _joined(spark, d).where(~F.coalesce("source_quote", F.lit("")).rlike("(?i)as defined in")).select("req_seq", Q.first_error().alias("error"))
+
+
+@query()
+def validation_cascade(spark, d):
+    return Q.validated(_joined(spark, d)).select("req_seq", "error", F.round("grounding_score", 4).alias("grounding_score"))
+
+
+@query()
+def normalization_failures(spark, d):
+    v = Q.validated(_joined(spark, d)).where("error is not null")
+    return v.select("requirement_id", "chunk_id", "error", F.to_json(F.struct("req_seq", "source_quote", "source_ref", "description")).alias("raw"))
+
+
+_CONF = f"(100 - CASE WHEN len(coalesce(domain_tags, [])) = 0 THEN 20 ELSE 0 END - CASE WHEN {_strip("coalesce(source_quote, '')")} = '' THEN 20 ELSE 0 END - CASE WHEN length(coalesce(description, '')) < 20 THEN 10 ELSE 0 END - CASE WHEN {_strip("coalesce(source_ref, '')")} = '' THEN 10 ELSE 0 END) / 100.0"
+
+
+@query(f"SELECT req_seq, CAST({_CONF} AS DOUBLE) AS confidence FROM sample_normalized_reqs")
+def confidence_score(spark, d):
+    return reqs(spark, d).select("req_seq", Q.confidence().alias("confidence"))
+
+
+@query(f"SELECT req_seq, document_id, source_ref, source_quote, confidence FROM {_DEDUP}")
+def dedup_requirements(spark, d):
+    return Q.deduplicated(reqs(spark, d)).select("req_seq", "document_id", "source_ref", "source_quote", "confidence")
+
+
+@query()
+def dedup_general_fold(spark, d):
+    return Q.fold_duplicates(reqs(spark, d))
+
+
+@query(f"SELECT r.req_seq, c.page_start AS chunk_page_start, c.page_end AS chunk_page_end, c.document_id IS NOT NULL AS chunk_known, length(coalesce(c.text, '')) * CASE WHEN c.document_id IS NULL THEN NULL ELSE 1 END AS chunk_chars FROM sample_normalized_reqs r LEFT JOIN {_LATEST} c ON r.document_id = c.document_id AND r.chunk_id = c.chunk_id")
+def requirement_page_hierarchy_join(spark, d):
+    return _joined(spark, d).select("req_seq", "chunk_page_start", "chunk_page_end", "chunk_known", F.length("chunk_text").alias("chunk_chars"))
+
+
+@query(f"WITH k AS ({ORACLES['section_children']}) SELECT r.req_seq, k.children FROM sample_normalized_reqs r LEFT JOIN k ON r.document_id = k.document_id AND r.section_ref_path[-1] = k.parent")
+def requirement_children_join(spark, d):
+    k = section_children(spark, d).withColumnRenamed("parent", "last_ref")
+    return reqs(spark, d).withColumn("last_ref", F.try_element_at("section_ref_path", F.lit(-1))).join(k, ["document_id", "last_ref"], "left").select("req_seq", "children")
+
+
+@query()
+def parent_stems(spark, d):
+    return M.with_stems(reqs(spark, d), C.latest_delivery(chunks(spark, d))).select("req_seq", "parent_stem", "embedding_text")
+
+
+def _stem(x: str) -> str:
+    t = _strip(f"coalesce({x}, '')")
+    u = f"replace({t}, '://', chr(1) || chr(1) || chr(1))"
+    return f"CASE WHEN {t} = '' THEN NULL WHEN instr({u}, ':') > 0 THEN {_strip(f'substr({t}, 1, instr({u}, {chr(39)}:{chr(39)}))')} WHEN regexp_matches({t}, '^\\(?[a-zA-Z0-9]{{1,3}}[.)]\\s') OR starts_with({t}, '-') THEN NULL WHEN NOT regexp_matches({t}, '[.!?,;]$') THEN {t} END"
+
+
+@query(f"SELECT req_seq, last_value(s IGNORE NULLS) OVER (PARTITION BY document_id, chunk_id ORDER BY req_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stem FROM (SELECT req_seq, document_id, chunk_id, {_stem('source_quote')} AS s FROM sample_normalized_reqs)")
+def parent_stem_same_chunk(spark, d):
+    w = W.partitionBy("document_id", "chunk_id").orderBy("req_seq").rowsBetween(W.unboundedPreceding, -1)
+    return reqs(spark, d).withColumn("s", M.stem_of(F.col("source_quote"))).select("req_seq", F.last("s", True).over(w).alias("stem"))
+
+
+@query("SELECT req_seq, CASE WHEN coalesce(source_quote, '') = '' THEN NULL ELSE source_quote || CASE WHEN coalesce(source_ref, '') <> '' THEN chr(10) || 'Ref: ' || source_ref ELSE '' END END AS embedding_text FROM sample_normalized_reqs")
+def embedding_text(spark, d):
+    return reqs(spark, d).select("req_seq", T.embedding_text(F.lit(None).cast("string"), F.col("source_quote"), F.col("source_ref")).alias("embedding_text"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT requirement_id FROM sample_normalized_reqs WHERE extraction_model = 'local-small' AND (coalesce(description,'') <> '' OR len(coalesce(domain_tags, [])) > 0 OR coalesce(requirement_type,'') <> ''))
+SELECT r.req_seq, c.requirement_id IS NOT NULL AS enriched FROM sample_normalized_reqs r LEFT JOIN c USING (requirement_id)"""
+)
+def enrichment_merge(spark, d):
+    """Which rows a cache of one model's answers fills; the others are still to enrich."""
+    r = reqs(spark, d)
+    return G.merged(r, r.withColumn("enrichment_model", F.col("extraction_model")), "local-small").select("req_seq", "enriched")
+
+
+_MODAL = f"(?:^|[^a-z0-9_])(?:{'|'.join(G.MODALS)})(?:$|[^a-z0-9_])"
+
+
+def _governed(x: str) -> str:
+    verbs = "|".join(f for fs in G.VERBS.values() for f in fs)
+    tied = "|".join([m for m in G.MODALS if m.endswith(" to")] + [f"{n} to" for n in G.NOUNS])
+    free = f"regexp_matches(regexp_replace({_norm(x)}, '\\bto (?:{verbs})\\b', ' ', 'g'), '\\b(?:{verbs})\\b')"
+    return f"({free} OR regexp_matches({_norm(x)}, '\\b(?:{tied}) (?:{verbs})\\b'))"
+
+
+@query(f"SELECT req_seq, regexp_matches({_norm('source_quote')}, '\\b(?:{'|'.join(G.MODALS)})\\b') AS modal, regexp_matches({_norm('source_quote')}, '\\b(?:{'|'.join(G.MODALS)})\\b') OR {_governed('source_quote')} AS obligation FROM sample_normalized_reqs WHERE source_quote IS NOT NULL")
+def obligation_flags(spark, d):
+    q = F.col("source_quote")
+    return reqs(spark, d).where("source_quote is not null").select("req_seq", G.has_modal(q).alias("modal"), G.has_obligation(q).alias("obligation"))
+
+
+def _obl(x: str) -> str:
+    return f"(regexp_matches({_norm(x)}, '\\b(?:{'|'.join(G.MODALS)})\\b') OR {_governed(x)})"
+
+
+@query(
+    f"SELECT req_seq, coalesce(source_quote, '') <> '' AND coalesce(description, '') <> '' AND {_norm('description')} <> {_norm('source_quote')} AND NOT {_obl('source_quote')} AND {_obl('description')} AS rejected FROM sample_normalized_reqs WHERE source_quote IS NOT NULL AND description IS NOT NULL"
+)
+def description_gate(spark, d):
+    g = G.gated(reqs(spark, d).where("source_quote is not null and description is not null"))
+    return g.select("req_seq", (F.size("gate_errors") > 0).alias("rejected"))
+
+
+@query(
+    f"""WITH v AS (SELECT r.* FROM sample_normalized_reqs r JOIN ({ORACLES['validation_rules']}) e USING (req_seq) WHERE e.error IS NULL), f AS (SELECT count(*) AS failures FROM ({ORACLES['validation_rules']}) WHERE error IS NOT NULL), c AS (SELECT count(*) AS chunks, sum(length(coalesce(text, ''))) AS chars FROM {_LATEST}),
+a AS (SELECT count(*) AS requirements, coalesce(round(avg(confidence), 3), 0) AS avg_confidence, count(DISTINCT nullif({_strip('source_ref')}, '')) AS distinct_refs, count(DISTINCT CASE WHEN document_id IS NOT NULL AND chunk_id IS NOT NULL THEN (document_id, chunk_id) END) AS covered FROM v)
+SELECT requirements, failures, requirements + failures AS requirements_before, chunks, avg_confidence, distinct_refs, round(covered * 100.0 / chunks, 1) AS coverage_pct, round(requirements * 1000.0 / chars, 3) AS per_1000_chars, round(requirements * 100.0 / (requirements + failures), 1) AS success_pct FROM a, f, c"""
+)
+def stats_summary(spark, d):
+    v = _joined(spark, d).where(~F.coalesce("source_quote", F.lit("")).rlike("(?i)as defined in")).withColumn("error", Q.first_error())
+    return Q.stats(v.where("error is null"), v.where("error is not null"), C.latest_delivery(chunks(spark, d)))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(domain_tags) AS tag FROM sample_normalized_reqs) GROUP BY tag")
+def tag_histogram(spark, d):
+    return Q.tag_histogram(reqs(spark, d))
+
+
+@query("SELECT coalesce(requirement_type, 'unknown') AS requirement_type, count(*) AS n FROM sample_normalized_reqs GROUP BY 1")
+def type_histogram(spark, d):
+    return Q.type_histogram(reqs(spark, d))
+
+
+@query("SELECT source_pdf, count(*) AS n_reqs, count(DISTINCT document_id) AS n_docs, grouping(source_pdf) AS is_total FROM sample_normalized_reqs GROUP BY ROLLUP (source_pdf)")
+def corpus_docs_rollup(spark, d):
+    return reqs(spark, d).rollup("source_pdf").agg(F.count("*").alias("n_reqs"), F.countDistinct("document_id").alias("n_docs"), F.grouping("source_pdf").cast("int").alias("is_total"))
+
+
+@query("SELECT m.framework, m.document_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, max(coalesce(m.authority_weight, 1)) AS weight FROM sample_normalized_reqs r LEFT JOIN source_manifest m USING (source_pdf) GROUP BY ALL")
+def corpus_analyze_pct(spark, d):
+    m = F.broadcast(_t(spark, d, "source_manifest").select("source_pdf", "framework", "document_type", F.coalesce("authority_weight", F.lit(1)).alias("w")))
+    g = reqs(spark, d).join(m, "source_pdf", "left").groupBy("framework", "document_type").agg(F.count("*").alias("n"), F.coalesce(F.max("w"), F.lit(1)).alias("weight"))
+    return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 4)).select("framework", "document_type", "n", "pct", "weight")
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT regexp_replace(source_pdf, '(?i)\\.pdf$', '') AS stem FROM sample_normalized_reqs WHERE source_pdf IS NOT NULL) SELECT stem, arg_min(doc_key, {'o': doc_key, 'k': doc_key}) AS registry_key FROM s LEFT JOIN source_manifest m ON contains(lower(stem), lower(doc_key)) OR contains(lower(doc_key), lower(stem)) GROUP BY stem"
+)
+def authority_containment_join(spark, d):
+    s = reqs(spark, d).where("source_pdf is not null").select(F.regexp_replace("source_pdf", r"(?i)\.pdf$", "").alias("stem")).distinct()
+    return U.containment_match(s, _t(spark, d, "source_manifest"), "stem", "doc_key", "doc_key")
+
+
+_FILES = "SELECT user_id AS doc_key, 'run_' || strftime(ts, '%Y%m%d') || '_000000' AS run_dir, CASE event_type WHEN 'click' THEN 'gated' WHEN 'view' THEN 'normalized' ELSE 'enriched' END AS tier, ts AS mtime FROM events"
+
+
+def _files(spark, d):
+    e = _t(spark, d, "events")
+    tier = F.when(F.col("event_type") == "click", "gated").when(F.col("event_type") == "view", "normalized").otherwise("enriched")
+    return e.select(F.col("user_id").alias("doc_key"), F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd"), F.lit("_000000")).alias("run_dir"), tier.alias("tier"), F.col("ts").alias("mtime"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_key, run_dir, max(CASE WHEN tier = 'normalized' THEN mtime END) AS n, max(CASE WHEN tier = 'enriched' THEN mtime END) AS e, max(CASE WHEN tier = 'gated' THEN mtime END) AS g FROM ({_FILES}) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY greatest(n, e, g) DESC, run_dir DESC) AS k FROM w)
+SELECT doc_key, run_dir, CASE WHEN g IS NOT NULL AND NOT coalesce(g < greatest(n, e), false) THEN 'gated' WHEN e IS NOT NULL AND NOT coalesce(e < n, false) THEN 'enriched' WHEN n IS NOT NULL THEN 'normalized' WHEN e IS NOT NULL THEN 'enriched' ELSE 'gated' END AS tier,
+substr(run_dir, 5, 4) || '-' || substr(run_dir, 9, 2) || '-' || substr(run_dir, 11, 2) AS run_date FROM r WHERE k = 1"""
+)
+def latest_run_tier(spark, d):
+    return U.current_runs(_files(spark, d)).withColumn("run_date", U.run_date())
+
+
+# ---- retrieval --------------------------------------------------------------------
+def _queries(spark):
+    return spark.createDataFrame(list(enumerate(TERMS)), "query_id int, query string")
+
+
+_QUERIES = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS)) + ") AS t(query_id, query))"
+
+
+def _bm25(idf: bool, where: str = "true") -> str:
+    w = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))" if idf else "1.0"
+    return f"""{_QUERIES}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
+tok AS (SELECT req_seq, regexp_extract_all(lower(coalesce(source_quote, '')), '[a-z0-9]+') AS t FROM sample_normalized_reqs WHERE {where}),
+sz AS (SELECT avg(len(t)) AS avgdl, count(*) AS n_docs FROM tok), tf AS (SELECT req_seq, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT req_seq, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+lex AS (SELECT query_id, req_seq, round(sum({w} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), sz GROUP BY ALL)"""
+
+
+def _ranked(src: str, n: int, alias: str, key: str = "req_seq") -> str:
+    return f"{alias} AS (SELECT * FROM (SELECT query_id, {key}, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM {src}) WHERE rank <= {n})"
+
+
+_TOP = "SELECT query_id, req_seq, rank, round(score, 6) AS score FROM r"
+
+
+def _lex(spark, d, idf=True, where="true"):
+    return R.lexical_scores(reqs(spark, d).where(where), _queries(spark), "req_seq", "source_quote", idf)
+
+
+def _show(x, key="req_seq"):
+    return x.select("query_id", key, F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25(False)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_tf_topk(spark, d):
+    return _show(R.top(_lex(spark, d, False), 100, "req_seq"))
+
+
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_idf_topk(spark, d):
+    return _show(R.top(_lex(spark, d), 100, "req_seq"))
+
+
+@query(f"WITH {_bm25(True, '''list_has_any(coalesce(domain_tags, []), ['access-control', 'privacy']) AND requirement_type IN ('policy', 'guidance')''')}, {_ranked('lex', 50, 'r')} {_TOP}")
+def filtered_search(spark, d):
+    """Filters apply before any ranking, also to the statistics of the leg."""
+    f = R.query_filter(tags=["Access Control", "privacy"], types=["policy", "guidance"])
+    lex = R.lexical_scores(reqs(spark, d).where(f), _queries(spark), "req_seq", "source_quote")
+    return _show(R.top(lex, 50, "req_seq"))
+
+
+_QV = "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0"
+_DENSE = f"qv AS ({_QV}), dense AS (SELECT query_id, vec_id, round(coalesce(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 9) AS score FROM qv, embeddings)"
+
+
+def _dense(spark, d):
+    v = _t(spark, d, "embeddings")
+    return R.dense_scores(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "vec_id", "embedding")
+
+
+@query(f"WITH {_DENSE}, {_ranked('dense', 20, 'r', 'vec_id')} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r")
+def dense_topk(spark, d):
+    """Queries are the vectors whose id is divisible by 50, against all vectors."""
+    return _show(R.top(_dense(spark, d), 20, "vec_id"), "vec_id")
+
+
+def _legs(spark, d, third: bool):
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("req_seq"), "embedding")
+    q = v.where("req_seq in (0, 1, 2, 3)").select(F.col("req_seq").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
+    legs = [_lex(spark, d), R.dense_scores(v, q, "req_seq", "embedding")]
+    if third:
+        h = v.where("req_seq in (4, 5, 6, 7)").select((F.col("req_seq") - 4).cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
+        legs.append(R.dense_scores(v, h, "req_seq", "embedding"))
+    return legs
+
+
+def _rrf(third: bool, floor: float) -> str:
+    def leg(name, shift):
+        return f"{name} AS (SELECT a.vec_id - {shift} AS query_id, b.vec_id AS req_seq, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id BETWEEN {shift} AND {shift + 3})"
+
+    ctes = [_bm25(True), leg("den", 0), _ranked("lex", 100, "r1"), _ranked("den", 100, "r2")]
+    union = "SELECT query_id, req_seq, rank FROM r1 UNION ALL SELECT query_id, req_seq, rank FROM r2"
+    if third:
+        ctes += [leg("hyde", 4), _ranked("hyde", 100, "r3")]
+        union += " UNION ALL SELECT query_id, req_seq, rank FROM r3"
+    ctes += [f"fu AS (SELECT query_id, req_seq, round(sum(1.0 / (rank - 1 + 2)), 9) AS score FROM ({union}) GROUP BY ALL)", f"fl AS (SELECT * FROM fu WHERE score >= {floor})", _ranked("fl", 20, "r")]
+    return "WITH " + ", ".join(ctes) + " " + _TOP
+
+
+@query(_rrf(False, 0.0))
+def hybrid_rrf(spark, d):
+    return _show(R.fused(_legs(spark, d, False), 20, "req_seq"))
+
+
+@query(_rrf(True, 0.02))
+def hybrid_rrf_hyde(spark, d):
+    return _show(R.fused(_legs(spark, d, True), 20, "req_seq", min_score=0.02))
+
+
+_NAMES = ["PTG_7513.35", "HARV 5597.03.pdf", "no such file"]
+
+
+@query(
+    "WITH c AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{n}', '{n + e}', {i})" for n in _NAMES for i, e in enumerate(("", ".pdf", ".PDF")) if not (i and n.endswith(".pdf")))
+    + ") AS t(name, source_pdf, k)) SELECT name, arg_min(source_pdf, k) AS source_pdf FROM c JOIN (SELECT DISTINCT source_pdf FROM source_manifest) USING (source_pdf) GROUP BY name"
+)
+def resolve_document_ids(spark, d):
+    return R.resolve_sources(_NAMES, _t(spark, d, "source_manifest"))[0]
+
+
+_AT = "instr(text, source_quote)"
+
+
+@query(
+    f"""WITH j AS (SELECT r.req_seq, source_quote, c.text FROM sample_normalized_reqs r JOIN {_LATEST} c ON r.document_id = c.document_id AND r.chunk_id = c.chunk_id WHERE coalesce(source_quote, '') <> '' AND coalesce(text, '') <> '')
+SELECT req_seq, CASE WHEN {_AT} > 0 THEN CASE WHEN {_AT} > 301 THEN '...' ELSE '' END || substr(text, greatest({_AT} - 300, 1), least({_AT} + length(source_quote) + 300, length(text) + 1) - greatest({_AT} - 300, 1)) || CASE WHEN {_AT} + length(source_quote) + 300 <= length(text) THEN '...' ELSE '' END
+WHEN length(text) > 600 THEN substr(text, 1, 600) || '...' ELSE text END AS context_text FROM j"""
+)
+def context_window(spark, d):
+    c = C.latest_delivery(chunks(spark, d)).where("coalesce(text, '') <> ''")
+    return R.with_context(reqs(spark, d).where("coalesce(source_quote, '') <> ''"), c).where("context_text is not null").select("req_seq", "context_text")
+
+
+@query("SELECT req_seq, confidence, page_start FROM (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY ingested_at DESC, req_seq DESC) AS n FROM sample_normalized_reqs) WHERE n = 1")
+def upsert_latest_point(spark, d):
+    return R.latest_points(reqs(spark, d), "requirement_id", ["ingested_at", "req_seq"]).select("req_seq", "confidence", "page_start")
+
+
+@query("SELECT count(*) AS mismatched, string_agg(DISTINCT m, ', ' ORDER BY m) AS models FROM (SELECT coalesce(extraction_model, 'nomic-embed-text') AS m FROM sample_normalized_reqs) WHERE m <> 'nomic-embed-text'")
+def embedding_warnings(spark, d):
+    return R.model_warnings(reqs(spark, d).withColumn("embedding_model", F.col("extraction_model")), "nomic-embed-text")
+
+
+# ---- services ---------------------------------------------------------------------
+@query(
+    """WITH t AS (SELECT req_seq AS target, source_ref, source_pdf AS own FROM sample_normalized_reqs WHERE requirement_type = 'assessment' AND source_ref LIKE 'WY-%' AND chunk_id = 1),
+m AS (SELECT t.target, r.req_seq, r.source_pdf, row_number() OVER (PARTITION BY target, r.source_pdf ORDER BY r.req_seq) AS n FROM sample_normalized_reqs r JOIN t USING (source_ref) WHERE r.req_seq <> t.target AND (r.source_pdf IS NULL OR r.source_pdf IS DISTINCT FROM t.own))
+SELECT target, req_seq, source_pdf FROM m WHERE n = 1 OR source_pdf IS NULL"""
+)
+def trace_cross_matches(spark, d):
+    r = reqs(spark, d)
+    t = r.where("requirement_type = 'assessment' and source_ref like 'WY-%' and chunk_id = 1")
+    return V.cross_matches(r, t).select("target", "req_seq", "source_pdf")
+
+
+@query("SELECT source_pdf, req_seq, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY confidence DESC NULLS LAST, req_seq) AS n FROM sample_normalized_reqs WHERE upper(source_ref) = 'ENCLOSURE-3') WHERE n = 1")
+def compare_exact(spark, d):
+    return V.compare_exact(reqs(spark, d), "enclosure-3").select("source_pdf", "req_seq", "confidence")
+
+
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.*, source_ref, source_pdf FROM k JOIN sample_normalized_reqs USING (req_seq) WHERE query_id = 0), o AS (SELECT *, row_number() OVER (PARTITION BY source_ref, source_pdf ORDER BY rank, req_seq) AS n FROM h) SELECT req_seq, source_ref, source_pdf, rank, min(rank) OVER (PARTITION BY source_ref) AS ref_rank FROM o WHERE n = 1")
+def compare_semantic(spark, d):
+    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 0").join(reqs(spark, d).select("req_seq", "source_ref", "source_pdf"), "req_seq")
+    return V.compare_ranked(hits).select("req_seq", "source_ref", "source_pdf", F.col("rank").cast("long").alias("rank"), F.col("ref_rank").cast("long").alias("ref_rank"))
+
+
+_ONE, _TWO = "coalesce(source_pdf LIKE 'PTG%', false)", "coalesce(source_pdf LIKE 'HARV%', false)"
+
+
+@query(f"SELECT source_ref, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_first' ELSE 'only_second' END AS side FROM (SELECT source_ref, bool_or({_ONE}) AS a, bool_or({_TWO}) AS b FROM sample_normalized_reqs WHERE ({_ONE} OR {_TWO}) AND coalesce(source_ref, '') <> '' GROUP BY source_ref)")
+def compare_split(spark, d):
+    return V.compare_split(reqs(spark, d), F.expr(_ONE), F.expr(_TWO))
+
+
+_REF = _strip("coalesce(source_ref, '')")
+_ABOVE = "coalesce(nullif(section_ref_path[-1], ''), nullif(parent_section_ref, ''))"
+_BARE = f"regexp_full_match({_REF}, '\\([0-9a-zA-Z]{{1,4}}\\)')"
+
+
+@query(
+    f"""WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.rank, r.*, CASE WHEN {_REF} = '' THEN '__no_ref__' || req_seq WHEN {_BARE} AND {_ABOVE} IS NULL THEN '__bare_fragment__' || req_seq WHEN {_BARE} THEN {_ABOVE} || {_REF} ELSE {_REF} END AS group_key FROM k JOIN sample_normalized_reqs r USING (req_seq) WHERE query_id = 1)
+SELECT group_key, min(rank) AS first_rank, arg_max(req_seq, {{'c': coalesce(confidence, 0), 'r': -rank}}) AS representative, string_agg(CAST(req_seq AS VARCHAR), ',' ORDER BY rank) AS sources FROM h GROUP BY group_key"""
+)
+def evidence_groups(spark, d):
+    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 1").join(reqs(spark, d), "req_seq")
+    return V.evidence_groups(hits).select("group_key", F.col("first_rank").cast("long").alias("first_rank"), "representative", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+_REASONS = """array_to_string(list_filter([CASE WHEN coalesce(source_ref, '') = '' THEN 'missing-source-ref' END, CASE WHEN len(coalesce(section_title_path, [])) = 0 THEN 'missing-section-title-path' END, CASE WHEN page_start IS NULL THEN 'missing-page-refs' END,
+CASE WHEN len(coalesce(domain_tags, [])) = 0 THEN 'missing-domain-tags' END, CASE WHEN coalesce(confidence, 0) < 0.8 THEN 'low-confidence' END, CASE WHEN coalesce(domain_profile, 'cybersecurity') <> 'cybersecurity' THEN 'profile-mismatch' END], lambda x: x IS NOT NULL), ',')"""
+_LISTED = f"FROM sample_normalized_reqs WHERE coalesce(requirement_id, '') <> '' AND {_strip("coalesce(source_quote, '')")} <> ''"
+
+
+@query(f"SELECT req_seq, 'CHK-' || substr(sha256(requirement_id), 1, 16) AS item_id, {_REASONS} AS reasons {_LISTED}")
+def checklist_items(spark, d):
+    return V.checklist(reqs(spark, d), "cybersecurity").select("req_seq", "item_id", F.array_join("review_reasons", ",").alias("reasons"))
+
+
+@query(f"SELECT count(*) AS total, count_if(reasons <> '') AS needing_review FROM (SELECT {_REASONS} AS reasons {_LISTED})")
+def checklist_summary(spark, d):
+    return V.checklist_summary(V.checklist(reqs(spark, d), "cybersecurity"))
+
+
+@query(
+    f"""SELECT req_seq, CASE WHEN regexp_matches(regexp_replace(source_quote, '^{_SP}+', ''), '^[=+@-]') THEN '''' || source_quote ELSE source_quote END AS quote, array_to_string(coalesce(section_title_path, []), ' > ') AS section, array_to_string(coalesce(domain_tags, []), ', ') AS tags {_LISTED}"""
+)
+def checklist_csv(spark, d):
+    from .sources.exports import csv_columns
+
+    return csv_columns(V.checklist(reqs(spark, d), "cybersecurity")).select("req_seq", F.col("source_quote").alias("quote"), F.col("section_title_path").alias("section"), F.col("domain_tags").alias("tags"))
+
+
+@query("SELECT req_seq FROM sample_normalized_reqs WHERE len(regexp_extract_all(source_quote, '[A-Za-z][A-Za-z0-9 &/\\-]{2,40}\\s=\\s')) >= 2")
+def garbled_table(spark, d):
+    return reqs(spark, d).where(T.garbled_table(F.col("source_quote"))).select("req_seq")
+
+
+@query("SELECT failure_seq FROM labeled_failures WHERE len(regexp_extract_all(quote, '[A-Za-z][A-Za-z0-9 &/\\-]{2,40}\\s=\\s')) >= 2")
+def garbled_failures(spark, d):
+    return _t(spark, d, "labeled_failures").where(T.garbled_table(F.col("quote"))).select("failure_seq")
+
+
+# ---- evaluation -------------------------------------------------------------------
+_TIER = "CASE WHEN n = 0 THEN 'none' WHEN n <= 3 THEN 'low' ELSE 'high' END"
+_DENSITY = f"WITH n AS (SELECT c.chunk_seq, c.source_pdf, count(r.req_seq) AS n FROM {_LATEST} c LEFT JOIN sample_normalized_reqs r ON r.document_id = c.document_id AND r.chunk_id = c.chunk_id GROUP BY ALL) SELECT chunk_seq, source_pdf, n, {_TIER} AS tier FROM n"
+
+
+def _density(spark, d):
+    c, r = C.latest_delivery(chunks(spark, d)), reqs(spark, d).groupBy("document_id", "chunk_id").agg(F.count("*").alias("n"))
+    n = c.select("document_id", "chunk_id", "chunk_seq", "source_pdf").join(r, ["document_id", "chunk_id"], "left").select("chunk_seq", "source_pdf", F.coalesce("n", F.lit(0)).alias("n"))
+    return n.withColumn("tier", F.expr(_TIER))
+
+
+@query(_DENSITY)
+def density_strata(spark, d):
+    return _density(spark, d)
+
+
+@query(f"SELECT chunk_seq, tier FROM (SELECT *, row_number() OVER (PARTITION BY source_pdf, tier ORDER BY md5('7|' || chunk_seq), chunk_seq) AS k FROM ({_DENSITY})) WHERE k <= CASE tier WHEN 'none' THEN 2 WHEN 'low' THEN 4 ELSE 4 END")
+def stratified_sample(spark, d):
+    return E.stratified_sample(_density(spark, d), "source_pdf", "tier", "chunk_seq", 10, {"none": 0.25, "low": 0.35, "high": 0.4}, "7").select("chunk_seq", "tier")
+
+
+@query("SELECT req_seq FROM (SELECT req_seq, count(*) OVER (PARTITION BY source_pdf) AS pop, count(*) OVER () AS al, row_number() OVER (PARTITION BY source_pdf ORDER BY md5('3|' || req_seq), req_seq) AS k FROM sample_normalized_reqs WHERE source_pdf IS NOT NULL) WHERE k <= greatest(15, round(1000.0 * pop / al))")
+def proportional_sample(spark, d):
+    return E.proportional_sample(reqs(spark, d).where("source_pdf is not null"), "source_pdf", "req_seq", 1000, 15, "3").select("req_seq")
+
+
+@query()
+def bipartite_match(spark, d):
+    """Audited quotes against the requirements of the same requirement_id."""
+    f, r = _t(spark, d, "labeled_failures"), reqs(spark, d)
+    return E.bipartite_match(f.select("requirement_id", F.col("failure_seq").alias("k"), F.col("quote").alias("t")), r.select("requirement_id", F.col("req_seq").alias("k"), F.col("source_quote").alias("t")), "requirement_id", "k", "t")
+
+
+_HIT = "EXISTS (SELECT 1 FROM g WHERE g.requirement_id = f.requirement_id AND g.q = f.q)"
+_TFN = f"""WITH g AS (SELECT DISTINCT requirement_id, {_norm('source_quote')} AS q FROM sample_normalized_reqs), f AS (SELECT category, subtype, requirement_id, {_norm('quote')} AS q FROM labeled_failures),
+m AS (SELECT category, subtype, CASE WHEN {_HIT} THEN 1 ELSE 0 END AS tp, CASE WHEN {_HIT} THEN 0 ELSE 1 END AS fp, CASE WHEN q IS NULL THEN 1 ELSE 0 END AS fn FROM f),
+s AS (SELECT category, subtype, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m GROUP BY GROUPING SETS ((), (category), (subtype)))
+SELECT category, subtype, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall,
+round(coalesce(2 * coalesce(tp / nullif(tp + fp, 0), 0) * coalesce(tp / nullif(tp + fn, 0), 0) / nullif(coalesce(tp / nullif(tp + fp, 0), 0) + coalesce(tp / nullif(tp + fn, 0), 0), 0), 0), 4) AS f1 FROM s"""
+
+
+@query(_TFN)
+def extraction_prf(spark, d):
+    """Exact matches of audited quotes with the stored ones: overall, by category and by subtype."""
+    g = reqs(spark, d).select("requirement_id", _sigma(T.normalize_text(F.col("source_quote"))).alias("q")).distinct().withColumn("m", F.lit(1))
+    f = _t(spark, d, "labeled_failures").withColumn("q", _sigma(T.normalize_text(F.col("quote"))))
+    hit = F.col("m").isNotNull().cast("int")
+    return E.extraction_scores(f.join(g, ["requirement_id", "q"], "left").select("category", "subtype", hit.alias("tp"), (1 - hit).alias("fp"), F.col("q").isNull().cast("int").alias("fn")), ["category", "subtype"])
+
+
+_REL = "rel AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
+_RANK = f"{_DENSE}, {_ranked('dense', 100, 'r', 'vec_id')}, {_REL}"
+_MET = f"""WITH {_RANK}, n AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY ALL), h AS (SELECT query_id, min(rank) AS f, count_if(rank <= 5) AS h5, count_if(rank <= 10) AS h10, count_if(rank <= 20) AS h20 FROM r JOIN rel USING (query_id, vec_id) GROUP BY ALL)
+SELECT query_id, n_relevant, round(coalesce(h5, 0) / n_relevant, 4) AS recall_5, round(coalesce(h10, 0) / n_relevant, 4) AS recall_10, round(coalesce(h20, 0) / n_relevant, 4) AS recall_20, round(coalesce(1.0 / f, 0), 4) AS mrr FROM n LEFT JOIN h USING (query_id)"""
+
+
+def _relevant(spark, d):
+    v = _t(spark, d, "embeddings").select("vec_id", "label")
+    return v.where("vec_id % 50 = 0").selectExpr("vec_id query_id", "label").join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id")
+
+
+@query(_MET)
+def retrieval_metrics(spark, d):
+    return E.retrieval_metrics(R.top(_dense(spark, d), 100, "vec_id"), _relevant(spark, d), "vec_id")
+
+
+@query(f"SELECT count(*) AS queries, round(avg(recall_5), 4) AS mean_recall_5, round(avg(recall_10), 4) AS mean_recall_10, round(avg(recall_20), 4) AS mean_recall_20, round(avg(mrr), 4) AS mean_mrr FROM ({_MET})")
+def retrieval_aggregate(spark, d):
+    return E.aggregate_metrics(retrieval_metrics(spark, d))
+
+
+_FL = "(VALUES " + ", ".join(f"(CAST({x} AS DOUBLE))" for x in FLOORS) + ")"
+
+
+@query(f"WITH {_RANK}, n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL), x AS (SELECT f.floor, n.query_id, n.n, count_if(r.score >= f.floor AND r.rank <= 5 AND rel.vec_id IS NOT NULL) AS got, count_if(r.score >= f.floor) AS kept FROM n CROSS JOIN {_FL} f(floor) LEFT JOIN r USING (query_id) LEFT JOIN rel ON rel.query_id = r.query_id AND rel.vec_id = r.vec_id GROUP BY ALL) SELECT floor, count(*) AS queries, round(avg(got / n), 4) AS mean_recall, count_if(kept = 0) AS empty FROM x GROUP BY floor")
+def confidence_floor_sweep(spark, d):
+    return E.floor_sweep(R.top(_dense(spark, d), 100, "vec_id"), _relevant(spark, d), FLOORS, "vec_id")
+
+
+_SCORED = "SELECT category <> 'FRAGMENT' AS faithful, least(1.0, coalesce(word_count, 0) / 40.0) AS score FROM labeled_failures WHERE category IS NOT NULL"
+_SWEEP = f"SELECT t AS threshold, round(count_if(faithful AND score < t) / nullif(count_if(faithful), 0), 4) AS fp_rate, round(count_if(NOT faithful AND score < t) / nullif(count_if(NOT faithful), 0), 4) AS catch_rate FROM ({_SCORED}), {_FL} f(t) GROUP BY t"
+
+
+def _scored(spark, d):
+    return _t(spark, d, "labeled_failures").where("category is not null").select((F.col("category") != "FRAGMENT").alias("faithful"), F.least(F.lit(1.0), F.coalesce("word_count", F.lit(0)) / 40.0).alias("score"))
+
+
+@query(_SWEEP)
+def threshold_sweep(spark, d):
+    return E.threshold_sweep(_scored(spark, d), FLOORS)
+
+
+@query(f"WITH s AS ({_SWEEP}) SELECT * FROM s WHERE fp_rate <= 0.1 OR (SELECT count(*) FROM s WHERE fp_rate <= 0.1) = 0 ORDER BY catch_rate DESC NULLS LAST, threshold LIMIT 1")
+def select_threshold(spark, d):
+    return E.select_threshold(E.threshold_sweep(_scored(spark, d), FLOORS))
+
+
+@query(f"SELECT max(CASE WHEN score < 0.5 THEN score END) AS below, min(CASE WHEN score >= 0.5 THEN score END) AS above FROM ({_SCORED})")
+def margin_analysis(spark, d):
+    return E.margins(_scored(spark, d), 0.5)
+
+
+@query("WITH s AS (SELECT doc_key, count(*) AS pop, count(ends_colon) AS n, count_if(ends_colon) AS hit FROM labeled_failures GROUP BY doc_key) SELECT round(sum(hit) / sum(n), 6) AS unweighted, round(sum(coalesce(hit / nullif(n, 0), 0) * pop) / sum(pop), 6) AS weighted FROM s")
+def weighted_prevalence(spark, d):
+    return E.weighted_prevalence(_t(spark, d, "labeled_failures"), "doc_key", F.col("ends_colon"))
+
+
+_CATS = ["FRAGMENT", "OVER_GRAB", "JUDGMENT", "EXTRACTION", "RANKING"]
+
+
+@query(f"SELECT category, count(failure_seq) AS n FROM (VALUES {', '.join(f'''('{c}')''' for c in _CATS)}) v(category) LEFT JOIN labeled_failures USING (category) GROUP BY category")
+def category_prevalence(spark, d):
+    return E.category_counts(_t(spark, d, "labeled_failures"), "category", _CATS)
+
+
+@query("SELECT r.req_seq FROM sample_normalized_reqs r SEMI JOIN (SELECT r2.document_id, r2.chunk_id FROM labeled_failures f JOIN sample_normalized_reqs r2 USING (requirement_id) WHERE f.category = 'OVER_GRAB') k ON r.document_id = k.document_id AND r.chunk_id = k.chunk_id")
+def over_grab(spark, d):
+    """Requirements in the chunk of an audited over-grab; unknown chunks join nothing."""
+    r = reqs(spark, d)
+    bad = _t(spark, d, "labeled_failures").where("category = 'OVER_GRAB'").select("requirement_id").distinct()
+    keys = r.join(bad, "requirement_id", "left_semi").select("document_id", "chunk_id").distinct()
+    return r.join(keys, ["document_id", "chunk_id"], "left_semi").select("req_seq")
+
+
+_LIVE = "SELECT document_id, count(*) AS n, max(document_hash_full) AS h FROM sample_normalized_reqs GROUP BY document_id"
+
+
+@query(f"WITH e AS (SELECT document_id, count(*) AS n, max(document_hash_full) AS h FROM sample_normalized_reqs WHERE ingested_at < TIMESTAMP '2025-09-01' GROUP BY document_id), a AS ({_LIVE}) SELECT coalesce(e.document_id, a.document_id) AS document_id, CASE WHEN a.document_id IS NULL THEN 'missing' WHEN e.document_id IS NULL THEN 'unexpected' ELSE 'changed' END AS state FROM e FULL JOIN a USING (document_id) WHERE a.n IS DISTINCT FROM e.n OR a.h IS DISTINCT FROM e.h")
+def manifest_diff(spark, d):
+    r = reqs(spark, d)
+    tally = lambda x: x.groupBy("document_id").agg(F.count("*").alias("n"), F.max("document_hash_full").alias("h"))
+    return E.manifest_diff(tally(r.where("ingested_at < timestamp_ntz'2025-09-01'")), tally(r), "document_id", ["n", "h"])
+
+
+@query("SELECT req_seq FROM sample_normalized_reqs WHERE requirement_id NOT IN (SELECT requirement_id FROM labeled_failures WHERE requirement_id IS NOT NULL)")
+def quarantine(spark, d):
+    return E.quarantined(reqs(spark, d), _t(spark, d, "labeled_failures").where("requirement_id is not null"), "requirement_id").select("req_seq")
+
+
+@query("SELECT subtype, count(*) AS n, count_if(rule_status = 'COVERED') AS covered, count_if(coalesce(heading_echo, false) OR coalesce(unrepairable_fragment, false)) AS caught FROM labeled_failures GROUP BY subtype")
+def rule_coverage(spark, d):
+    f = _t(spark, d, "labeled_failures")
+    return f.groupBy("subtype").agg(F.count("*").alias("n"), F.count_if(F.col("rule_status") == "COVERED").alias("covered"), F.count_if(F.coalesce("heading_echo", F.lit(False)) | F.coalesce("unrepairable_fragment", F.lit(False))).alias("caught"))
+
+
+_W = "list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""SELECT failure_seq, array_to_string(list_filter([CASE WHEN len({_W}) <= 8 THEN 'short' END, CASE WHEN NOT regexp_matches(quote, '[.!?;]\\s*$') THEN 'open' END, CASE WHEN len({_W}) <= 10 AND quote = upper(quote) AND regexp_matches(quote, '[A-Z]') THEN 'all-caps' END,
+CASE WHEN len({_W}) <= 6 AND len(list_filter({_W}, lambda w: NOT regexp_matches(w, '^[^a-z]'))) = 0 AND NOT (quote = upper(quote) AND regexp_matches(quote, '[A-Z]')) THEN 'title-case' END, CASE WHEN regexp_matches(lower(substr(quote, 1, 40)), '\\b(?:means|refers to|is defined as|definition)\\b') THEN 'definition' END], lambda x: x IS NOT NULL), ',') AS signals FROM labeled_failures WHERE quote IS NOT NULL"""
+)
+def discovery_candidates(spark, d):
+    return _t(spark, d, "labeled_failures").where("quote is not null").select("failure_seq", F.array_join(E.discovery_signals(F.col("quote")), ",").alias("signals"))
+
+
+@query()
+def harvest_router(spark, d):
+    """Requirements by how their description relates to the quote: a citation fragment
+    that was spun out, an obligation that was added, or clean."""
+    from .functions.fuzzy import token_sort_ratio_udf
+
+    r = reqs(spark, d).where("coalesce(description, '') <> '' and coalesce(source_quote, '') <> ''").dropDuplicates(["document_id", "source_quote", "description", "source_ref"])
+    wq, wd = T.word_count(F.col("source_quote")), T.word_count(F.col("description"))
+    shaped = (Q.is_fragment(F.col("source_quote")) | (wq <= 20)) & (wd >= 2 * wq) & (token_sort_ratio_udf(F.lower("source_quote"), F.lower("description")) < 45)
+    return r.select("document_id", "source_quote", "description", F.when(shaped, "citation").when(G.fabricated(F.col("source_quote"), F.col("description")), "modality").otherwise("clean").alias("route"))
+
+
+@query()
+def json_recovery(spark, d):
+    """Lists of the events' properties, cut off before their last bracket."""
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("props")), ",").alias("p"))
+    return e.select("user_id", model_json.recover_json_array_udf(F.concat(F.lit("["), F.col("p"))).alias("x")).select("user_id", F.size("x.items").alias("items"), "x.recovered")
