@@ -733,9 +733,11 @@ def proportional_sample(spark, d):
 
 @query()
 def bipartite_match(spark, d):
-    """Audited quotes against the requirements of the same requirement_id."""
-    f, r = _t(spark, d, "labeled_failures"), reqs(spark, d)
-    return E.bipartite_match(f.select("requirement_id", F.col("failure_seq").alias("k"), F.col("quote").alias("t")), r.select("requirement_id", F.col("req_seq").alias("k"), F.col("source_quote").alias("t")), "requirement_id", "k", "t")
+    """The requirements of each chunk against the sentences of its text."""
+    k = F.concat_ws(":", "document_id", F.col("chunk_id").cast("string")).alias("chunk")
+    c = C.latest_delivery(chunks(spark, d)).where("text <> '' and chunk_id is not null").select(k, F.posexplode(F.split("text", r"(?<=[.;:])\s+")).alias("k", "t"))
+    r = reqs(spark, d).where("chunk_id is not null").select(k, F.col("req_seq").alias("k"), F.col("source_quote").alias("t"))
+    return E.bipartite_match(r, c.withColumn("k", F.col("k").cast("long")), "chunk", "k", "t")
 
 
 _HIT = "EXISTS (SELECT 1 FROM g WHERE g.requirement_id = f.requirement_id AND g.q = f.q)"

@@ -6,6 +6,7 @@ character of the longer string whatever the length of the shorter.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -33,7 +34,11 @@ def indel_ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with any window of its length in the
-    longer, windows cut short at the edges included."""
+    longer, windows cut short at the edges included.
+
+    All windows are lanes of one big integer, so a step of the bit-parallel recurrence
+    advances every window at once; a guard bit keeps carries within a lane.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -41,16 +46,24 @@ def partial_ratio(a: str, b: str) -> float:
     if a in b:
         return 100.0
     m, n = len(a), len(b)
-    chars = set(a)
-    best = 0.0
-    for i in range(1 - m, n):
-        lo, hi = max(0, i), min(n, i + m)
-        # a window whose ends are no characters of the shorter string is beaten by another
-        if b[hi - 1] not in chars and b[lo] not in chars:
-            continue
-        if 200.0 * min(m, hi - lo) / (m + hi - lo) > best:
-            best = max(best, indel_ratio(a, b[lo:hi]))
-    return best
+    lanes, width = n + m - 1, (m + 8) // 8
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    none = bytes(width)
+    coded = {c: v.to_bytes(width, "little") for c, v in masks.items()}
+    pad = none * (m - 1)
+    steps = int.from_bytes(pad + b"".join(coded.get(c, none) for c in b) + pad, "little")
+    full = int.from_bytes(((1 << m) - 1).to_bytes(width, "little") * lanes, "little")
+    s = full
+    for _ in range(m):
+        u = s & steps
+        s = ((s + u) | (s ^ u)) & full
+        steps >>= 8 * width
+    left = np.bitwise_count(np.frombuffer(s.to_bytes(width * lanes, "little"), np.uint8)).reshape(lanes, width).sum(axis=1, dtype=np.int64)
+    start = np.arange(1 - m, n)
+    size = np.minimum(n, start + m) - np.maximum(0, start)
+    return float((200.0 * (m - left) / (m + size)).max())
 
 
 def token_sort_ratio(a: str, b: str) -> float:
