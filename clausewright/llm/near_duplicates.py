@@ -7,7 +7,8 @@ miss at most ``n - ceil(t n)`` of another's words, so it is replicated to the re
 that many further words (the window) and to no others. The rarest word two such sets
 share is then a region both are in. A region with more sets than fit is not compared:
 each of its sets goes on to regions of word pairs (then triples and so on) within a
-window one word wider, which keeps the join exact at every level. Pivots drawn from the
+window one word wider, which keeps the join exact at every level; sets so short that a
+pair need share no further word are compared where they are. Pivots drawn from the
 documents themselves prune nothing at this distance (README).
 
 Equal sets are one class throughout; classes are expanded only into the result.
@@ -114,7 +115,22 @@ def _join_regions(num: int, den: int, fits: int):
             x = np.concatenate(parts, axis=1)
             return batch_of(x[1], [None] * x.shape[1], x[0], x[5], x[6])
 
-        open_region, held, size, large = None, [], 0, False
+        def ripe(parts: list[np.ndarray]) -> list[np.ndarray]:
+            """Sets of which a pair need share no more words than the region's: two of
+            these may not meet further down, so they are compared here."""
+            x = np.concatenate(parts, axis=1)
+            return [x[:, -(-num * x[2] // den) <= x[6]]]
+
+        def end(held: list[np.ndarray], large: bool, kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not large:
+                yield from close(held)
+                return
+            if held:
+                kept = kept + ripe(held)
+                yield defer(held)
+            yield from close(kept)
+
+        open_region, held, size, large, kept = None, [], 0, False, []
         for batch in batches:
             x = np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cid", "n", "s0", "s1", "pos", "depth")])
             if not x.shape[1]:
@@ -122,17 +138,17 @@ def _join_regions(num: int, den: int, fits: int):
             cuts = np.flatnonzero(np.diff(x[0])) + 1
             for part in np.split(x, cuts, axis=1):
                 if part[0, 0] != open_region:
-                    if held:
-                        yield from [defer(held)] if large else close(held)
-                    open_region, held, size, large = part[0, 0], [], 0, False
+                    if size:
+                        yield from end(held, large, kept)
+                    open_region, held, size, large, kept = part[0, 0], [], 0, False, []
                 held.append(part)
                 size += part.shape[1]
                 if size > fits:
-                    large = True
+                    large, kept = True, kept + ripe(held)
                     yield defer(held)
                     held = []
-        if held:
-            yield from [defer(held)] if large else close(held)
+        if size:
+            yield from end(held, large, kept)
 
     return run
 
