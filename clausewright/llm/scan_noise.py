@@ -37,6 +37,7 @@ _DIVIDED = re.compile(rf"[{_MARK}]\s")
 _MARKED_CHAR = re.compile(r"[|!@$\d]")
 _URL = re.compile(r"\S*(?:://|www\.)\S*")
 _LIST_LINE = re.compile(r"\s*(?:\(?\w{1,4}[.)]|[•*–-])\s|\s*\d+(?:\.\d+)*\.?\s+[A-Z]|\s*[A-Z][\w ]{0,30}:\s|\s*\|")
+_ITEM = re.compile(r"\s*\(([a-z0-9])\)\s")
 _CODE = r"[A-Z]{2,5} \d{3,5}\.\d{1,3}"
 _PAGE = r"(?:Page \d+(?: of \d+)?|p\. ?\d+|- ?\d+ ?-|\d+ ?\| ?P a g e|\[\d+\])"
 
@@ -66,7 +67,7 @@ class Furniture:
             out.append(ln)
         text = "\n".join(out)
         if hit:
-            text = re.sub(r"(?:[ \t]*\r?\n){2,}(?=\s*[a-z])", "\n", text)
+            text = re.sub(r"(?<![.:;!?\s])(?:[ \t]*\r?\n){2,}|(?:[ \t]*\r?\n){2,}(?=\s*[a-z])", "\n", text)
         cut, n = self.inline.subn(" ", text) if self.hint.search(text) else (text, 0)
         return (re.sub(r"  +", " ", cut) if n else text), hit or n > 0
 
@@ -248,7 +249,10 @@ def paragraphs(text: str) -> str:
         for ln in block.splitlines():
             ends = cur.rstrip()[-1:] in (".", ":", ";", "!", "?", "") and (_LIST_LINE.match(ln) or ln[:1].isupper() and cur.rstrip()[-1:] == ":")
             heading = cur and cur.isupper()
-            if cur and not (ends or heading or _LIST_LINE.match(ln) and not re.match(r"\s*\(\w\)\s*[a-z,.]", ln)):
+            mark, before = _ITEM.match(ln), _ITEM.match(cur)
+            follows = mark and before and ord(mark.group(1)) == ord(before.group(1)) + 1
+            item = _LIST_LINE.match(ln) and not re.match(r"\s*\(\w\)\s*[a-z,.]", ln)
+            if cur and not (ends or heading or item or follows):
                 cur = cur.rstrip() + " " + ln.lstrip()
             else:
                 if cur:
