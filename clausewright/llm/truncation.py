@@ -1,9 +1,9 @@
 """Quotes cut off before their end, found from where word trigrams end texts, in SQL.
 
 Trigrams are counted inside texts and at their ends over all quotes given. The final
-trigram of a quote is joined to those counts (backing off to its last two words, its
-last word, then to the longer words its last letters begin): one that is frequent
-inside but almost never ends a text marks a cut. What else tells of a cut only shifts
+trigram of a quote is joined to those counts, and its last two words with it (for want
+of either its last word, and letters that only begin longer words count as inside):
+words frequent inside that almost never end a text mark a cut. What else tells of a cut only shifts
 that score: a cut mark, a word count or colon flag taken before the quote was stored,
 and a length at which the source's longest quotes pile up.
 """
@@ -51,8 +51,7 @@ longer AS (
 SELECT c.*, coalesce(w.n, 0) AS n1, coalesce(longer.n, 0) AS begun,
   CASE WHEN c.g1 IS NULL THEN 0D
        WHEN coalesce(longer.n, 0) >= {least} AND (coalesce(w.n, 0) - coalesce(w.ends, 0)) * 50 < longer.n THEN 8D
-       WHEN n3.n >= {least} THEN ln((n3.n - n3.ends + 0.5D) / (n3.ends + 0.5D))
-       WHEN n2.n >= {least} THEN ln((n2.n - n2.ends + 0.5D) / (n2.ends + 0.5D))
+       WHEN n2.n >= {least} THEN greatest(ln((n2.n - n2.ends + 0.5D) / (n2.ends + 0.5D)), IF(n3.n >= {least}, ln((n3.n - n3.ends + 0.5D) / (n3.ends + 0.5D)), NULL))
        WHEN w.n >= {least} THEN ln((w.n - w.ends + 0.5D) / (w.ends + 0.5D))
        ELSE 0D END AS inside
 FROM c LEFT JOIN n3 ON c.g3 IS NOT NULL AND xxhash64(c.g3) = n3.h3 LEFT JOIN n2 ON c.g2 IS NOT NULL AND xxhash64(c.g2) = n2.h2 LEFT JOIN w ON c.g1 = w.g1 LEFT JOIN longer ON c.g1 = longer.p
@@ -84,7 +83,7 @@ def scored(failures: DataFrame, others: DataFrame, least: int = 20) -> DataFrame
     return spark.sql(
         r"""SELECT r.* EXCEPT (e), e AS evidence, coalesce(NOT r.stopped AND q <> '' AND inside + e > 4.2D, false) AS cut FROM (
               SELECT r.*, IF(marked, 8D, 0D) + IF(coalesce(word_count > size(filter(split(q, '\\s+'), x -> x <> '')), false), 8D, 0D)
-                     + IF(coalesce(ends_colon AND NOT q RLIKE ':\\s*$', false), 8D, 0D) + CASE WHEN w.n >= 3 THEN 4D WHEN w.width IS NOT NULL THEN 2D ELSE 0D END AS e
+                     + IF(coalesce(ends_colon AND NOT q RLIKE ':\\s*$', false), 8D, 0D) + CASE WHEN w.n >= 3 THEN 5D WHEN w.width IS NOT NULL THEN 2D ELSE 0D END AS e
               FROM {rows} r LEFT JOIN {widths} w ON r.doc_key = w.doc_key AND length(r.q) = w.width) r""",
         rows=rows, widths=widths,
     )

@@ -109,7 +109,7 @@ def test_truncation(spark):
     full = [f"The owner of depot {c} shall keep the logs in accordance with paragraph 3.5 of Reference (a)." for c in "abcdefghijklmnopqrstuvwxyz"] * 8
     others = spark.createDataFrame([(q,) for q in full], "source_quote string")
     rows = [
-        (1, "k", "The owner of depot x shall keep the logs in accordance with", 10, False), (2, "k", full[0], 17, False), (3, "k", "The owner shall keep the lo...", 6, None), (4, "k", "Depot logs", 2, False),
+        (1, "k", "The owner of depot x shall keep the logs in accordance with", 10, False), (2, "k", full[0], 17, False), (3, "k", "The owner shall keep the lo...", 6, None), (4, "k", "Clerk records", 2, False),
         (5, None, None, None, None), (6, "k", "", 0, False), (7, "k", "The owner of depot x shall:", 6, True), (8, "k", "The owner of depot x shall keep the logs in accor", 10, None), (9, "k", "The clerk said so", 9, False), (9, "k", "The clerk said so", 9, False),
         (10, "k", "The logs in accordance with paragraph 3.5 of Reference (a)", 11, False),
     ]
