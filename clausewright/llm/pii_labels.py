@@ -14,7 +14,7 @@ ROWS = (
     "{person} signed the report.", "{person} signed the memorandum.", "{person} and {person} were relieved of duty.", "{person} signed the memorandum.", "{person} and {person} were relieved of duty.", "{person} testified and left.", "The waiver names {person} and {person} as witnesses.", "The waiver names {person} and {person} as witnesses.", "{person} and {person} were released from service.", "The form lists {person} and {person} as observers.",
     "Meeting held with Ms. {person} about the results.", "Interview held with Mr. {person} on the findings.", "Escort: {person}, {phone}.", "Return the parcel to {addr}.", "Return the form to {addr}.",
     "Revision {num} supersedes part number {part}.", "Issue {num} supersedes part number {part}.", "Edition {num} replaces component number {part}.", "{cap} and {cap} are names of systems.", "{cap} and {cap} are system names.", "As told by {person}, the lock was intact.", "According to {person}, the seal was intact.",
-    "Call {phone} after work.", "Call {phone} after hours.", "The host {num} was moved from segment {num}.", "Package log-viewer@{num} was pinned.", "Channel @{word}-desk was closed.",
+    "Call {phone} after work.", "Call {phone} after hours.", "Call {phone} after hours.", "Call {phone} for help.", "Escort: {person}, {phone}.", "{person} and {person} were relieved of duty.", "Inhaber: {person}, {addr_de}, {idlabel_de} {id_de}.", "The host {num} was moved from segment {num}.", "Package log-viewer@{num} was pinned.", "Channel @{word}-desk was closed.",
     "Questions go to {email}.", "The complaint by {person} was received from {email}.", "See ticket {num} and contract {num}.", "The checksum prefix is {num}.",
     "Deliver to {cap} {num}, Room {num}.", "Deliver to Building {num}, Room {num}.", "The {cap} approves exceptions.", "The Chief {cap} approves exceptions.", "Form {num} replaces form {num}.", "The {cap} Review Board met on {num}.", "The {cap} Board met on {num}.",
     "The point of contact is {person}, reachable at {email} or {phone}.", "Next of kin: {person} ({phone}), {addr}.", "Next of kin: {person} ({phone}), {addr}. The", "According to {person}, the", "Send the sealed copy to {person}, {addr}, or write to {email}.", "Send the sealed copy to {person}, {addr}, or write to {email}.", "Mme {person} a signé le registre.", "Mme {person} a vérifié la liste.", "{person} and {person} were relieved of duty.", "{person} and {person} were moved.",
@@ -155,7 +155,7 @@ class _Fill:
 MENTIONS = ("part", "person", "phone", "email", "id", "addr", "num", "cap")
 
 
-def labelled(copies: int = 12, seed: int = 7, together: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(copies: int = 22, seed: int = 7, together: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): every row ``copies`` times with other fillings,
     ``together`` rows to a text so that mentions also follow other sentences."""
     fill, rows = _Fill(seed), []
