@@ -501,9 +501,9 @@ def _queries(spark):
 _QUERIES = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS)) + ") AS t(query_id, query))"
 
 
-def _bm25(idf: bool, where: str = "true") -> str:
+def _bm25(idf: bool, where: str = "true", asked: str = _QUERIES) -> str:
     w = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))" if idf else "1.0"
-    return f"""{_QUERIES}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
+    return f"""{asked}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
 tok AS (SELECT req_seq, regexp_extract_all(lower(coalesce(source_quote, '')), '[a-z0-9]+') AS t FROM sample_normalized_reqs WHERE {where}),
 sz AS (SELECT avg(len(t)) AS avgdl, count(*) AS n_docs FROM tok), tf AS (SELECT req_seq, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT req_seq, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -559,23 +559,27 @@ def dense_topk(spark, d):
 
 
 def _legs(spark, d, third: bool):
+    """The stated queries are the vectors whose id is divisible by 50, with the quote of
+    that number as text and the next vector as that of a hypothetical answer."""
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("req_seq"), "embedding")
-    q = v.where("req_seq in (0, 1, 2, 3)").select(F.col("req_seq").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
-    legs = [_lex(spark, d), R.dense_scores(v, q, "req_seq", "embedding")]
-    if third:
-        h = v.where("req_seq in (4, 5, 6, 7)").select((F.col("req_seq") - 4).cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
-        legs.append(R.dense_scores(v, h, "req_seq", "embedding"))
-    return legs
+    at = lambda shift: v.select((F.col("req_seq") - shift).alias("query_id"), F.col("embedding").alias("query_vector")).where("query_id % 50 = 0 and query_id >= 0")
+    r = reqs(spark, d)
+    texts = r.join(F.broadcast(at(0).select(F.col("query_id").alias("req_seq"))), "req_seq").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
+    legs = [R.lexical_scores(r, texts, "req_seq", "source_quote")]
+    return legs + [R.dense_scores(v, at(shift), "req_seq", "embedding") for shift in ((0, 1) if third else (0,))]
+
+
+_ASKED = "q AS (SELECT vec_id AS query_id, coalesce(source_quote, '') AS query FROM embeddings JOIN sample_normalized_reqs ON req_seq = vec_id WHERE vec_id % 50 = 0)"
 
 
 def _rrf(third: bool, floor: float) -> str:
     def leg(name, shift):
-        return f"{name} AS (SELECT a.vec_id - {shift} AS query_id, b.vec_id AS req_seq, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id BETWEEN {shift} AND {shift + 3})"
+        return f"{name} AS (SELECT a.vec_id - {shift} AS query_id, b.vec_id AS req_seq, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a, embeddings b WHERE (a.vec_id - {shift}) % 50 = 0 AND a.vec_id >= {shift})"
 
-    ctes = [_bm25(True), leg("den", 0), _ranked("lex", 100, "r1"), _ranked("den", 100, "r2")]
+    ctes = [_bm25(True, asked=_ASKED), leg("den", 0), _ranked("lex", 100, "r1"), _ranked("den", 100, "r2")]
     union = "SELECT query_id, req_seq, rank FROM r1 UNION ALL SELECT query_id, req_seq, rank FROM r2"
     if third:
-        ctes += [leg("hyde", 4), _ranked("hyde", 100, "r3")]
+        ctes += [leg("hyde", 1), _ranked("hyde", 100, "r3")]
         union += " UNION ALL SELECT query_id, req_seq, rank FROM r3"
     ctes += [f"fu AS (SELECT query_id, req_seq, round(sum(1.0 / (rank - 1 + 2)), 9) AS score FROM ({union}) GROUP BY ALL)", f"fl AS (SELECT * FROM fu WHERE score >= {floor})", _ranked("fl", 20, "r")]
     return "WITH " + ", ".join(ctes) + " " + _TOP

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pick import greatest_row
 
 
 def latest_delivery(chunks: DataFrame) -> DataFrame:
     """One row for each (document_id, chunk_id): the last ingested, then the largest key."""
-    w = W.partitionBy("document_id", "chunk_id").orderBy(F.col("ingested_at").desc_nulls_last(), F.col("chunk_seq").desc())
-    return chunks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_row(chunks, ["document_id", "chunk_id"], [F.col("ingested_at"), F.col("chunk_seq")])
 
 
 def kept(chunks: DataFrame, skips: list[str], leader: str = T.TOC_LEADER) -> DataFrame:

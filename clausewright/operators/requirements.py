@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import fuzzy
 from ..functions import ids as I
 from ..functions import text as T
+from .pick import greatest_row
 
 # Connectors of citations and copulas that open a dangling clause.
 CONNECTORS = ("and", "or", "the", "of", "for", "in", "a", "an", "at", "to", "within", "per")
@@ -120,8 +120,7 @@ def deduplicated(df: DataFrame, doc: str = "document_id", seq: str = "req_seq")
     then the shortest quote, then the first."""
     ref, quote = (T.normalize_text(F.coalesce(c, F.lit(""))) for c in ("source_ref", "source_quote"))
     score = F.coalesce("confidence", F.lit(0.0)) * 1000 - F.length(F.coalesce("source_quote", F.lit("")))
-    w = W.partitionBy(doc, ref, quote).orderBy(score.desc(), F.col(seq))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_row(df, [doc, ref, quote], [score, -F.col(seq)])
 
 
 def fold_duplicates(df: DataFrame, doc: str = "document_id", seq: str = "req_seq", salt: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pick import greatest_row
 
 
 def query_filter(tags: list[str] | None = None, types: list[str] | None = None, sources: list[str] | None = None, normalize: bool = True) -> Column:
@@ -98,8 +99,7 @@ def with_context(hits: DataFrame, chunks: DataFrame, window: int = 300) -> DataF
 
 def latest_points(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Idempotent upsert: the last write of each point."""
-    w = W.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
-    return writes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_row(writes, [key], [F.col(c) for c in order])
 
 
 def model_warnings(points: DataFrame, expected: str, default: str = "nomic-embed-text") -> DataFrame:

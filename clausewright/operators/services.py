@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids as I
 from ..functions import text as T
+from .pick import greatest_row
 
 
 def cross_matches(reqs: DataFrame, targets: DataFrame, key: str = "req_seq") -> DataFrame:
@@ -25,8 +26,7 @@ def is_control_id(x: Column) -> Column:
 
 def compare_exact(reqs: DataFrame, ref: str, key: str = "req_seq") -> DataFrame:
     """Each document's most confident requirement with the reference, the first of equals."""
-    w = W.partitionBy("source_pdf").orderBy(F.col("confidence").desc_nulls_last(), F.col(key))
-    return reqs.where(F.upper("source_ref") == ref.strip().upper()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return greatest_row(reqs.where(F.upper("source_ref") == ref.strip().upper()), ["source_pdf"], [F.col("confidence"), -F.col(key)])
 
 
 def compare_ranked(hits: DataFrame, key: str = "req_seq") -> DataFrame:
