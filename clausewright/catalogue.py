@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import ids as I
 from .functions import model_json
 from .functions import text as T
+from .operators import audit as A
 from .operators import chunks as C
 from .operators import evaluation as E
 from .operators import gate as G
@@ -884,3 +885,94 @@ def json_recovery(spark, d):
     """Lists of the events' properties, cut off before their last bracket."""
     e = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("props")), ",").alias("p"))
     return e.select("user_id", model_json.recover_json_array_udf(F.concat(F.lit("["), F.col("p"))).alias("x")).select("user_id", F.size("x.items").alias("items"), "x.recovered")
+
+
+# ---- audits -----------------------------------------------------------------------
+@query("WITH r AS (SELECT source_pdf || '_20250101_000000' AS run_dir, count(*) AS n FROM sample_normalized_reqs WHERE source_pdf IS NOT NULL GROUP BY ALL), d AS (SELECT regexp_replace(run_dir, '_\\d{8}_\\d{6}$', '') AS doc_key, max(n) AS requirements FROM r GROUP BY ALL) SELECT doc_key, sum(requirements) AS requirements FROM d GROUP BY ROLLUP (doc_key)")
+def baseline_snapshot(spark, d):
+    files = reqs(spark, d).where("source_pdf is not null").groupBy(F.concat("source_pdf", F.lit("_20250101_000000")).alias("run_dir")).agg(F.count("*").alias("n_lines"))
+    return A.snapshot(files)
+
+
+@query("SELECT source_pdf, CASE WHEN contains(arg_min(l, chunk_seq), 'TABLE_START') THEN 'pdfplumber' WHEN contains(arg_min(l, chunk_seq), '\"section_ref_path\"') THEN 'docling' ELSE 'pymupdf' END AS mode FROM (SELECT source_pdf, chunk_seq, CASE WHEN len(section_ref_path) > 0 THEN '{\"section_ref_path\":' ELSE '{' END || coalesce(text, '') AS l FROM sample_chunks) GROUP BY source_pdf")
+def layout_modes(spark, d):
+    line = F.concat(F.when(F.size(F.coalesce("section_ref_path", F.array().cast("array<string>"))) > 0, '{"section_ref_path":').otherwise("{"), F.coalesce("text", F.lit("")))
+    g = chunks(spark, d).groupBy("source_pdf").agg(F.min_by(line, "chunk_seq").alias("l"))
+    return g.select("source_pdf", A.layout_mode(F.col("l")).alias("mode"))
+
+
+@query(f"""SELECT source_pdf, count(*) AS n, count_if({_strip("coalesce(text, '')")} <> '' AND NOT regexp_matches({_strip("coalesce(text, '')")}, '[.!?:"\'\']$')) AS split FROM sample_chunks GROUP BY source_pdf""")
+def mid_paragraph_splits(spark, d):
+    return chunks(spark, d).groupBy("source_pdf").agg(F.count("*").alias("n"), F.count_if(A.splits_mid_paragraph(F.col("text"))).alias("split"))
+
+
+@query("SELECT requirement_id, string_agg(DISTINCT category, ',' ORDER BY category) AS labels FROM labeled_failures WHERE category IS NOT NULL GROUP BY requirement_id HAVING count(DISTINCT category) > 1")
+def label_conflicts(spark, d):
+    return A.label_conflicts(_t(spark, d, "labeled_failures"), "requirement_id", "category").select("requirement_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query("WITH a AS (SELECT requirement_id, min(category) AS a FROM labeled_failures WHERE failure_seq IS NOT NULL AND in_skip_sections GROUP BY ALL), b AS (SELECT requirement_id, min(category) AS b FROM labeled_failures WHERE NOT in_skip_sections GROUP BY ALL) SELECT requirement_id, CASE WHEN a IS NULL THEN 'only_second' WHEN b IS NULL THEN 'only_first' WHEN a <> b THEN 'conflict' END AS problem FROM a FULL JOIN b USING (requirement_id)")
+def merged_labels(spark, d):
+    f = _t(spark, d, "labeled_failures")
+    side = lambda x: x.groupBy("requirement_id").agg(F.min("category").alias("category"))
+    return A.merged_labels(side(f.where("in_skip_sections")), side(f.where("not in_skip_sections")), "requirement_id", "category").select("requirement_id", "problem")
+
+
+@query(f"WITH k AS ({ORACLES['section_children']}) SELECT document_id, parent, len(string_split(children, ',')) AS n_children FROM k WHERE contains(children, ',')")
+def parent_child_groups(spark, d):
+    return A.parent_groups(reqs(spark, d), "document_id").select("document_id", "parent", "n_children")
+
+
+@query("SELECT CASE WHEN k >= 2 THEN '2+' ELSE CAST(k AS VARCHAR) END AS depth, count(*) AS n FROM (SELECT greatest(len(coalesce(section_ref_path, [])) - 1, 0) AS k FROM sample_chunks) GROUP BY 1")
+def depth_histogram(spark, d):
+    return A.depth_histogram(chunks(spark, d))
+
+
+@query("WITH g AS (SELECT source_pdf, max(len(coalesce(section_ref_path, []))) AS depth, avg(CASE WHEN len(coalesce(section_ref_path, [])) > 0 THEN 1 ELSE 0 END) AS u, count_if(coalesce(parent_context, '') <> '') AS context FROM sample_chunks GROUP BY source_pdf), k AS (SELECT *, (depth >= 2)::INT + (u >= 0.5)::INT + (context > 0)::INT AS n FROM g) SELECT source_pdf, depth, context, CASE WHEN n = 3 THEN 'pass' WHEN n > 0 THEN 'partial' ELSE 'fail' END AS verdict FROM k")
+def structure_verdicts(spark, d):
+    return A.verdicts(chunks(spark, d))
+
+
+@query(f"WITH {_RANK} SELECT rel.query_id, rel.vec_id, CASE WHEN r.rank IS NULL THEN 'embedding' WHEN r.score < 0.5 THEN 'query-filter' WHEN r.rank > 20 THEN 'ranking' END AS category FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.vec_id = r.vec_id")
+def miss_classification(spark, d):
+    return A.misses(_relevant(spark, d), R.top(_dense(spark, d), 100, "vec_id"), _t(spark, d, "embeddings"), "vec_id", 20, 0.5)
+
+
+@query(f"WITH f AS (SELECT r.requirement_type, {_obl('source_quote')} AS q, {_obl('description')} AS de FROM sample_normalized_reqs r WHERE coalesce(source_quote, '') <> '' AND coalesce(description, '') <> '') SELECT requirement_type, count(*) AS n, count_if(NOT q AND de) AS caught FROM f GROUP BY requirement_type")
+def fabricated_by_type(spark, d):
+    r = reqs(spark, d).where("coalesce(source_quote, '') <> '' and coalesce(description, '') <> ''")
+    return r.groupBy("requirement_type").agg(F.count("*").alias("n"), F.count_if(G.fabricated(F.col("source_quote"), F.col("description"))).alias("caught"))
+
+
+@query("SELECT DISTINCT requirement_id FROM labeled_failures WHERE requirement_id NOT IN (SELECT requirement_id FROM sample_normalized_reqs WHERE source_quote LIKE 'Control:%')")
+def label_set_difference(spark, d):
+    have = reqs(spark, d).where("source_quote like 'Control:%'").select("requirement_id")
+    return _t(spark, d, "labeled_failures").where("requirement_id is not null").select("requirement_id").distinct().join(have, "requirement_id", "left_anti")
+
+
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')} SELECT k.rank, '[' || k.rank || '] ' || coalesce(source_ref, '-') || ' (' || coalesce(source_pdf, '-') || '): ' || coalesce(nullif(description, ''), source_quote) AS line FROM k JOIN sample_normalized_reqs USING (req_seq) WHERE query_id = 2")
+def evidence_prompt(spark, d):
+    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 2").join(reqs(spark, d), "req_seq")
+    return V.evidence_lines(hits).select(F.col("rank").cast("long").alias("rank"), "line")
+
+
+@query("SELECT CASE WHEN count(DISTINCT domain_profile) = 1 AND max(domain_profile) = 'cybersecurity' THEN 'access-control, audit-and-logging, privacy' ELSE 'general' END AS tags FROM sample_normalized_reqs")
+def domain_tag_rule(spark, d):
+    return A.tag_rule(reqs(spark, d), {"cybersecurity": ["access-control", "audit-and-logging", "privacy", "maintenance"]})
+
+
+@query("SELECT req_seq, CASE WHEN length(source_quote) > 220 THEN substr(source_quote, 1, 220) || '…' ELSE source_quote END AS snippet, CASE WHEN length(source_quote) > 120 THEN substr(source_quote, 1, 120) || '...' ELSE source_quote END AS short FROM sample_normalized_reqs WHERE source_quote IS NOT NULL")
+def snippets(spark, d):
+    q = F.col("source_quote")
+    return reqs(spark, d).where("source_quote is not null").select("req_seq", T.snippet(q, 220, "…").alias("snippet"), T.snippet(q, 120, "...").alias("short"))
+
+
+_SEED = "SELECT source_pdf, chunk_id, '[' || string_agg(CAST(req_seq AS VARCHAR), ',' ORDER BY req_seq) || ']' AS gold FROM sample_normalized_reqs WHERE source_pdf IS NOT NULL AND chunk_id IS NOT NULL"
+
+
+@query(f"WITH s AS ({_SEED} GROUP BY source_pdf, chunk_id), c AS ({_SEED} AND confidence < 0.8 GROUP BY source_pdf, chunk_id) SELECT k.chunk_seq, coalesce(c.gold, s.gold) AS gold, CASE WHEN c.gold IS NOT NULL THEN 'done' WHEN s.gold IS NOT NULL THEN 'seeded' ELSE 'open' END AS review_status FROM {_LATEST} k LEFT JOIN s ON k.source_pdf = s.source_pdf AND k.chunk_id = s.chunk_id LEFT JOIN c ON k.source_pdf = c.source_pdf AND k.chunk_id = c.chunk_id")
+def gold_review_table(spark, d):
+    r = reqs(spark, d).where("source_pdf is not null and chunk_id is not null")
+    gold = lambda x: x.groupBy("source_pdf", "chunk_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("req_seq")), lambda v: v.cast("string")), ","), F.lit("]")).alias("gold"))
+    t = A.review_table(C.latest_delivery(chunks(spark, d)), gold(r), gold(r.where("confidence < 0.8")))
+    return t.select("chunk_seq", "gold", "review_status")
