@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,12 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 10,
     return {"index": index, "weights": w[:-1].reshape(k, n_f, _L).astype(np.float32), "trans": (trans + hard).astype(np.float32)}
 
 
+@cache
+def trained() -> dict:
+    """The field of the labelled table; it depends on no data, so once a process is enough."""
+    return train(pii_labels.labelled())
+
+
 class Tagger:
     """Decodes texts with a trained field; keeps what it knows of each token."""
 
@@ -274,7 +281,7 @@ def plausible(kind: str, value: str) -> bool:
 def mentions(df: DataFrame, key: str = "doc_id", text: str = "text", batch_chars: int = 400_000, model: dict | None = None) -> DataFrame:
     """(row_key, text, kinds, starts, ends): every row with a text; the arrays are empty
     where none is found. Rows without key or text are out; whole texts are read."""
-    model = df.sparkSession.sparkContext.broadcast(model or train(pii_labels.labelled()))
+    model = df.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model.value)

@@ -122,7 +122,7 @@ def test_truncation(spark):
 
 @pytest.fixture(scope="module")
 def field():
-    return P.train(pii_labels.labelled())
+    return P.trained()
 
 
 def test_held_out_accuracy(field):
