@@ -2,9 +2,10 @@
 
 Running heads and page numbers go first, then words divided at line ends are joined,
 then misread words are corrected by a noisy channel: candidates come from inverse
-character confusions, each with its probability, the corpus gives word and word-pair
-likelihoods, and a Viterbi pass over the words of every line with a doubtful word picks
-the likeliest reading. Counts are taken over all values; the tables sent to executors
+character confusions, each with its probability, and the word as it is read; the corpus
+gives word and word-pair likelihoods, and a Viterbi pass over the doubtful words and
+their neighbours picks the likeliest reading. A word is wrong where that is not the one
+read. Counts are taken over all values; the tables sent to executors
 hold only words and pairs above a share of all, which bounds them.
 """
 
@@ -29,6 +30,8 @@ CONFUSIONS = (
     ("ri", "n", 1e-3), ("li", "h", 1e-3), ("rn", "m", 1e-3), ("ii", "u", 1e-3), ("cl", "d", 1e-3), ("vv", "w", 1e-3), ("m", "in", 1e-3), ("m", "rn", 2e-4), ("d", "cl", 1e-4),
     ("l", "i", 2e-4), ("i", "l", 2e-4), ("b", "h", 2e-4), ("h", "b", 2e-4), ("u", "n", 1e-4), ("n", "u", 1e-4), ("e", "c", 2e-4), ("t", "f", 1e-4), ("nn", "m", 1e-4), ("lt", "h", 1e-4), ("q", "g", 1e-4), ("7", "t", 1e-4), ("4", "a", 1e-4), ("h", "li", 1e-4), ("n", "ri", 1e-4), ("w", "vv", 1e-4),
 )
+#: Share of words that no count speaks for, of letters alone or with digits and marks, and the letters they are spelt from.
+NEW, NEW_MIXED, LETTERS = 1e-3, 1e-6, 30.0
 _MARK = "-¬­‐‑"
 _WORD = r"[^\W_](?:[^\W_]|[|!@$](?=[^\W\d_])|[|@$](?=[\s.,;:)]|$))*|[|!@$](?=[^\W_]{2})(?:[^\W_]|[|!@$](?=[^\W\d_]))*"
 _TOKEN = re.compile(_WORD)
@@ -83,71 +86,105 @@ class Model:
             self.inverse.setdefault(seen, []).append((true, p))
         self.known: dict[str, tuple] = {}
         self.automaton, self.forms = Automaton(words), {}
-
-    def _variants(self, w: str, least: float) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for i in range(len(w)):
-            for k in (1, 2):
-                for true, p in self.inverse.get(w[i : i + k], ()) if i + k <= len(w) else ():
-                    if p < least:
-                        continue
-                    v = w[:i] + true + w[i + k :]
-                    out[v] = max(out.get(v, 0.0), p)
-        return out
-
-    def readings(self, w: str) -> tuple[tuple[str, float], ...]:
-        """(word, log channel probability) of what a doubtful word can be; nothing for
-        a word that stands as it is. Up to three characters may be misread."""
+        self.most = max(words.values(), default=1)
+        #: A pair that is not in the table can still be seen so often.
+        self.hidden = min(pairs.values(), default=1) - 1
+        self.into: dict[str, int] = {}
+        self.trusted: dict[str, float] = {}
+        for (_, b), n in pairs.items():
+            self.into[b] = max(self.into.get(b, 0), n)
+
+    def _new(self, w: str) -> float:
+        """How often a word no count speaks for is expected where it is read."""
+        return self.total * (NEW_MIXED if _MARKED_CHAR.search(w) else NEW) * LETTERS ** -len(w)
+
+    def _reached(self, w: str, least: float) -> dict[str, float]:
+        """Every word of the vocabulary of which ``w`` can be a misreading, with the
+        probability of the likeliest way: a walk over the trie without those below ``least``."""
+        states: list[dict[int, tuple[float, dict, str]]] = [{} for _ in range(len(w) + 1)]
+        states[0][id(self.automaton.root)] = (1.0, self.automaton.root, "")
+
+        def reach(i: int, p: float, node: dict, text: str) -> None:
+            if p >= least and (id(node) not in states[i] or states[i][id(node)][0] < p):
+                states[i][id(node)] = (p, node, text)
+
+        for i, c in enumerate(w):
+            ways = [(k, true, q) for k in (1, 2) if i + k <= len(w) for true, q in self.inverse.get(w[i : i + k], ())]
+            for p, node, text in states[i].values():
+                if (at := node.get(c)) is not None:
+                    reach(i + 1, p, at, text + c)
+                for k, true, q in ways:
+                    at = node
+                    for x in true:
+                        if (at := at.get(x)) is None:
+                            break
+                    else:
+                        reach(i + k, p * q, at, text + true)
+        # letters in another order were mistyped, not misread
+        return {u: p for p, node, u in states[-1].values() if "" in node and u != w and sorted(u) != sorted(w)}
+
+    def _true(self, w: str, ups: dict[str, float] | None = None) -> float:
+        """How often a word of the counts stood there itself: not those times that can
+        be misreadings of a commoner word, with room for pages that are read badly."""
+        if (n := self.trusted.get(w)) is None:
+            ups = self._reached(w, 1e-12) if ups is None else ups
+            slack = max((8 * self.words[u] * p + (2 if self.words[u] >= 20 else 0) for u, p in ups.items()), default=0.0)
+            n = max(0.0, self.words.get(w, 0) - slack)
+            if w in self.words:
+                self.trusted[w] = n
+        return n
+
+    def readings(self, w: str) -> tuple[tuple[str, float, float, bool], ...]:
+        """(word, log channel probability, count as a true word, as read) of what a
+        doubtful word can be, itself first; nothing for a word that no context changes."""
         if (r := self.known.get(w)) is not None:
             return r
-        own, level, best = self.words.get(w, 0), {w: 1.0}, {}
-        digits = bool(_MARKED_CHAR.search(w))
-        for _ in range(3 if digits or own < 3 else 1):
-            if len(level) > 4000 or len(w) > 40:
-                break
-            after: dict[str, float] = {}
-            for v, p in level.items():
-                for u, q in self._variants(v, 0.0 if v == w else 1e-3).items():
-                    if u != w:
-                        after[u] = max(after.get(u, 0.0), p * q)
-            hits = {u: p for u, p in after.items() if self.words.get(u, 0) > 0}
-            for u, p in hits.items():
-                n = self.words[u]
-                if sorted(u) == sorted(w):
-                    continue  # letters in another order were mistyped, not misread
-                if n >= 5 and (own <= 8 * n * p + (2 if n >= 20 else 0)) and n > 10 * own:
-                    best[u] = max(best.get(u, 0.0), p)
-            if best:
-                break
-            level = after
-        r = tuple((u, math.log(p)) for u, p in best.items())
+        own, new = self.words.get(w, 0), self._new(w)
+        ups = self._reached(w, new / (self.most * 1e6) if own == 0 else 1e-12)
+        s = self._true(w, ups)
+        stay = max(1e-6, 1.0 - sum(ups.values()))
+        unseen, best = min(s, self.hidden), []
+        for u, p in ups.items():
+            n = self._true(u)
+            # the most that pairs before and after can speak for u against w
+            gain = max(self.into.get(u, 0) / unseen if unseen else math.inf, n / (s + new)) * max(1.0, own / unseen if unseen else math.inf)
+            if p * gain > stay:
+                best.append((u, math.log(p), n, False))
+        r = ((w, math.log(stay), s + new, True), *best) if best else ()
         if len(self.known) > 500_000:
             self.known.clear()
         self.known[w] = r
         return r
 
-    def _step(self, a: str, b: str) -> float:
-        """Log likelihood of b after a, pairs interpolated with words."""
-        one = self.words.get(b, 0) / self.total
-        n = self.words.get(a, 0)
-        two = self.pairs.get((a, b), 0) / n if n else 0.0
-        return math.log(0.7 * two + 0.3 * one + 1e-9)
-
-    def decode(self, line: list[str]) -> list[str]:
-        """Viterbi over the candidate words of a line."""
-        paths: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
-        for w in line:
-            cands = self.readings(w) or ((w, 0.0),)
-            here: dict[str, tuple[float, tuple | None]] = {}
-            for c, channel in cands:
-                here[c] = max(((s + self._step(p, c) + channel, (p, back)) for p, (s, back) in paths.items()), key=lambda x: x[0])
-            paths = here
-        w, (_, back) = max(paths.items(), key=lambda x: x[1][0])
-        out = []
+    def _step(self, a: tuple, b: tuple) -> float:
+        """Log likelihood of b after a, pairs interpolated with words. A pair with a
+        doubtful word as read counts as often as it may be without being in the table,
+        but not more often than the word is true."""
+        n = self.words.get(a[0], 0)
+        two = self.pairs.get((a[0], b[0]), 0)
+        if n and (a[3] or b[3]):
+            two = max(two, self.hidden)
+            two = min(two, *(x[2] for x in (a, b) if x[3]), self.words.get(b[0], 0))
+        return math.log((0.7 * two / n if n else 0.0) + 0.3 * b[2] / self.total + 1e-30)
+
+    def decode(self, before: str, doubtful: list[str], after: str) -> list[str]:
+        """Viterbi over the candidates of neighbouring doubtful words between two that
+        stand; those part a line into stretches that do not touch one another."""
+        stands = lambda w: ((w, 0.0, float(self.words.get(w, 0)), False),)
+        paths: list[tuple[float, tuple, tuple | None]] = [(0.0, stands(before)[0], None)]
+        for cands in [*map(self.readings, doubtful), stands(after) if after else ()]:
+            if cands:
+                paths = [max(((s + self._step(a, c) + c[1], c, (a, back)) for s, a, back in paths), key=lambda x: x[0]) for c in cands]
+        _, last, back = max(paths, key=lambda x: x[0])
+        out = [last[0]]
         while back is not None:
-            out.append(w)
-            w, back = back
-        return out[::-1]
+            out.append(back[0][0])
+            back = back[1]
+        return out[::-1][1 : len(doubtful) + 1]
+
+    def misread(self, w: str) -> bool:
+        """Whether a word alone is likelier to be another."""
+        return bool(self.readings(w)) and self.decode("", [w], "") != [w]
 
     def joined(self, text: str) -> tuple[str, bool]:
         """Words divided at line ends in one piece; a hyphen for a left-out word part
@@ -164,7 +201,7 @@ class Model:
             if b.lower() in ("and", "or", "to") and mark == "-":
                 return m.group()
             n = self.words.get(whole, 0)
-            if sure or n >= 5 or (self.readings(whole) and not (self.words.get(a.lower(), 0) > 50 and self.words.get(b.lower(), 0) > 50)):
+            if sure or n >= 5 or (self.misread(whole) and not (self.words.get(a.lower(), 0) > 50 and self.words.get(b.lower(), 0) > 50)):
                 hit = again = True
                 return a + b
             return m.group()
@@ -199,12 +236,19 @@ class Model:
                 if r and not any(a <= at + toks[i].start() < b for a, b in urls):
                     doubtful.append(i)
             if doubtful:
-                best, pos, made = self.decode(low), 0, []
+                pos, made, free = 0, [], set(doubtful)
                 for i in doubtful:
-                    if best[i] != low[i]:
-                        hit = True
-                        made += [line[pos : toks[i].start()], _cased(toks[i].group(), best[i])]
-                        pos = toks[i].end()
+                    if i - 1 in free:
+                        continue
+                    j = i
+                    while j in free:
+                        j += 1
+                    best = self.decode(low[i - 1] if i else "", low[i:j], low[j] if j < len(low) else "")
+                    for k, word in enumerate(best, i):
+                        if word != low[k]:
+                            hit = True
+                            made += [line[pos : toks[k].start()], _cased(toks[k].group(), word)]
+                            pos = toks[k].end()
                 line_out = "".join(made) + line[pos:]
             else:
                 line_out = line

@@ -42,6 +42,13 @@ def test_repair(model, text, clean, kinds):
     assert set(got) == kinds and out.strip() == clean.strip()
 
 
+def test_pairs_decide_whether_a_word_is_misread():
+    """One misreading from a rare word a value stays as it is read, and is wrong only
+    after the word that always stands before the other."""
+    m = scan_noise.Model({"the": 900000, "of": 900000, "at": 400, "bad": 6}, {("at", "bad"): 6}, [])
+    assert m.repair("the had of the")[1] == () and m.repair("at had of the") == ("at bad of the", ("wrong_char",))
+
+
 def test_repair_over_tables(spark):
     chunks = spark.createDataFrame([(1, "the depot " * 30, None, 0), (2, None, "", 0), (3, "the dep0t " + "x" * 60000, "the depot", 0), (None, "the dep0t", None, 0), (3, "the dep0t " + "x" * 60000, "the depot", 0)], "chunk_seq long, text string, parent_context string, value int")
     reqs = spark.createDataFrame([(1, "the depot " * 40)], "req_seq long, source_quote string")
