@@ -5,7 +5,7 @@ then misread words are corrected by a noisy channel: candidates come from invers
 character confusions, each with its probability, and the word as it is read; the corpus
 gives word and word-pair likelihoods, and a Viterbi pass over the doubtful words and
 their neighbours picks the likeliest reading. A word is wrong where that is not the one
-read. Counts are taken over all values; the tables sent to executors
+read. Counts are taken over all different values; the tables sent to executors
 hold only words and pairs above a share of all, which bounds them.
 """
 
@@ -324,25 +324,20 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     for batch in batches:
-        for text, times in zip(batch.column("value").to_pylist(), batch.column("times").to_pylist()):
+        for text in batch.column("value").to_pylist():
             toks = word.findall(tail.sub(" # ", text.lower()))
-            if times == 1:
-                counts.update(toks)
-                counts.update(zip(toks, toks[1:]))
-            else:
-                for t in toks:
-                    counts[t] += times
-                for t in zip(toks, toks[1:]):
-                    counts[t] += times
+            counts.update(toks)
+            counts.update(zip(toks, toks[1:]))
         if len(counts) > 1_000_000:
             yield flush()
     yield flush()
 
 
 def statistics(values: DataFrame, word_share: float = 2e-7, pair_share: float = 5e-6) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
-    """Counts of words and word pairs over all values; kept are those of at least the
-    given shares of all words, thus at most ``1 / share`` of either."""
-    d = values.where("value <> ''").select("value", F.lit(1).alias("times"))
+    """Counts of words and word pairs over all different values, so that copies of a
+    misread value do not speak for its misreadings; kept are those of at least the given
+    shares of all words, thus at most ``1 / share`` of either."""
+    d = values.where("value <> ''").select("value").distinct()
     g = d.mapInArrow(_grams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     g = staged(g, "grams")
     total = g.where("b is null").agg(F.sum("n")).first()[0] or 0

@@ -58,6 +58,16 @@ def test_repair_over_tables(spark):
     assert scan_noise.found(chunks.limit(0), reqs.limit(0), manifest).count() == 0
 
 
+def test_copies_do_not_outvote_the_channel(spark):
+    """A misread value that is a third of all rows is found in each of its copies."""
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    right = [(i, f"the {n} modern officer {i}") for i, n in enumerate(names)]
+    reqs = spark.createDataFrame([*right, *((1000 + i, "the modem officer stays here") for i in range(50)), *((2000 + i, "an offieer") for i in range(50))], "req_seq long, source_quote string")
+    chunks = spark.createDataFrame([], "chunk_seq long, text string, parent_context string")
+    got = {tuple(r) for r in scan_noise.found(chunks, reqs, spark.createDataFrame([("A b c d",)], "title string")).collect()}
+    assert got == {("source_quote", i, "wrong_char") for i in [*range(1000, 1050), *range(2000, 2050)]}
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
