@@ -643,6 +643,18 @@ def trace_cross_matches(spark, d):
     return V.cross_matches(r, t).select("target", "req_seq", "source_pdf")
 
 
+@query(
+    """WITH t AS (SELECT req_seq AS target, source_ref, source_pdf AS own FROM sample_normalized_reqs WHERE req_seq % 50 = 0 AND source_ref <> ''),
+m AS (SELECT t.target, r.req_seq, r.source_pdf, row_number() OVER (PARTITION BY target, r.source_pdf ORDER BY r.req_seq) AS n FROM sample_normalized_reqs r JOIN t USING (source_ref) WHERE r.req_seq <> t.target AND (r.source_pdf IS NULL OR r.source_pdf IS DISTINCT FROM t.own))
+SELECT target, req_seq, source_pdf FROM m WHERE n = 1 OR source_pdf IS NULL"""
+)
+def trace_cross_matches_stated(spark, d):
+    """Targets are all rows whose number is divisible by 50 and that have a reference;
+    ``trace_cross_matches`` keeps the few targets its SQL names."""
+    r = reqs(spark, d)
+    return V.cross_matches(r, r.where("req_seq % 50 = 0")).select("target", "req_seq", "source_pdf")
+
+
 @query("SELECT source_pdf, req_seq, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY confidence DESC NULLS LAST, req_seq) AS n FROM sample_normalized_reqs WHERE upper(source_ref) = 'ENCLOSURE-3') WHERE n = 1")
 def compare_exact(spark, d):
     return V.compare_exact(reqs(spark, d), "enclosure-3").select("source_pdf", "req_seq", "confidence")

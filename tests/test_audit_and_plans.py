@@ -47,3 +47,17 @@ def test_operators_take_empty_tables(spark):
     assert Q.deduplicated(empty).count() == 0 and Q.fold_duplicates(empty).count() == 0
     assert V.checklist(empty, "cybersecurity").count() == 0
     assert Q.stats(empty, empty, catalogue.chunks(spark, DATA).limit(0)).first().coverage_pct == 0.0
+
+
+def test_trace_takes_every_stated_target(spark):
+    """The targets are those of all types and references, as counted by hand."""
+    rows = [tuple(r) for r in catalogue.reqs(spark, DATA).select("req_seq", "source_ref", "source_pdf").collect()]
+    want = set()
+    for t, ref, own in (r for r in rows if r[0] % 50 == 0 and r[1]):
+        first = {}
+        for k, x, pdf in sorted(rows, key=lambda r: r[0]):
+            if x == ref and k != t and (pdf is None or pdf != own):
+                first.setdefault(pdf if pdf is not None else k, (t, k, pdf))
+        want |= set(first.values())
+    got = {tuple(r) for r in catalogue.QUERIES["trace_cross_matches_stated"](spark, DATA).collect()}
+    assert got == want and want
