@@ -596,6 +596,33 @@ def hybrid_rrf_hyde(spark, d):
     return _show(R.fused(_legs(spark, d, True), 20, "req_seq", min_score=0.02))
 
 
+_STATED = "q AS (SELECT req_seq AS query_id, coalesce(source_quote, '') AS query FROM sample_normalized_reqs WHERE req_seq % 50 = 0)"
+
+
+def _lex_stated(spark, d, idf=True, where="true"):
+    """The queries are the quotes of all rows whose number is divisible by 50, against all rows."""
+    r = reqs(spark, d)
+    asked = r.where("req_seq % 50 = 0").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
+    return R.lexical_scores(r.where(where), asked, "req_seq", "source_quote", idf)
+
+
+@query(f"WITH {_bm25(False, asked=_STATED)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_tf_stated(spark, d):
+    return _show(R.top(_lex_stated(spark, d, False), 100, "req_seq"))
+
+
+@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_idf_stated(spark, d):
+    return _show(R.top(_lex_stated(spark, d), 100, "req_seq"))
+
+
+@query(f"WITH {_bm25(True, '''list_has_any(coalesce(domain_tags, []), ['access-control', 'privacy']) AND requirement_type IN ('policy', 'guidance')''', _STATED)}, {_ranked('lex', 50, 'r')} {_TOP}")
+def filtered_search_stated(spark, d):
+    """The filters are those of the rows searched; every stated row is a query."""
+    f = R.query_filter(tags=["Access Control", "privacy"], types=["policy", "guidance"])
+    return _show(R.top(_lex_stated(spark, d, where=f), 50, "req_seq"))
+
+
 _NAMES = ["PTG_7513.35", "HARV 5597.03.pdf", "no such file"]
 
 
@@ -666,6 +693,12 @@ def compare_semantic(spark, d):
     return V.compare_ranked(hits).select("req_seq", "source_ref", "source_pdf", F.col("rank").cast("long").alias("rank"), F.col("ref_rank").cast("long").alias("ref_rank"))
 
 
+@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.*, source_ref, source_pdf FROM k JOIN sample_normalized_reqs USING (req_seq)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_ref, source_pdf ORDER BY rank, req_seq) AS n FROM h) SELECT query_id, req_seq, source_ref, source_pdf, rank, min(rank) OVER (PARTITION BY query_id, source_ref) AS ref_rank FROM o WHERE n = 1")
+def compare_semantic_stated(spark, d):
+    hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d).select("req_seq", "source_ref", "source_pdf"), "req_seq")
+    return V.compare_ranked(hits, by=("query_id",)).select("query_id", "req_seq", "source_ref", "source_pdf", F.col("rank").cast("long").alias("rank"), F.col("ref_rank").cast("long").alias("ref_rank"))
+
+
 _ONE, _TWO = "coalesce(source_pdf LIKE 'PTG%', false)", "coalesce(source_pdf LIKE 'HARV%', false)"
 
 
@@ -688,6 +721,15 @@ def evidence_groups(spark, d):
     return V.evidence_groups(hits).select("group_key", F.col("first_rank").cast("long").alias("first_rank"), "representative", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 
 
+@query(
+    f"""WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.query_id, k.rank, r.*, CASE WHEN {_REF} = '' THEN '__no_ref__' || req_seq WHEN {_BARE} AND {_ABOVE} IS NULL THEN '__bare_fragment__' || req_seq WHEN {_BARE} THEN {_ABOVE} || {_REF} ELSE {_REF} END AS group_key FROM k JOIN sample_normalized_reqs r USING (req_seq))
+SELECT query_id, group_key, min(rank) AS first_rank, arg_max(req_seq, {{'c': coalesce(confidence, 0), 'r': -rank}}) AS representative, string_agg(CAST(req_seq AS VARCHAR), ',' ORDER BY rank) AS sources FROM h GROUP BY query_id, group_key"""
+)
+def evidence_groups_stated(spark, d):
+    hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d), "req_seq")
+    return V.evidence_groups(hits, by=("query_id",)).select("query_id", "group_key", F.col("first_rank").cast("long").alias("first_rank"), "representative", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
 _REASONS = """array_to_string(list_filter([CASE WHEN coalesce(source_ref, '') = '' THEN 'missing-source-ref' END, CASE WHEN len(coalesce(section_title_path, [])) = 0 THEN 'missing-section-title-path' END, CASE WHEN page_start IS NULL THEN 'missing-page-refs' END,
 CASE WHEN len(coalesce(domain_tags, [])) = 0 THEN 'missing-domain-tags' END, CASE WHEN coalesce(confidence, 0) < 0.8 THEN 'low-confidence' END, CASE WHEN coalesce(domain_profile, 'cybersecurity') <> 'cybersecurity' THEN 'profile-mismatch' END], lambda x: x IS NOT NULL), ',')"""
 _LISTED = f"FROM sample_normalized_reqs WHERE coalesce(requirement_id, '') <> '' AND {_strip("coalesce(source_quote, '')")} <> ''"
@@ -968,6 +1010,12 @@ def evidence_prompt(spark, d):
     return V.evidence_lines(hits).select(F.col("rank").cast("long").alias("rank"), "line")
 
 
+@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')} SELECT k.query_id, k.rank, '[' || k.rank || '] ' || coalesce(source_ref, '-') || ' (' || coalesce(source_pdf, '-') || '): ' || coalesce(nullif(description, ''), source_quote) AS line FROM k JOIN sample_normalized_reqs USING (req_seq)")
+def evidence_prompt_stated(spark, d):
+    hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d), "req_seq")
+    return V.evidence_lines(hits, by=("query_id",)).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
+
+
 @query("SELECT CASE WHEN count(DISTINCT domain_profile) = 1 AND max(domain_profile) = 'cybersecurity' THEN 'access-control, audit-and-logging, privacy' ELSE 'general' END AS tags FROM sample_normalized_reqs")
 def domain_tag_rule(spark, d):
     return A.tag_rule(reqs(spark, d), {"cybersecurity": ["access-control", "audit-and-logging", "privacy", "maintenance"]})

@@ -29,11 +29,12 @@ def compare_exact(reqs: DataFrame, ref: str, key: str = "req_seq") -> DataFrame:
     return greatest_row(reqs.where(F.upper("source_ref") == ref.strip().upper()), ["source_pdf"], [F.col("confidence"), -F.col(key)])
 
 
-def compare_ranked(hits: DataFrame, key: str = "req_seq") -> DataFrame:
-    """Of ranked hits the first for each reference and document, references by rank."""
-    w = W.partitionBy("source_ref", "source_pdf").orderBy("rank", key)
+def compare_ranked(hits: DataFrame, key: str = "req_seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """Of ranked hits the first for each reference and document, references by rank;
+    each query by itself where ``by`` names its column."""
+    w = W.partitionBy(*by, "source_ref", "source_pdf").orderBy("rank", key)
     d = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return d.withColumn("ref_rank", F.min("rank").over(W.partitionBy("source_ref")))
+    return d.withColumn("ref_rank", F.min("rank").over(W.partitionBy(*by, "source_ref")))
 
 
 def compare_split(reqs: DataFrame, one: Column, two: Column) -> DataFrame:
@@ -52,13 +53,13 @@ def evidence_key(key: Column) -> tuple[Column, Column]:
     return group, F.when(ref == "", "(no ref)").when(bare & above.isNotNull(), F.concat(above, ref)).otherwise(ref)
 
 
-def evidence_groups(hits: DataFrame, key: str = "req_seq") -> DataFrame:
+def evidence_groups(hits: DataFrame, key: str = "req_seq", by: tuple[str, ...] = ()) -> DataFrame:
     """Groups by key in order of their first hit; the most confident hit represents,
-    the first of equals; all hits are sources."""
+    the first of equals; all hits are sources. ``by``: as in ``compare_ranked``."""
     group, label = evidence_key(F.col(key))
     d = hits.withColumns({"group_key": group, "label": label})
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key])
-    return d.groupBy("group_key").agg(F.min("rank").alias("first_rank"), F.min_by("label", "rank").alias("label"), F.max_by(key, F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("rank"))).alias("representative"), ordered.alias("sources"))
+    return d.groupBy(*by, "group_key").agg(F.min("rank").alias("first_rank"), F.min_by("label", "rank").alias("label"), F.max_by(key, F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("rank"))).alias("representative"), ordered.alias("sources"))
 
 
 def checklist(reqs: DataFrame, profile: str, threshold: float = 0.8) -> DataFrame:
@@ -83,7 +84,7 @@ def checklist_summary(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total"), F.count_if("requires_human_review").alias("needing_review"))
 
 
-def evidence_lines(hits: DataFrame) -> DataFrame:
+def evidence_lines(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each hit as a numbered line for a prompt: description, else quote."""
     body = F.coalesce(F.nullif("description", F.lit("")), F.col("source_quote"))
-    return hits.select("rank", F.format_string("[%d] %s (%s): %s", "rank", F.coalesce("source_ref", F.lit("-")), F.coalesce("source_pdf", F.lit("-")), body).alias("line"))
+    return hits.select(*by, "rank", F.format_string("[%d] %s (%s): %s", "rank", F.coalesce("source_ref", F.lit("-")), F.coalesce("source_pdf", F.lit("-")), body).alias("line"))
