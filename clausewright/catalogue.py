@@ -441,10 +441,20 @@ a AS (SELECT count(*) AS requirements, coalesce(round(avg(confidence), 3), 0) AS
 SELECT requirements, failures, requirements + failures AS requirements_before, chunks, avg_confidence, distinct_refs, round(covered * 100.0 / chunks, 1) AS coverage_pct, round(requirements * 1000.0 / chars, 3) AS per_1000_chars, round(requirements * 100.0 / (requirements + failures), 1) AS success_pct FROM a, f, c"""
 )
 def stats_summary(spark, d):
+    """The rules that need no fuzzy ratio, without rows with a definitional opener; all
+    rules and rows are in ``stats_whole``."""
     v = _joined(spark, d).where(~F.coalesce("source_quote", F.lit("")).rlike("(?i)as defined in")).withColumn("error", Q.first_error())
     return Q.stats(v.where("error is null"), v.where("error is not null"), C.latest_delivery(chunks(spark, d)))
 
 
+@query()
+def stats_whole(spark, d):
+    """The statistics of the operator's whole cascade over all rows, with grounding and
+    heading echo; ``stats_summary`` keeps the rules that its SQL can say."""
+    v = Q.validated(_joined(spark, d))
+    return Q.stats(v.where("error is null"), v.where("error is not null"), C.latest_delivery(chunks(spark, d)))
+
+
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(domain_tags) AS tag FROM sample_normalized_reqs) GROUP BY tag")
 def tag_histogram(spark, d):
     return Q.tag_histogram(reqs(spark, d))

@@ -72,3 +72,15 @@ def test_searches_take_every_stated_query(spark):
         assert {r[0] for r in got.select("query_id").distinct().collect()} == asked and len(asked) > 4, name
         if name.startswith("bm25"):
             assert got.where("query_id = req_seq").count() == len(asked)
+
+
+def test_stats_count_the_whole_cascade(spark, tmp_path):
+    """Ungrounded quotes and heading echoes are failures, definitional openers count."""
+    text = "Access Control Policy. The depot shall keep the logs of every officer. The fleet as defined in the annex shall report."
+    spark.createDataFrame([("d", 1, text, 1, 1, None, "2025-01-01", 1)], "document_id string, chunk_id int, text string, page_start int, page_end int, parent_header_text string, ingested_at string, chunk_seq long").write.parquet(f"{tmp_path}/sample_chunks.parquet")
+    quotes = ["The depot shall keep the logs of every officer.", "Quarterly zebra juggling workshops must exclude xylophones!", "Access Control Policy", "The fleet as defined in the annex shall report.", ""]
+    rows = [(i, "d", 1, q, "AC-1", "A description of some length.", ["Access Control Policy"], 0.5) for i, q in enumerate(quotes)]
+    spark.createDataFrame(rows, "req_seq long, document_id string, chunk_id int, source_quote string, source_ref string, description string, section_title_path array<string>, confidence double").write.parquet(f"{tmp_path}/sample_normalized_reqs.parquet")
+    got = catalogue.QUERIES["stats_whole"](spark, str(tmp_path)).first()
+    assert (got.requirements, got.failures, got.requirements_before, got.success_pct) == (2, 3, 5, 40.0)
+    assert (got.chunks, got.distinct_refs, got.coverage_pct, got.avg_confidence, got.per_1000_chars) == (1, 1, 100.0, 0.5, round(2000 / len(text), 3))
