@@ -171,13 +171,13 @@ class Tagger:
         self.types: dict[str, int] = {}
         self.score = np.zeros((4096, len(_OFFSETS), _L), np.float32)
         self.score[0] = self.w[:, 0]
-        self.hot = np.zeros(4096, bool)
+        self.hot, self.glued = np.zeros((2, 4096), bool)
         self.n = 1
 
     def _type(self, token: str) -> int:
         if self.n == len(self.hot):
             self.score = np.concatenate([self.score, np.zeros_like(self.score)])
-            self.hot = np.concatenate([self.hot, np.zeros_like(self.hot)])
+            self.hot, self.glued = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hot, self.glued))
         w, i = token.lstrip(), self.n
         fs = [self.index[f] for f in token_features(token) if f in self.index]
         self.score[i] = self.w[:, fs].sum(axis=1) if fs else 0
@@ -185,6 +185,7 @@ class Tagger:
             if not start(w[0]):
                 self.score[i, _OFFSETS.index(0), LABELS.index(label)] = _NONE
         self.hot[i] = w[0].isdigit() or w in "@[" or token == "at" or w.lower() == "dot" or (w[0].isalpha() and not w.islower())
+        self.glued[i] = not token[0].isspace()
         self.types[token] = i
         self.n += 1
         return i
@@ -232,7 +233,11 @@ class Tagger:
         near = np.zeros(len(ids) + 1, np.int32)
         np.add.at(near, np.maximum(at - 7, 0), 1)
         np.add.at(near, np.minimum(at + 5, len(ids)), -1)
-        use = (np.cumsum(near[:-1]) > 0) & (ids > 0)
+        # tokens without white space between them are in or out together
+        run = np.cumsum(~self.glued[ids])
+        reached = np.zeros(run[-1] + 1, bool)
+        reached[run[np.cumsum(near[:-1]) > 0]] = True
+        use = reached[run] & (ids > 0)
         edge = np.diff(np.concatenate([[0], use.view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         e = np.zeros((len(ids), _L), np.float32)

@@ -165,6 +165,14 @@ def test_viterbi_is_the_best_path(field):
     assert tuple(y[:3]) == best
 
 
+def test_no_mention_is_cut_by_the_window(field):
+    """An address with a domain of three parts ends the text, alone or beside others."""
+    text = "all questions go to adahlescu@office.example.net."
+    want = [(text.index("adah"), len(text) - 1, "email")]
+    t = P.Tagger(field)
+    assert t.tag([text]) == [want] and t.tag([text, "Anna Bell", text])[::2] == [want, want]
+
+
 def test_redaction(spark, field):
     text = "Questions go to anna.bel@mail.example. Return the form to 12 Old Corburg Street, Port Lund."
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, "plain words only", 0), (None, text, 0), (5, "Anna " * 20000, 0), (1, text, 0)], "doc_id long, text string, kinds int")
