@@ -49,6 +49,13 @@ def test_pairs_decide_whether_a_word_is_misread():
     assert m.repair("the had of the")[1] == () and m.repair("at had of the") == ("at bad of the", ("wrong_char",))
 
 
+@pytest.mark.parametrize("seen,true", [("8a8y", "baby"), ("he1icopter" * 5, "helicopter" * 5), ("clepartmeut", "department")])
+def test_all_misreadings_are_searched(seen, true):
+    """Two of the rarer kinds, a word of 50 letters, and two in a word seen three times."""
+    m = scan_noise.Model({"the": 60000000, "baby": 5000, "helicopter" * 5: 40, "department": 10000000, "clepartmeut": 3}, {}, [])
+    assert m.repair(f"the {seen} the") == (f"the {true} the", ("wrong_char",))
+
+
 def test_repair_over_tables(spark):
     chunks = spark.createDataFrame([(1, "the depot " * 30, None, 0), (2, None, "", 0), (3, "the dep0t " + "x" * 60000, "the depot", 0), (None, "the dep0t", None, 0), (3, "the dep0t " + "x" * 60000, "the depot", 0)], "chunk_seq long, text string, parent_context string, value int")
     reqs = spark.createDataFrame([(1, "the depot " * 40)], "req_seq long, source_quote string")
