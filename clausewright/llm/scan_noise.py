@@ -7,21 +7,29 @@ gives word and word-pair likelihoods, and a Viterbi pass over the doubtful words
 their neighbours picks the likeliest reading. A word is wrong where that is not the one
 read. Counts are taken over all different values; the tables sent to executors
 hold only words and pairs above a share of all, which bounds them.
+
+A running head is known because it repeats: the same piece of a line, but for its
+digits, on several pages of one publication or, with digits, in several publications;
+a publication's own title and key, if there is a register of them, count too. These
+are joined to the rows of their publication. A bare number is a page number where it
+is the page its row is on or the next to it, or other numbers stand alone on other
+pages as well.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import staged
-from .lookalikes import Automaton, consistent, values_of
+from .lookalikes import Automaton, consistent
 
 #: What is read, what stood there, and how often it is so misread.
 CONFUSIONS = (
@@ -41,46 +49,72 @@ _MARKED_CHAR = re.compile(r"[|!@$\d]")
 _URL = re.compile(r"\S*(?:://|www\.)\S*")
 _LIST_LINE = re.compile(r"\s*(?:\(?\w{1,4}[.)]|[•*–-])\s|\s*\d+(?:\.\d+)*\.?\s+[A-Z]|\s*[A-Z][\w ]{0,30}:\s|\s*\|")
 _ITEM = re.compile(r"\s*\(([a-z0-9])\)\s")
-_CODE = r"[A-Z]{2,5} \d{3,5}\.\d{1,3}"
 _PAGE = r"(?:Page \d+(?: of \d+)?|p\. ?\d+|- ?\d+ ?-|\d+ ?\| ?P a g e|\[\d+\])"
+_BARE = re.compile(r"(?:\d{1,3}-)?(\d{1,4})")
+#: What can be a piece of a running head: a capital or digit first, no sign of a sentence, list or field.
+_PIECE = r"^(?=.*(?:[\p{L}\p{N}]\s+\S|\d))(?=.*\p{L})[\p{Lu}0-9][^:=|;]{0,99}(?<![.,!?¬\u00AD-])$"
+_SEPARATOR = "\x1f"
 
 
 class Furniture:
-    """Patterns of running heads and page numbers, with the given titles as heads."""
-
-    def __init__(self, titles: list[str]):
-        title = "|".join(re.escape(t) for t in sorted({t.strip() for t in titles if t and len(t.split()) > 2}, key=len, reverse=True))
-        head = rf"(?:ENCLOSURE \d+|(?:Change|Revision) \d+, {_CODE}|{_CODE}(?:, (?:\d{{4}}-\d\d-\d\d|undated))?" + (rf"(?:\s+(?i:{title}))?|(?i:{title}))" if title else ")")
-        bare = r"\d{1,4}(?:-\d{1,4})?"
-        line = rf"(?:{head}|{_PAGE}|{bare})(?:\s+(?:{head}|{_PAGE}|{bare}))*"
-        self.line = re.compile(rf"(?m)^[ \t]*{line}[ \t]*(?:\r?$|$)")
-        starts = "|".join(sorted({re.escape(" ".join(t.split()[:2])) for t in titles if t and len(t.split()) > 2}))
-        self.hint = re.compile(r"Page \d|p\. ?\d|P a g e|\[\d|- ?\d+ ?-(?!\w)|ENCLOSURE|Change \d|Revision \d|[A-Z] \d{3,5}\.\d" + (rf"|(?i:{starts})" if starts else ""))
-        strong = rf"(?:{head}|{_PAGE})"
-        self.inline = re.compile(rf"(?<!\S)(?:{bare}\s+(?={head}))?{strong}(?:\s+{strong})*(?:\s{{2,}}{bare})?(?!\S)")
-
-    def without(self, text: str) -> tuple[str, bool]:
-        """The text with furniture replaced by nothing, and whether it held any."""
-        out, hit = [], False
-        lines = text.split("\n")
-        for i, ln in enumerate(lines):
-            if ln.strip() and len(lines) > 1 and self.line.fullmatch(ln.rstrip("\r")):
+    """Patterns of running heads and page numbers. ``heads`` are pieces with their
+    digits as #; after = comes the publication's key, which a numbered label can precede
+    and a date follow. Bare numbers are page numbers by themselves where ``#`` or
+    ``#-#`` is one of the heads."""
+
+    def __init__(self, heads: tuple[str, ...] = ()):
+        self.bare = {h for h in heads if h in ("#", "#-#")}
+        keys = sorted({h[1:] for h in heads if h[0] == "="}, key=lambda h: (-len(h), h))
+        pieces = sorted({h for h in heads if h not in self.bare and h[0] != "="}, key=lambda h: (-len(h), h))
+        form = lambda h: re.sub(r"(?:\\ )+", " +", re.escape(h)).replace(r"\#", r"\d+")
+        forms = [rf"(?:[A-Z][a-z]+ \d+, )?{form(k)}(?:, (?:\d{{4}}-\d\d-\d\d|undated))?" for k in keys] + [form(h) for h in pieces]
+        strong = "(?:" + "|".join([*forms, _PAGE]) + ")"
+        bare = r"(?:\d{1,3}-)?\d{1,4}"
+        self.line = re.compile(rf"(?:{bare}\s+)?{strong}(?:\s+(?:{strong}|{bare}))*")
+        starts = sorted({form(h[:12].rstrip()) for h in (*keys, *pieces)})
+        self.hint = re.compile("|".join([r"Page \d|p\. ?\d|P a g e|\[\d|- ?\d+ ?-(?!\w)", *starts]))
+        before = rf"(?:{bare}\s+(?=(?:{'|'.join(forms)})))?" if forms else ""
+        self.inline = re.compile(rf"(?<!\S){before}{strong}(?:\s+{strong})*(?:\s{{2,}}{bare})?(?!\S)")
+
+    def _marked(self, lines: list[str], first: int | None, last: int | None) -> list[bool]:
+        kept = [ln.strip() for ln in lines]
+        out = [bool(s and self.line.fullmatch(s)) for s in kept]
+        numbers = [(i, m) for i, s in enumerate(kept) if s and (m := _BARE.fullmatch(s))]
+        for i, m in numbers:
+            n = int(m.group(1))
+            here = first is not None and first - 1 <= n <= max(first, last or first) + 1
+            out[i] = here or ("#-#" if "-" in kept[i] else "#") in self.bare
+        for i, _ in numbers:  # beside a head
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(kept) and not kept[j]:
+                    j += step
+                out[i] = out[i] or 0 <= j < len(kept) and out[j]
+        return out
+
+    def without(self, text: str, first: int | None = None, last: int | None = None) -> tuple[str, bool]:
+        """The text with furniture replaced by nothing, and whether it held any; ``first``
+        and ``last`` are the pages it is from."""
+        hit = False
+        if "\n" in text:
+            lines = text.split("\n")
+            marked = self._marked(lines, first, last)
+            if any(marked):
                 hit = True
-                continue
-            out.append(ln)
-        text = "\n".join(out)
-        if hit:
-            text = re.sub(r"(?<![.:;!?\s])(?:[ \t]*\r?\n){2,}|(?:[ \t]*\r?\n){2,}(?=\s*[a-z])", "\n", text)
+                text = "\n".join(ln for ln, out in zip(lines, marked) if not out)
+                text = re.sub(r"(?<![.:;!?\s])(?:[ \t]*\r?\n){2,}|(?:[ \t]*\r?\n){2,}(?=\s*[a-z])", "\n", text)
         cut, n = self.inline.subn(" ", text) if self.hint.search(text) else (text, 0)
         return (re.sub(r"  +", " ", cut) if n else text), hit or n > 0
 
 
+PLAIN = Furniture()
+
+
 class Model:
     """Word and word-pair counts with the channel."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], titles: list[str]):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.words, self.pairs, self.total = words, pairs, max(1, sum(words.values()))
-        self.furniture = Furniture(titles)
         self.inverse: dict[str, list[tuple[str, float]]] = {}
         for seen, true, p in CONFUSIONS:
             self.inverse.setdefault(seen, []).append((true, p))
@@ -256,11 +290,11 @@ class Model:
             at += len(line)
         return "".join(out), hit
 
-    def repair(self, text: str) -> tuple[str, tuple[str, ...]]:
+    def repair(self, text: str, furniture: Furniture = PLAIN, first: int | None = None, last: int | None = None) -> tuple[str, tuple[str, ...]]:
         """The repaired text and the kinds of noise the value held."""
         kinds = []
-        clean, furniture = self.furniture.without(consistent(text, self.automaton, self.forms) if not text.isascii() else text)
-        if furniture:
+        clean, furnished = furniture.without(consistent(text, self.automaton, self.forms) if not text.isascii() else text, first, last)
+        if furnished:
             kinds.append("page_furniture")
         clean, broken = self.joined(clean)
         if broken:
@@ -273,7 +307,7 @@ class Model:
 
 def _doubtful(w: str) -> bool:
     letters = sum(c.isalpha() for c in w)
-    return len(w) > 1 and letters * 2 >= len(w) and not (letters and not w.isascii())
+    return len(w) > 1 and letters * 2 >= len(w) and (w.isascii() or all(c < "ɐ" for c in w))
 
 
 def _cased(seen: str, word: str) -> str:
@@ -333,10 +367,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def statistics(values: DataFrame, word_share: float = 2e-7, pair_share: float = 5e-6) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+def statistics(values: DataFrame, word_share: float = 2e-7, pair_share: float = 5e-6) -> tuple[dict[str, int], dict[tuple[str, str], int], int]:
     """Counts of words and word pairs over all different values, so that copies of a
-    misread value do not speak for its misreadings; kept are those of at least the given
-    shares of all words, thus at most ``1 / share`` of either."""
+    misread value do not speak for its misreadings, and the number of all words; kept
+    are those of at least the given shares of all words, thus at most ``1 / share`` of either."""
     d = values.where("value <> ''").select("value").distinct()
     g = d.mapInArrow(_grams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     g = staged(g, "grams")
@@ -344,37 +378,107 @@ def statistics(values: DataFrame, word_share: float = 2e-7, pair_share: float =
     word = F.col("a").rlike(r"^\p{L}+$")
     ones = g.where(word & F.col("b").isNull() & (F.col("n") >= max(2, int(total * word_share))))
     twos = g.where(word & F.col("b").rlike(r"^\p{L}+$") & (F.col("n") >= max(3, int(total * pair_share))))
-    return {r[0]: r[2] for r in ones.collect()}, {(r[0], r[1]): r[2] for r in twos.collect()}
+    return {r[0]: r[2] for r in ones.collect()}, {(r[0], r[1]): r[2] for r in twos.collect()}, total
+
+
+def publication(pdf: Column) -> Column:
+    """A file name without its ending, however it is written."""
+    return F.lower(F.regexp_replace(F.regexp_replace(pdf, r"(?i)\.pdf$", ""), r"[\s_]+", " "))
+
+
+def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.002, doc_share: float = 0.01) -> tuple[DataFrame, list[str]]:
+    """(doc, heads) of each publication, the heads joined in one string, and the heads
+    with digits of all publications.
+
+    A piece is a whole line or a part between wider gaps. It is a head of its publication
+    if it is on two of its pages (``place``) and on ``page_share`` of them, and of all if it
+    has digits and is in three publications and in ``doc_share`` of them; both shares
+    bound what is kept. Titles of three words or more and keys come from the register.
+    """
+    v = values.where("doc is not null and place is not null and contains(value, '\n')")
+    lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))
+    pieces = F.filter(F.flatten(F.transform(F.filter(lines, lambda x: F.length(x) <= 160), lambda x: F.split(x, r"\s{2,}"))), lambda x: x.rlike(_PIECE))
+    numbers = F.filter(lines, lambda x: x.rlike(r"^(?:\d{1,3}-)?\d{1,4}$"))
+    d = v.select("doc", "place", F.explode(F.concat(pieces, numbers)).alias("piece"))
+    d = d.groupBy("doc", F.regexp_replace("piece", r"\d+", "#").alias("head"), "place").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"))
+    d = staged(d.groupBy("doc", "head").agg(F.count("*").alias("n"), (F.min("lo") != F.max("hi")).alias("differs")), "pieces")
+    sizes = v.groupBy("doc").agg(F.approx_count_distinct("place").alias("places"))
+    own = d.where("n >= 2 and (differs or head not in ('#', '#-#'))").join(sizes, "doc").where(F.col("n") >= F.col("places") * page_share).select("doc", "head")
+    docs = d.select("doc").distinct().count()
+    common = d.where(F.col("head").rlike(r"#.*\p{L}|\p{L}.*#")).groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, docs * doc_share))
+    key = publication(F.col("source_pdf")).alias("doc")
+    m = {c: F.col(c) if c in manifest.columns else F.lit(None).cast("string") for c in ("source_pdf", "title", "doc_key")}
+    known = manifest.select(*(x.cast("string").alias(c) for c, x in m.items()))
+    titles = known.where(F.col("title").rlike(r"^\S+(?:\s+\S+){2}")).select(key, F.trim("title").alias("head"))
+    keys = known.where("doc_key rlike '[0-9]' and doc_key rlike '[A-Za-z]'").select(key, F.concat(F.lit("="), F.regexp_replace(F.trim("doc_key"), r"\d+", "#")).alias("head"))
+    all_ = own.unionByName(titles).unionByName(titles.select("doc", F.upper("head").alias("head"))).unionByName(keys).where("doc is not null")
+    heads = all_.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("head")), _SEPARATOR).alias("heads"))
+    return staged(heads, "heads"), sorted(r["head"] for r in common.select("head").collect())
+
+
+_MODELS: dict[str, Model] = {}
+
+
+def _model(key: str, shared) -> Model:
+    """One model a process for each run of the operator, however many tasks it has."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*shared.value[:2])
+    return _MODELS[key]
 
 
 def repaired(values: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(field_name, row_seq, repaired, kinds) of every value with text. Nulls and empty
-    texts give no row; whole texts are read, of any length. Titles are those of the
-    manifest, a table of fixed size."""
-    words, pairs = statistics(values)
-    titles = [r[0] for r in manifest.select("title").where("title is not null").distinct().collect()]
-    shared = values.sparkSession.sparkContext.broadcast((words, pairs, titles))
+    """(field_name, row_seq, repaired, kinds) of every row of ``scanned_values`` with text.
+    Nulls and empty texts give no row; whole texts are read, of any length. Rows without
+    publication or pages are rid only of what shows it in itself. Texts are spread by
+    their keys over tasks of like size, wherever they were stored."""
+    words, pairs, total = statistics(values)
+    heads, common = running_heads(values, manifest)
+    spark = values.sparkSession
+    shared, run_key = spark.sparkContext.broadcast((words, pairs, tuple(common))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Model(*shared.value), {}
+        model, common, seen, furniture = _model(run_key, shared), shared.value[2], {}, {}
         for b in batches:
             texts, kinds = [], []
-            for v in b.column("value").to_pylist():
-                if (r := seen.get(v)) is None:
-                    r = model.repair(v)
+            for v, h, first, last in zip(*(b.column(c).to_pylist() for c in ("value", "heads", "page_first", "page_last"))):
+                if (r := seen.get((v, h, first, last))) is None:
+                    if (f := furniture.get(h)) is None:
+                        if len(furniture) > 2000:
+                            furniture.clear()
+                        f = furniture[h] = Furniture((*(x for x in h.split(_SEPARATOR) if x), *common) if h else common)
+                    r = model.repair(v, f, first, last)
                     if len(v) < 2000:
                         if len(seen) > 5000:
                             seen.clear()
-                        seen[v] = r
+                        seen[v, h, first, last] = r
                 texts.append(r[0])
                 kinds.append(r[1])
             yield pa.RecordBatch.from_arrays([b.column("field_name"), b.column("row_seq"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["field_name", "row_seq", "repaired", "kinds"])
 
-    return values.where("value <> ''").mapInArrow(run, "field_name string, row_seq long, repaired string, kinds array<string>")
+    parts = max(3 * spark.sparkContext.defaultParallelism, total // 1_000_000)
+    d = values.where("value <> ''").select("field_name", "row_seq", "value", "doc", "page_first", "page_last").repartition(int(parts), "field_name", "row_seq")
+    d = d.join(heads, "doc", "left").select("field_name", "row_seq", "value", "heads", "page_first", "page_last")
+    return d.mapInArrow(run, "field_name string, row_seq long, repaired string, kinds array<string>")
+
+
+def _values(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """(field_name, row_seq, value, doc, place, page_first, page_last) of each named text
+    column. The publication is told by the file, else by the document; a column that is
+    missing counts as null. The context of a parent is from another place."""
+    have = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+    doc = F.coalesce(publication(have("source_pdf", "string")), have("document_id", "string"))
+    d = df.select(
+        F.col(key).cast("long").alias("row_seq"), doc.alias("doc"), F.xxhash64(have("document_id", "string"), have("chunk_id", "long")).alias("at"), have("chunk_id", "long").isNotNull().alias("placed"),
+        have("page_start", "int").alias("page_first"), have("page_end", "int").alias("page_last"),
+        F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"),
+    )
+    place = F.when(F.col("placed") & (F.col("x.field_name") != "parent_context"), F.col("at"))
+    return d.select("x.field_name", "row_seq", "x.value", "doc", place.alias("place"), "page_first", "page_last")
 
 
 def scanned_values(chunks: DataFrame, reqs: DataFrame) -> DataFrame:
-    return values_of(chunks, "chunk_seq", "text", "parent_context").unionByName(values_of(reqs, "req_seq", "source_quote"))
+    return _values(chunks, "chunk_seq", "text", "parent_context").unionByName(_values(reqs, "req_seq", "source_quote"))
 
 
 def found(chunks: DataFrame, reqs: DataFrame, manifest: DataFrame) -> DataFrame:

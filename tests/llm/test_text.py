@@ -13,7 +13,11 @@ WORDS = {"required": 900, "paragraph": 800, "depot": 500, "the": 9000, "supervis
 
 @pytest.fixture(scope="module")
 def model():
-    return scan_noise.Model(WORDS, {("the", "depot"): 300}, ["Protection of Ledger Assets"])
+    return scan_noise.Model(WORDS, {("the", "depot"): 300})
+
+
+#: Heads of one publication: its title in either case, codes, and numbers that stand alone.
+HEADS = scan_noise.Furniture(("Protection of Ledger Assets", "PROTECTION OF LEDGER ASSETS", "=PTG #.#", "ENCLOSURE #"))
 
 
 @pytest.mark.parametrize(
@@ -30,6 +34,11 @@ def model():
         ("the depot\nPage 3 of 9\nof the fleet", "the depot of the fleet", {"page_furniture"}),
         ("the depot PROTECTION OF LEDGER ASSETS of", "the depot of", {"page_furniture"}),
         ("the super-\n- 12 -\nPTG 7513.35, 2006-07-10\nvisor", "the supervisor", {"page_furniture", "broken_word"}),
+        ("the depot\n12\nof the fleet", "the depot 12 of the fleet", set()),
+        ("the depot\n8\nof the fleet", "the depot of the fleet", {"page_furniture"}),
+        ("the depot\n12\n\nENCLOSURE 4\nof the fleet", "the depot of the fleet", {"page_furniture"}),
+        ("the depot Change 2, PTG 7513.35 of the fleet", "the depot of the fleet", {"page_furniture"}),
+        ("the dépot", "the dépot", set()),
         ("the\ndepot", "the depot", set()),
         ("the depot shall:\n(a) the fleet\n(b) the officer", "the depot shall:\n(a) the fleet\n(b) the officer", set()),
         ("see https://x.example/dep0t", "see https://x.example/dep0t", set()),
@@ -38,24 +47,43 @@ def model():
     ],
 )
 def test_repair(model, text, clean, kinds):
-    out, got = model.repair(text)
+    out, got = model.repair(text, HEADS, 7, 8)
     assert set(got) == kinds and out.strip() == clean.strip()
 
 
 def test_pairs_decide_whether_a_word_is_misread():
     """One misreading from a rare word a value stays as it is read, and is wrong only
     after the word that always stands before the other."""
-    m = scan_noise.Model({"the": 900000, "of": 900000, "at": 400, "bad": 6}, {("at", "bad"): 6}, [])
+    m = scan_noise.Model({"the": 900000, "of": 900000, "at": 400, "bad": 6}, {("at", "bad"): 6})
     assert m.repair("the had of the")[1] == () and m.repair("at had of the") == ("at bad of the", ("wrong_char",))
 
 
 @pytest.mark.parametrize("seen,true", [("8a8y", "baby"), ("he1icopter" * 5, "helicopter" * 5), ("clepartmeut", "department")])
 def test_all_misreadings_are_searched(seen, true):
     """Two of the rarer kinds, a word of 50 letters, and two in a word seen three times."""
-    m = scan_noise.Model({"the": 60000000, "baby": 5000, "helicopter" * 5: 40, "department": 10000000, "clepartmeut": 3}, {}, [])
+    m = scan_noise.Model({"the": 60000000, "baby": 5000, "helicopter" * 5: 40, "department": 10000000, "clepartmeut": 3}, {})
     assert m.repair(f"the {seen} the") == (f"the {true} the", ("wrong_char",))
 
 
+def test_accented_words_are_repaired():
+    m = scan_noise.Model({"the": 900000, "pêcheron": 4000, "señal": 3000}, {})
+    assert m.repair("the pêchcron seña1") == ("the pêcheron señal", ("wrong_char",))
+
+
+def test_heads_are_known_by_repetition(spark):
+    """What repeats on the pages of one publication is its head; a line or a number that
+    stands on one page only is text, and so is a repeated line that ends a sentence."""
+    body = "the depot of the fleet shall\n{}\nkeep the key of {}"
+    rows = [(i, "a.pdf", i, 90 + i, body.format(h, i)) for i, h in enumerate(["Ledger of Fleet Keys", "Ledger of Fleet Keys", "Depot Rules Apply", "17", "Part 7/B", "Part 8/B", "The officer signs."])]
+    rows += [(20 + i, f"{c}_x.pdf", i, 5, body.format("Part 9/B", i)) for i, c in enumerate("bcd")]
+    rows += [(30 + i, "e.pdf", i, None, body.format(n, i)) for i, n in enumerate(["3", "4"])] + [(40, "f.pdf", 1, None, body.format("Own Long Title", 1)), (41, None, 1, None, body.format("Own Long Title", 1)), (42, "a.pdf", 9, 9, body.format("The officer signs.", 2))]
+    chunks = spark.createDataFrame(rows, "chunk_seq long, source_pdf string, chunk_id int, page_start int, text string").selectExpr("*", "source_pdf document_id", "page_start page_end", "cast(null as string) parent_context")
+    reqs = spark.createDataFrame([], "req_seq long, source_quote string")
+    manifest = spark.createDataFrame([("F.pdf", "Own Long Title", None), (None, "No File Has It", "X 1"), ("a.pdf", None, None)], "source_pdf string, title string, doc_key string")
+    got = {r.row_seq for r in scan_noise.found(chunks, reqs, manifest).where("noise_kind = 'page_furniture'").collect()}
+    assert got == {0, 1, 4, 5, 20, 21, 22, 30, 31, 40}
+
+
 def test_repair_over_tables(spark):
     chunks = spark.createDataFrame([(1, "the depot " * 30, None, 0), (2, None, "", 0), (3, "the dep0t " + "x" * 60000, "the depot", 0), (None, "the dep0t", None, 0), (3, "the dep0t " + "x" * 60000, "the depot", 0)], "chunk_seq long, text string, parent_context string, value int")
     reqs = spark.createDataFrame([(1, "the depot " * 40)], "req_seq long, source_quote string")
