@@ -4,7 +4,8 @@ Canonical bytes come from built-in expressions. Their buckets are radix prefixes
 bucket with more rows than fit is split by further bytes, again and again, and every
 bucket that fits is counted in a trie with terminal counters inside one task. A bucket
 whose rows have no further byte holds copies of one value only; it is counted by a
-combining aggregate and never gathered.
+combining aggregate and never gathered. What fits is the same at every size; the
+oversized buckets of a level are a table that is joined, not a list on the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .base import keyed, staged
 
-FIELD_LABELS = ("control", "owner", "approver", "interval", "evidence", "remark")
+#: A capitalised word before a sign, as the labels of a table row stand.
+_LABELLED = r"(?<![\p{L}\p{N}])(\p{Lu}\p{L}+)\s*(?:[:=]|\p{Pd}\s)"
 #: All but letters, digits and marks goes; . , - stay directly between two digits.
 _NOISE = r"(?:(?<!\p{Nd})[.,\-]|[.,\-](?!\p{Nd})|[^\p{L}\p{N}\p{M}\p{Co}.,\-])+"
 _STRIDE = 16
@@ -36,10 +38,23 @@ def _sorted_parts(x: Column, pattern: str) -> Column:
     return F.array_join(F.array_sort(parts), "\x1f")
 
 
-def canonical_quote(quote: Column, labels: tuple[str, ...] = FIELD_LABELS) -> Column:
+def field_labels(df: DataFrame, quote: str = "source_quote", share: float = 0.005) -> tuple[str, ...]:
+    """The labels of table rows, learnt: the words before a sign in quotes with three or
+    more such words, that at least ``share`` of all quotes hold. That bounds their number
+    by the mean number of labels a quote divided by ``share``."""
+    d = df.where(F.col(quote) != "").select(F.array_distinct(F.transform(F.regexp_extract_all(F.col(quote), F.lit(_LABELLED), 1), _folded)).alias("labels"))
+    total = F.count("*")
+    n = d.agg(total.alias("n")).first()[0]
+    each = d.where(F.size("labels") >= 3).select(F.explode("labels").alias("label")).groupBy("label").agg(total.alias("n"))
+    return tuple(sorted(r["label"] for r in each.where(F.col("n") >= max(1, n * share)).collect()))
+
+
+def canonical_quote(quote: Column, labels: tuple[str, ...] = ()) -> Column:
     """Case, white space, punctuation and symbols gone; the fields of a table row
     (three or more labels followed by a sign) in one order."""
     q = _folded(quote)
+    if not labels:
+        return _bare(q)
     label = rf"(?<![\p{{L}}\p{{N}}])(?=(?:{'|'.join(labels)})\s*[:=\p{{Pd}}])"
     return F.when(F.size(F.split(q, label)) > 3, _sorted_parts(q, label)).otherwise(_bare(q))
 
@@ -49,9 +64,9 @@ def canonical_ref(ref: Column) -> Column:
     return _sorted_parts(_folded(ref), r";|(?<!\p{Nd}),|,(?!\p{Nd})")
 
 
-def canonical_records(df: DataFrame, key: str, quote: str, ref: str) -> DataFrame:
+def canonical_records(df: DataFrame, key: str, quote: str, ref: str, labels: tuple[str, ...] = ()) -> DataFrame:
     """(seq, ckey): rows without key or without a letter or digit in the quote are out."""
-    d = keyed(df, key).select(F.col(key).cast("long").alias("seq"), canonical_quote(F.col(quote)).alias("q"), F.col(ref).alias("r"))
+    d = keyed(df, key).select(F.col(key).cast("long").alias("seq"), canonical_quote(F.col(quote), labels).alias("q"), F.col(ref).alias("r"))
     return d.where("q <> ''").select("seq", F.encode(F.concat("q", F.lit("\x1e"), canonical_ref(F.col("r"))), "UTF-8").alias("ckey"))
 
 
@@ -60,37 +75,26 @@ def _bucket(depth: int) -> list[Column]:
     return [F.md5(F.expr(f"substring(ckey, 1, {depth})")).alias("digits"), (F.length("ckey") <= depth).alias("ended")]
 
 
-def radix_buckets(canon: DataFrame, fits: int = 50_000, most_buckets: int = 20_000, first_bytes: int = 4) -> tuple[DataFrame, DataFrame]:
+def radix_buckets(canon: DataFrame, fits: int = 50_000, first_bytes: int = 4) -> tuple[DataFrame, DataFrame]:
     """Rows of buckets that fit, as (seq, ckey, bucket), and rows of buckets of one
-    value, as (seq, keep_seq, copies). ``fits`` rises with the table so that at most
-    ``most_buckets`` oversized buckets are known to the driver per level."""
-    spark = canon.sparkSession
-    rest, depth, small, single = canon, first_bytes, [], []
+    value, as (seq, keep_seq, copies). Each level twice as many bytes deep sees only the
+    rows of the oversized buckets of the level before."""
+    spark, depth = canon.sparkSession, first_bytes
+    rest, fit, ones = canon, None, spark.createDataFrame([], "seq long, keep_seq long, copies long")
     while True:
-        at = rest.select("*", *_bucket(depth))
+        at = rest.select("seq", "ckey", *_bucket(depth))
         sizes = at.groupBy("digits", "ended").agg(F.count("*").alias("copies"), F.min("seq").alias("keep_seq"))
-        if depth == first_bytes:
-            sizes = staged(sizes, "radix")
-            fits = max(fits, -(-(sizes.agg(F.sum("copies")).first()[0] or 0) // most_buckets))
-        large = sizes.where(F.col("copies") > fits).collect()
-        if not large:
-            small.append(at.select("seq", "ckey", F.xxhash64(F.lit(depth), "digits", "ended").alias("bucket")))
-            break
-        marks = F.broadcast(spark.createDataFrame(large, sizes.schema))
-        small.append(at.join(marks, ["digits", "ended"], "left_anti").select("seq", "ckey", F.xxhash64(F.lit(depth), "digits", "ended").alias("bucket")))
-        inside = at.join(marks, ["digits", "ended"])
-        if any(x["ended"] for x in large):
-            single.append(inside.where("ended").select("seq", "keep_seq", "copies"))
-        if all(x["ended"] for x in large):
-            break
+        large = staged(sizes.where(F.col("copies") > fits), "radix")
+        small = at.join(large, ["digits", "ended"], "left_anti").select("seq", "ckey", F.xxhash64(F.lit(depth), "digits", "ended").alias("bucket"))
+        fit = small if fit is None else fit.unionByName(small)
+        kinds = {r["ended"] for r in large.select("ended").distinct().collect()}
+        inside = at.join(large, ["digits", "ended"])
+        if True in kinds:  # a key given twice is one row
+            one = inside.where("ended").select("seq", "keep_seq", "digits").distinct()
+            ones = ones.unionByName(one.join(one.groupBy("digits").agg(F.count("*").alias("copies")), "digits").select("seq", "keep_seq", "copies"))
+        if False not in kinds:
+            return fit, ones
         rest, depth = inside.where("not ended").select("seq", "ckey"), depth * 2
-    fit = small[0]
-    for x in small[1:]:
-        fit = fit.unionByName(x)
-    ones = single[0] if single else spark.createDataFrame([], "seq long, keep_seq long, copies long")
-    for x in single[1:]:
-        ones = ones.unionByName(x)
-    return fit, ones
 
 
 def _count_in_trie(root: dict, key: bytes, seq: int) -> None:
@@ -142,9 +146,10 @@ def copy_groups(df: DataFrame, key: str = "req_seq", quote: str = "source_quote"
     no group; a null reference equals an empty one; rows given twice under one key are
     one row; an empty table gives an empty result; other columns are not looked at.
     """
-    fit, ones = radix_buckets(staged(canonical_records(df, key, quote, ref), "canonical"), **limits)
+    labels = field_labels(df, quote)
+    fit, ones = radix_buckets(staged(canonical_records(df, key, quote, ref, labels), "canonical"), **limits)
     tries = fit.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_trie_counts, "seq long, keep_seq long, copies long")
-    return tries.unionByName(ones.distinct())
+    return tries.unionByName(ones)
 
 
 def found(df: DataFrame, **limits: int) -> DataFrame:

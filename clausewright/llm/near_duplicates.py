@@ -8,10 +8,14 @@ that many further words (the window) and to no others. The rarest word two such
 share is then a region both are in. A region with more sets than fit is not compared:
 each of its sets goes on to regions of word pairs (then triples and so on) within a
 window one word wider, which keeps the join exact at every level; sets so short that a
-pair need share no further word are compared where they are. Pivots drawn from the
-documents themselves prune nothing at this distance (README).
-
-Equal sets are one class throughout; classes are expanded only into the result.
+pair need share no further word are compared where they are. Region sizes come from a
+combining aggregate, so the rows of a region that does not fit are never brought
+together. Pivots drawn from the documents themselves prune nothing at this distance
+(README).
+
+Equal sets are one class throughout, and records that no comparison can tell apart
+(one set, one group of copies, one set of words in the description) one unit; units are
+linked, and expanded to records only where pairs of records are asked for.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .base import keyed, staged
-from .format_duplicates import canonical_quote, canonical_ref
+from .format_duplicates import canonical_quote, canonical_ref, field_labels
 
 _U64 = (1 << 64) - 1
 _SKETCH_BITS = 128
@@ -83,8 +87,8 @@ def _regions(frequent, num: int, den: int):
     return run
 
 
-def _join_regions(num: int, den: int, fits: int):
-    """Candidates (a, b) within each region; of a region that does not fit, its rows."""
+def _join_regions(num: int, den: int):
+    """Candidates (a, b) within each region of rows sorted by region."""
 
     def pairs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         x = x[:, np.argsort(x[1], kind="stable")]
@@ -99,74 +103,52 @@ def _join_regions(num: int, den: int, fits: int):
             p, q = p[q > p], q[q > p]
             yield cid[i + p], cid[i + q]
 
+    def close(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(parts, axis=1) if len(parts) > 1 else parts[0]
+        if x.shape[1] > 1:
+            for a, b in pairs(x[1:5]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(a, b, region, pos, depth):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, region, pos, depth)], ["a", "b", "region", "pos", "depth"])
-
-        def close(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            x = np.concatenate(parts, axis=1)
-            if x.shape[1] > 1:
-                for a, b in pairs(x[1:5]):
-                    if len(a):
-                        none = [None] * len(a)
-                        yield batch_of(np.minimum(a, b), np.maximum(a, b), none, none, none)
-
-        def defer(parts: list[np.ndarray]) -> pa.RecordBatch:
-            x = np.concatenate(parts, axis=1)
-            return batch_of(x[1], [None] * x.shape[1], x[0], x[5], x[6])
-
-        def ripe(parts: list[np.ndarray]) -> list[np.ndarray]:
-            """Sets of which a pair need share no more words than the region's: two of
-            these may not meet further down, so they are compared here."""
-            x = np.concatenate(parts, axis=1)
-            return [x[:, -(-num * x[2] // den) <= x[6]]]
-
-        def end(held: list[np.ndarray], large: bool, kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if not large:
-                yield from close(held)
-                return
-            if held:
-                kept = kept + ripe(held)
-                yield defer(held)
-            yield from close(kept)
-
-        open_region, held, size, large, kept = None, [], 0, False, []
+        open_region, held = None, []
         for batch in batches:
-            x = np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cid", "n", "s0", "s1", "pos", "depth")])
+            x = np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cid", "n", "s0", "s1")])
             if not x.shape[1]:
                 continue
-            cuts = np.flatnonzero(np.diff(x[0])) + 1
-            for part in np.split(x, cuts, axis=1):
+            for part in np.split(x, np.flatnonzero(np.diff(x[0])) + 1, axis=1):
                 if part[0, 0] != open_region:
-                    if size:
-                        yield from end(held, large, kept)
-                    open_region, held, size, large, kept = part[0, 0], [], 0, False, []
+                    if held:
+                        yield from close(held)
+                    open_region, held = part[0, 0], []
                 held.append(part)
-                size += part.shape[1]
-                if size > fits:
-                    large, kept = True, kept + ripe(held)
-                    yield defer(held)
-                    held = []
-        if size:
-            yield from end(held, large, kept)
+        if held:
+            yield from close(held)
 
     return run
 
 
 def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000) -> DataFrame:
     """(a, b), a < b: every two of the sets (cid, words; no two alike) whose Jaccard
-    similarity is ``num / den`` or more."""
+    similarity is ``num / den`` or more. Regions of more than ``fits`` rows go down a
+    level; of their rows only those are compared here that need share no further word."""
     spark = classes.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_words(classes))
     todo, found = classes.selectExpr("cid", "words", "0L region", "-1L pos", "0L depth"), []
+    ripe = f"ceil({num} * n / {den}) <= depth"
     while True:
-        regions = todo.mapInArrow(_regions(frequent, num, den), "region long, cid long, n long, s0 long, s1 long, pos long, depth long")
-        level = staged(regions.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions(num, den, fits), "a long, b long, region long, pos long, depth long"), "regions")
-        found.append(level.where("region is null").select("a", "b"))
-        later = level.where("region is not null").selectExpr("a cid", "region", "pos", "depth")
-        if later.isEmpty():
+        regions = staged(todo.mapInArrow(_regions(frequent, num, den), "region long, cid long, n long, s0 long, s1 long, pos long, depth long"), "regions")
+        large = staged(regions.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > fits).select("region", F.lit(True).alias("large")), "large")
+        more = not large.isEmpty()
+        here = regions
+        if more:
+            marked = regions.join(large, "region", "left")
+            here = marked.where(f"large is null or {ripe}")
+        here = here.select("region", "cid", "n", "s0", "s1")
+        found.append(here.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions(num, den), "a long, b long"))
+        if not more:
             break
-        todo = later.join(classes, "cid").select("cid", "words", "region", "pos", "depth")
+        todo = marked.where("large").select("cid", "region", "pos", "depth").join(classes, "cid").select("cid", "words", "region", "pos", "depth")
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
@@ -175,44 +157,53 @@ def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000
     return pairs.distinct().join(a, "a").join(b, "b").where(both * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
-def record_classes(df: DataFrame, key: str, quote: str, ref: str, description: str, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (seq, cid, copy_group, dwords) and classes (cid, words)."""
-    d = keyed(df, key).select(F.col(key).cast("long").alias("seq"), word_set(F.col(quote)).alias("words"), F.col(quote).alias("q"), F.col(ref).alias("r"), F.col(description).alias("d"))
-    d = d.where(F.size("words") >= least_words)
-    group = F.xxhash64(canonical_quote(F.col("q")), canonical_ref(F.col("r")))
-    d = staged(d.select("seq", "words", F.md5(F.array_join("words", " ").cast("binary")).alias("set_key"), group.alias("copy_group"), word_set(F.col("d")).alias("dwords")), "sets")
-    classes = staged(d.groupBy("set_key").agg(F.min("seq").alias("cid"), F.any_value("words").alias("words")), "classes")
-    members = d.join(classes.select("set_key", "cid"), "set_key").select("seq", "cid", "copy_group", "dwords")
-    return members, classes.select("cid", "words")
-
-
-def found(df: DataFrame, key: str = "req_seq", quote: str = "source_quote", ref: str = "source_ref", description: str = "description", least_words: int = 24, fits: int = 4000) -> DataFrame:
-    """(seq_a, seq_b), seq_a < seq_b: records whose quotes share 80 % of their words and,
-    where both have a description, half of those words, and that are not copies under
-    ``format_duplicates``.
+def unit_links(df: DataFrame, key: str = "req_seq", quote: str = "source_quote", ref: str = "source_ref", description: str = "description", least_words: int = 24, fits: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (seq, unit) of the records that can have a near copy, units (unit, cid,
+    n_members), and links (ua, ub), ua < ub, between units.
 
-    Null, empty or short quotes are in no pair; a description without words counts as
-    none; rows without key are out, rows given twice under one key are one row.
+    Two units are linked where their quotes share 80 % of their words, they are not
+    copies under ``format_duplicates`` and, where both have a description, half of the
+    words in those are shared. Null, empty or short quotes are in no unit; a description
+    without words counts as none; rows without key are out, rows given twice under one
+    key are one row.
     """
-    members, classes = record_classes(df, key, quote, ref, description, least_words)
-    members = staged(members.dropDuplicates(["seq"]), "members")
-    groups = members.select("cid", "copy_group").distinct()
-    within = groups.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").selectExpr("cid a", "cid b")
-    links = class_pairs(classes, fits=fits).unionByName(within)
-    a, b = (groups.selectExpr(f"cid {x}", f"copy_group g{x}") for x in "ab")
-    links = links.join(a, "a").join(b, "b").where("ga <> gb and (a <> b or ga < gb)")
-    a, b = (members.selectExpr(f"seq s{x}", f"cid {x}", f"copy_group g{x}", f"dwords d{x}") for x in "ab")
-    pairs = links.join(a, ["a", "ga"]).join(b, ["b", "gb"])
+    labels = field_labels(df, quote)
+    d = keyed(df, key).select(F.col(key).cast("long").alias("seq"), word_set(F.col(quote)).alias("words"), F.col(quote).alias("q"), F.col(ref).alias("r"), F.col(description).alias("d"))
+    d = staged(d.where(F.size("words") >= least_words).withColumn("set_key", F.md5(F.array_join("words", " ").cast("binary"))), "sets")
+    classes = staged(d.groupBy("set_key").agg(F.min("seq").alias("cid"), F.any_value("words").alias("words"), (F.min("seq") != F.max("seq")).alias("several")), "classes")
+    links = staged(class_pairs(classes.select("cid", "words"), fits=fits), "links")
+    linked = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).distinct().withColumn("linked", F.lit(True))
+    live = staged(classes.select("set_key", "cid", "several").join(linked, "cid", "left").where("several or linked").select("set_key", "cid"), "live")
+    rows = d.select("seq", "set_key", "q", "r", "d").join(live, "set_key")
+    group = F.xxhash64(canonical_quote(F.col("q"), labels), canonical_ref(F.col("r")))
+    rows = rows.select("seq", "cid", group.alias("copy_group"), word_set(F.col("d")).alias("dwords"))
+    rows = staged(rows.withColumn("dkey", F.md5(F.array_join("dwords", " ").cast("binary"))), "rows")
+    same = ["cid", "copy_group", "dkey"]
+    units = staged(rows.groupBy(*same).agg(F.min("seq").alias("unit"), F.countDistinct("seq").alias("n_members"), F.any_value("dwords").alias("dwords")), "units")
+    members = rows.select("seq", *same).join(units.select("unit", *same), same).select("seq", "unit").distinct()
+    a, b = (units.selectExpr(f"cid {x}", f"unit u{x}", f"copy_group g{x}", f"dwords d{x}") for x in "ab")
+    within = units.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").selectExpr("cid a", "cid b")
     shared = F.size(F.array_intersect("da", "db"))
-    pairs = pairs.where((F.size("da") == 0) | (F.size("db") == 0) | (3 * shared >= F.size("da") + F.size("db")))
+    near = (F.size("da") == 0) | (F.size("db") == 0) | (3 * shared >= F.size("da") + F.size("db"))
+    pairs = links.unionByName(within).join(a, "a").join(b, "b").where("ga <> gb and (a <> b or ua < ub)").where(near)
+    pairs = pairs.select(F.least("ua", "ub").alias("ua"), F.greatest("ua", "ub").alias("ub"))
+    return members, units.select("unit", "cid", "n_members"), pairs
+
+
+def found(df: DataFrame, **columns: object) -> DataFrame:
+    """(seq_a, seq_b), seq_a < seq_b: the pairs of records in linked units."""
+    members, _, links = unit_links(df, **columns)
+    a, b = (members.selectExpr(f"seq s{x}", f"unit u{x}") for x in "ab")
+    pairs = links.join(a, "ua").join(b, "ub")
     return pairs.select(F.least("sa", "sb").alias("seq_a"), F.greatest("sa", "sb").alias("seq_b"))
 
 
-def document_links(df: DataFrame, **columns: object) -> DataFrame:
-    """(seq, class_id, n_links): each linked record, the class of equal word sets it is
-    in and its number of near copies."""
-    pairs = staged(found(df, **columns), "pairs")
-    ends = pairs.selectExpr("seq_a seq").unionByName(pairs.selectExpr("seq_b seq"))
-    members, _ = record_classes(df, "req_seq", "source_quote", "source_ref", "description", 24)
-    n = ends.groupBy("seq").agg(F.count("*").alias("n_links"))
-    return n.join(members.selectExpr("seq", "cid class_id").distinct(), "seq")
+def document_links(df: DataFrame, least_words: int = 1, **columns: object) -> DataFrame:
+    """(seq, class_id, n_links): each record with a near copy, the class of equal word
+    sets it is in and the number of its near copies, from links of units; no pair of
+    records is made. By default over every quote with a word, however short."""
+    members, units, links = unit_links(df, least_words=least_words, **columns)
+    links = staged(links, "unit_links")
+    ends = links.selectExpr("ua unit", "ub other").unionByName(links.selectExpr("ub unit", "ua other"))
+    n = ends.join(units.selectExpr("unit other", "n_members"), "other").groupBy("unit").agg(F.sum("n_members").alias("n_links"))
+    return members.join(n, "unit").join(units.select("unit", "cid"), "unit").select("seq", F.col("cid").alias("class_id"), "n_links")

@@ -84,5 +84,29 @@ def test_near_copies(spark, fits):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 8)
 
 
+def test_links_of_documents_are_the_pairs_of_records(spark):
+    """The counts of the class form equal those of the expanded pairs, with copies,
+    sets of few words and a unit that holds a third of all rows."""
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(r.sample(vocab, r.randint(1, 9))), r.choice([None, "1", "2"]), r.choice([None, "a b", "x y"])) for i in range(150)]
+    rows += [(1000 + i, "w1 w2 w3 w4 w5 w6", "7", None) for i in range(75)] + [rows[3]]
+    want: dict[int, int] = {}
+    for a, b in brute(rows, 1):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    for fits in (4000, 5):
+        got = N.document_links(frame(spark, rows), fits=fits).collect()
+        assert {x.seq: x.n_links for x in got} == want and len(got) == len(want)
+        sets = {s: frozenset((q or "").split()) for s, q, _, _ in rows}
+        assert all((sets[x.seq] == sets[y.seq]) == (x.class_id == y.class_id) for x in got for y in got)
+
+
+def test_labels_are_learnt(spark):
+    """Words before a sign in rows with three such; neither a rare one nor a note."""
+    rows = [(i, f"Größe: {i} | Ort = x | Rang – {i % 3}", None, None) for i in range(60)] + [(100 + i, "Note: a text. Low- and high-impact", None, None) for i in range(60)] + [(300, "Odd: 1 | Ort: 2 | Rang: 3", None, None), (301, "rang: 3 / ort: 2 / odd: 1", None, None)]
+    assert D.field_labels(frame(spark, rows), share=0.02) == ("größe", "ort", "rang")
+    assert {(r.keep_seq, r.copy_seq) for r in D.found(frame(spark, [(1, rows[0][1], None, None), (2, "RANG: 0; GRÖßE: 0; ORT: X", None, None), *rows[1:]])).collect()} >= {(1, 2)}
+
+
 def test_near_copies_of_nothing(spark):
     assert N.found(frame(spark, ROWS).limit(0)).count() == 0
