@@ -11,6 +11,7 @@ their letters, ordinary symbols and private-use characters stay as they are.
 from __future__ import annotations
 
 import unicodedata as ud
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import staged
+
 #: Letters of other scripts and the Latin letters they look like, likeliest first.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -143,25 +146,41 @@ def vocabulary(values: DataFrame, share: float = 1e-6, least: int = 3) -> dict[s
     those of at least ``share`` of all words, which bounds the table to ``1 / share``."""
     words = values.select(F.explode(F.regexp_extract_all("value", F.lit(r"\p{IsLatin}{2,}"), 0)).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    counts = staged(counts, "vocabulary")
     total = counts.agg(F.sum("n")).first()[0] or 0
     plain = F.col("w").rlike(r"^[A-Za-zÀ-ɏ]+$")
     return {r["w"]: r["n"] for r in counts.where(plain & (F.col("n") >= max(least, int(total * share)))).collect()}
 
 
-def consistent_column(values: DataFrame, budget: float = 0.0) -> DataFrame:
-    """(field_name, row_seq, value) to the same rows with ``consistent`` added. Nulls
-    stay null, empty texts empty; whole texts are read, of any length."""
-    counts = values.sparkSession.sparkContext.broadcast(vocabulary(values, least=3))
+_AUTOMATA: dict[str, Automaton] = {}
+
+
+def _automaton(key: str, counts, budget: float) -> Automaton:
+    """One trie a process for each run of the operator, however many tasks it has."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = Automaton(counts.value, budget)
+    return _AUTOMATA[key]
+
+
+def _suspects(values: DataFrame, budget: float) -> DataFrame:
+    """The values with a character outside ASCII, with ``consistent``."""
+    counts, key = values.sparkSession.sparkContext.broadcast(vocabulary(values, least=3)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = Automaton(counts.value, budget), {}
+        automaton, cache = _automaton(key, counts, budget), {}
         for b in batches:
             out = [consistent(v, automaton, cache) for v in b.column("value").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("field_name"), b.column("row_seq"), b.column("value"), pa.array(out, pa.string())], ["field_name", "row_seq", "value", "consistent"])
 
-    schema = "field_name string, row_seq long, value string, consistent string"
-    odd = values.where(F.col("value").rlike(SUSPECT)).mapInArrow(run, schema)
-    return odd.unionByName(values.where("value is null").unionByName(values.where(~F.col("value").rlike(SUSPECT))).withColumn("consistent", F.col("value")))
+    return values.where(F.col("value").rlike(SUSPECT)).mapInArrow(run, "field_name string, row_seq long, value string, consistent string")
+
+
+def consistent_column(values: DataFrame, budget: float = 0.0) -> DataFrame:
+    """(field_name, row_seq, value) to the same rows with ``consistent`` added. Nulls
+    stay null, empty texts empty; whole texts are read, of any length."""
+    rest = values.where(F.col("value").isNull() | ~F.col("value").rlike(SUSPECT))
+    return _suspects(values, budget).unionByName(rest.withColumn("consistent", F.col("value")))
 
 
 def values_of(df: DataFrame, key: str, *fields: str) -> DataFrame:
@@ -174,5 +193,6 @@ def values_of(df: DataFrame, key: str, *fields: str) -> DataFrame:
 def found(chunks: DataFrame, reqs: DataFrame) -> DataFrame:
     """(field_name, row_seq) of the values that the consistent form changes."""
     values = values_of(chunks, "chunk_seq", "text").unionByName(values_of(reqs, "req_seq", "source_quote"))
-    changed = consistent_column(values).where("value <> consistent and row_seq is not null")
+    # a value of ASCII only is its own consistent form
+    changed = _suspects(values, 0.0).where("value <> consistent and row_seq is not null")
     return changed.select("field_name", "row_seq").distinct()
