@@ -50,7 +50,8 @@ def _round_blocks(d: DataFrame, seed: int, fan_in: int) -> DataFrame:
     """One level of the tree: p integral but for one text a block."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "row_key"], ignore_index=True)
+        # the longest first, so that what stays fractional is short
+        pdf = pdf.sort_values(["n_tokens", "row_key"], ascending=[False, True], ignore_index=True)
         s = seed + int(pdf["row_key"].min()) % 1_000_003
         return pdf.assign(p=pivotal(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(float), s), block=pdf["block"] // fan_in)[["source", "row_key", "n_tokens", "whole", "p", "block"]]
 

@@ -89,6 +89,19 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well either rule fills either kind of container, against the fewest containers
+    that each capacity allows."""
+    sizes = staged(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    out = None
+    for kind in ("pack_small", "pack_large"):
+        capacity, _ = splitting.limits(table(spark, sf_dir, "size_limits"), kind)
+        for rule in ("norm", "dot"):
+            d = packing.report(packing.packed(sizes, capacity, rule=rule), capacity).select(F.lit(kind).alias("item_kind"), F.lit(rule).alias("rule"), "*")
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return mixing.mixed(sizes, table(spark, sf_dir, "mix_targets"))
@@ -99,7 +112,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_share_by_source, p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent, p7_packed, p8_mixed, p8_shares, p9_found, p9_redacted,
+    p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_share_by_source, p4_found, p4_collapsed, p5_found, p5_links, p6_found, p6_consistent, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_redacted,
 )}
 
 ORACLES: dict[str, str] = {}

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The vocabulary file, unless a caller names another.
+TOKENIZER = os.environ.get("CLAUSEWRIGHT_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: The split pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 

@@ -96,8 +96,11 @@ def pieces(df: DataFrame, limit: int, overlap: int, key: str = "chunk_seq", text
 
 
 def limits(size_limits: DataFrame, kind: str) -> tuple[int, int]:
-    """(max_size, overlap) of one kind of item."""
-    row = size_limits.where(F.col("item_kind") == kind).first()
+    """(max_size, overlap) of one kind of item; the overlap is 0 where none is stated.
+    A kind without a row or without a size is an error."""
+    row = size_limits.where((F.col("item_kind") == kind) & F.col("max_size").isNotNull()).first()
+    if row is None:
+        raise ValueError(f"no size limit is given for {kind}")
     return row["max_size"], row["overlap"] or 0
 
 
