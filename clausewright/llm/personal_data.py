@@ -6,6 +6,13 @@ and decoded by Viterbi over many stretches of text at once in numpy. Other numbe
 other capitalised names have labels of their own, which lets the chain carry what a
 ticket, form or place name is over its whole length. A mention must then hold what its
 kind needs (digits, a sign or its word, a capital), or it is dropped.
+
+Every mention holds a token with a capital, a digit or an at sign (or its word), and all
+of it is near one: that is a constraint of the field, which allows no label but the
+empty one farther than ``BEFORE`` tokens before or ``AFTER`` behind such a token and the
+tokens joined to it without white space. The best path of a whole text under it goes
+through the empty label at all other tokens, so the stretches between them are decoded
+by themselves, each from and to the empty label, with the same result (tested).
 """
 
 from __future__ import annotations
@@ -29,6 +36,12 @@ _L = len(LABELS)
 _OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 _TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)")
 _NONE = np.float32(-1e4)
+BEFORE, AFTER = 7, 4
+_PADS = BEFORE + AFTER + 1  # between texts, so that none sees its neighbours
+#: Labels that any label can precede, and those that go on, with their beginnings.
+_FREE = [i for i, x in enumerate(LABELS) if x[0] != "I"]
+_GOES_ON = [i for i, x in enumerate(LABELS) if x[0] == "I"]
+_BEGINS = [LABELS.index("B" + LABELS[i][1:]) for i in _GOES_ON]
 #: What the first character of a mention can be.
 _STARTS = {
     "B-person": str.isupper,
@@ -190,22 +203,37 @@ class Tagger:
         self.n += 1
         return i
 
-    def _viterbi(self, e: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Best labels of the stretches [start, start + len) of the emissions."""
+    def _viterbi(self, e: np.ndarray, starts: np.ndarray, lens: np.ndarray, fresh: np.ndarray, open_end: np.ndarray) -> np.ndarray:
+        """Best labels of the stretches [start, start + len) of the emissions. Those with
+        ``fresh`` begin a text, the others follow the empty label; those with
+        ``open_end`` are followed by it."""
         out = np.zeros(len(e), np.int8)
         order = np.argsort(-lens, kind="stable")
-        starts, lens = starts[order], lens[order]
+        starts, lens, fresh, open_end = starts[order], lens[order], fresh[order], open_end[order]
         top = int(lens[0]) if len(lens) else 0
         alive = np.searchsorted(-lens, -np.arange(top), "left")
+        to_free = self.trans[:_L, _FREE]
+        from_begin, from_on = self.trans[_BEGINS, _GOES_ON], self.trans[_GOES_ON, _GOES_ON]
+        row, free = np.arange(len(starts))[:, None], np.arange(len(_FREE))[None]
+        begins, goes_on = np.array(_BEGINS, np.int8), np.array(_GOES_ON, np.int8)
         back = []
-        v = self.trans[_L] + e[starts]
+        v = np.where(fresh[:, None], self.trans[_L], self.trans[0]) + e[starts]
         for t in range(1, top):
             n = alive[t]
-            s = v[:n, :, None] + self.trans[None, :_L]
+            w = v[:n]
+            s = w[:, :, None] + to_free
             k = s.argmax(axis=1)
-            back.append(k.astype(np.int8))
-            v[:n] = np.take_along_axis(s, k[:, None], 1)[:, 0] + e[starts[:n] + t]
-        best = v.argmax(axis=1)
+            one, two = w[:, _BEGINS] + from_begin, w[:, _GOES_ON] + from_on
+            on = two > one
+            b = np.empty((n, _L), np.int8)
+            b[:, _FREE] = k
+            b[:, _GOES_ON] = np.where(on, goes_on, begins)
+            back.append(b)
+            best = np.empty((n, _L), np.float32)
+            best[:, _FREE] = s[row[:n], k, free]
+            best[:, _GOES_ON] = np.where(on, two, one)
+            v[:n] = best + e[starts[:n] + t]
+        best = (v + np.where(open_end[:, None], self.trans[:_L, 0], 0)).argmax(axis=1)
         for t in range(top - 1, 0, -1):
             n = alive[t]
             out[starts[:n] + t] = best[:n]
@@ -213,39 +241,54 @@ class Tagger:
         out[starts] = best
         return out
 
-    def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(start, end, kind) of the mentions of each text."""
+    def _read(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[tuple[int, int]]]:
+        """Token types of the texts with pads between them, token lengths, and where each
+        text's tokens are."""
         if self.n > self.most:
             self._clear()
-        get, gap = self.types.get, [0] * 3
-        ids, lens, bounds = [], [], []
+        get, gap = self.types.get, [0] * _PADS
+        ids, lens, bounds = gap[:], gap[:], []
         for text in texts:
             toks = _TOKEN.findall(text)
-            ids += gap
-            lens += gap
             bounds.append((len(ids), len(ids) + len(toks)))
             ids += [get(t) or self._type(t) for t in toks]
             lens += map(len, toks)
-        ids += gap
-        ids = np.array(ids)
-        hot = self.hot[ids]
-        at = np.flatnonzero(hot)
+            ids += gap
+            lens += gap
+        return np.array(ids), lens, bounds
+
+    def _near(self, ids: np.ndarray) -> np.ndarray:
+        """Which tokens can be part of a mention."""
+        at = np.flatnonzero(self.hot[ids])
         near = np.zeros(len(ids) + 1, np.int32)
-        np.add.at(near, np.maximum(at - 7, 0), 1)
-        np.add.at(near, np.minimum(at + 5, len(ids)), -1)
+        np.add.at(near, np.maximum(at - BEFORE, 0), 1)
+        np.add.at(near, np.minimum(at + AFTER + 1, len(ids)), -1)
         # tokens without white space between them are in or out together
         run = np.cumsum(~self.glued[ids])
         reached = np.zeros(run[-1] + 1, bool)
         reached[run[np.cumsum(near[:-1]) > 0]] = True
-        use = reached[run] & (ids > 0)
-        edge = np.diff(np.concatenate([[0], use.view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return reached[run] & (ids > 0)
+
+    def _emissions(self, ids: np.ndarray, use: np.ndarray) -> np.ndarray:
         e = np.zeros((len(ids), _L), np.float32)
         on = np.flatnonzero(use)
         for o, off in enumerate(_OFFSETS):
             e[on] += self.score[ids[np.clip(on + off, 0, len(ids) - 1)], o]
-        y = self._viterbi(e, starts, ends - starts) if len(starts) else np.zeros(len(ids), np.int8)
-        lens = np.array(lens + gap)
+        return e
+
+    def labels(self, ids: np.ndarray) -> np.ndarray:
+        use = self._near(ids)
+        edge = np.diff(np.concatenate([[0], use.view(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(starts):
+            return np.zeros(len(ids), np.int8)
+        return self._viterbi(self._emissions(ids, use), starts, ends - starts, ids[starts - 1] == 0, ids[np.minimum(ends, len(ids) - 1)] > 0)
+
+    def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """(start, end, kind) of the mentions of each text."""
+        ids, lens, bounds = self._read(texts)
+        y = self.labels(ids)
+        lens = np.array(lens)
         out = []
         for text, (a, b) in zip(texts, bounds):
             yy = y[a:b]
@@ -283,7 +326,7 @@ def plausible(kind: str, value: str) -> bool:
     return any(c.isupper() for c in value) and sum(c.isalpha() for c in value) > 3 and not digits
 
 
-def mentions(df: DataFrame, key: str = "doc_id", text: str = "text", batch_chars: int = 400_000, model: dict | None = None) -> DataFrame:
+def mentions(df: DataFrame, key: str = "doc_id", text: str = "text", batch_chars: int = 2_000_000, model: dict | None = None) -> DataFrame:
     """(row_key, text, kinds, starts, ends): every row with a text; the arrays are empty
     where none is found. Rows without key or text are out; whole texts are read."""
     model = df.sparkSession.sparkContext.broadcast(model or trained())

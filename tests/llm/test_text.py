@@ -166,12 +166,27 @@ def test_truncation(spark):
         (10, "k", "The logs in accordance with paragraph 3.5 of Reference (a)", 11, False),
     ]
     f = spark.createDataFrame([(*r, 1) for r in rows], "failure_seq long, doc_key string, quote string, word_count int, ends_colon boolean, cut int")
-    assert sorted(r.failure_seq for r in truncation.found(f, others).collect()) == [1, 3, 8, 9]
+    assert sorted(r.failure_seq for r in truncation.found(f, others).collect()) == [1, 3, 8]
     share = {r.doc_key: (r.n_rows, r.n_cut) for r in truncation.share_by_source(f, others).collect()}
-    assert share == {"k": (10, 5), None: (1, 0)}
+    assert share == {"k": (10, 3), None: (1, 0)}
+    assert {r.failure_seq: r.level for r in truncation.scored(f, others).where("cut").collect()} == {1: "trigram", 3: "trigram", 8: "trigram"}
     assert truncation.found(f.limit(0), others.limit(0)).count() == 0
 
 
+def test_only_the_quotes_tell_a_cut(spark):
+    """Stored counts and flags change nothing; a cut quote that is a third of all rows
+    does not make its own end usual; a link and a usual phrase end are whole."""
+    full = [f"The {a} of depot {b} shall keep the logs of {b} in the vault unless the {a} agrees in writing." for a in ("owner", "clerk", "guard") for b in "abcdefgh"]
+    heads = [f"Ledger summary for the {a} {b}" for a in ("North", "South", "Upper") for b in ("depot", "vault", "hub")]
+    others = spark.createDataFrame([(q,) for q in full], "source_quote string")
+    cut, link = "The owner of depot q shall keep the lo", "See https://x.example/depot"
+    rows = [(i, "k", cut) for i in range(30)] + [(100 + i, "m", q) for i, q in enumerate([*heads, link, full[0].rstrip("."), "The guard of depot zz shall keep the"])]
+    schema = "failure_seq long, doc_key string, quote string, word_count int, ends_colon boolean, unrepairable_fragment boolean"
+    for flags in ((900, True, True), (None, None, None), (1, False, False)):
+        got = {r.failure_seq for r in truncation.found(spark.createDataFrame([(*r, *flags) for r in rows], schema), others).collect()}
+        assert got == {*range(30), 100 + len(rows) - 31}
+
+
 @pytest.fixture(scope="module")
 def field():
     return P.trained()
@@ -194,10 +209,45 @@ def test_viterbi_is_the_best_path(field):
     t, r = P.Tagger(field), np.random.default_rng(1)
     L = len(P.LABELS)
     e = r.normal(size=(7, L)).astype(np.float32) * 3
-    y = t._viterbi(e, np.array([0, 3]), np.array([3, 4]))
-    score = lambda p, a: t.trans[L, p[0]] + sum(e[a + i, k] for i, k in enumerate(p)) + sum(t.trans[i, j] for i, j in zip(p, p[1:]))
-    best = max(itertools.product(range(L), repeat=3), key=lambda p: score(p, 0))
-    assert tuple(y[:3]) == best
+    y = t._viterbi(e, np.array([0, 3]), np.array([3, 4]), np.array([True, False]), np.array([False, True]))
+    score = lambda p: t.trans[L, p[0]] + sum(e[i, k] for i, k in enumerate(p)) + sum(t.trans[i, j] for i, j in zip(p, p[1:]))
+    assert tuple(y[:3]) == max(itertools.product(range(L), repeat=3), key=score)
+
+
+def test_stretches_are_decoded_as_the_whole_text(field):
+    """The best path of a whole text in which only tokens near a capital, digit or at
+    sign can be part of a mention is the one the stretches have."""
+    import numpy as np
+
+    texts = [t for t, _ in pii_labels.labelled(1, seed=5)[:60]] + ["no mention is in here at all", "Anna", "", "word " * 300 + "call 212-555-0143 " + "word " * 40]
+    t = P.Tagger(field)
+    for text in texts:
+        ids, _, ((a, b),) = t._read([text])
+        if b > a:
+            use = t._near(ids)
+            e = t._emissions(ids, use)
+            e[~use, 1:], e[~use, 0] = -1e6, 0
+            whole = t._viterbi(e, np.array([a]), np.array([b - a]), np.array([True]), np.array([False]))
+            assert (whole == t.labels(ids)).all(), text
+
+
+def test_held_back_patterns():
+    """A field trained without a fifth of the sentence patterns, on mentions in those."""
+    kept, model = pii_labels.ROWS, None
+    out = [r for i, r in enumerate(dict.fromkeys(kept)) if i % 5 == 2]
+    try:
+        pii_labels.ROWS = tuple(r for r in kept if r not in out)
+        model = P.train(pii_labels.labelled())
+        pii_labels.ROWS = tuple(out)
+        rows = pii_labels.labelled(6, seed=41)
+    finally:
+        pii_labels.ROWS = kept
+    hit = gold = got = 0
+    for (_, marks), tags in zip(rows, P.Tagger(model).tag([r[0] for r in rows])):
+        a, b = {(s, k) for s, _, k in marks if k in P.NAMES}, {(s, k) for s, _, k in tags}
+        hit, gold, got = hit + len(a & b), gold + len(a), got + len(b)
+    print("held-back patterns: recall", hit / gold, "precision", hit / got)
+    assert hit / gold > 0.85 and hit / got > 0.85
 
 
 def test_no_mention_is_cut_by_the_window(field):
