@@ -9,7 +9,7 @@ read. Counts are taken over all different values; the tables sent to executors
 hold only words and pairs above a share of all, which bounds them.
 
 A running head is known because it repeats: the same piece of a line, but for its
-digits, on several pages of one publication or, with digits, in several publications;
+digits, on several pages of one publication or, with digits, of several publications;
 a publication's own title and key, if there is a register of them, count too. These
 are joined to the rows of their publication. A bare number is a page number where it
 is the page its row is on or the next to it, or other numbers stand alone on other
@@ -392,8 +392,9 @@ def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.
 
     A piece is a whole line or a part between wider gaps. It is a head of its publication
     if it is on two of its pages (``place``) and on ``page_share`` of them, and of all if it
-    has digits and is in three publications and in ``doc_share`` of them; both shares
-    bound what is kept. Titles of three words or more and keys come from the register.
+    has digits and is a head of two publications and of ``doc_share`` of those that have
+    heads; both shares bound what is kept. Titles of three words or more and keys come
+    from the register.
     """
     v = values.where("doc is not null and place is not null and contains(value, '\n')")
     lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))
@@ -404,8 +405,9 @@ def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.
     d = staged(d.groupBy("doc", "head").agg(F.count("*").alias("n"), (F.min("lo") != F.max("hi")).alias("differs")), "pieces")
     sizes = v.groupBy("doc").agg(F.approx_count_distinct("place").alias("places"))
     own = d.where("n >= 2 and (differs or head not in ('#', '#-#'))").join(sizes, "doc").where(F.col("n") >= F.col("places") * page_share).select("doc", "head")
-    docs = d.select("doc").distinct().count()
-    common = d.where(F.col("head").rlike(r"#.*\p{L}|\p{L}.*#")).groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, docs * doc_share))
+    own = staged(own, "own")
+    docs = own.select("doc").distinct().count()
+    common = own.where(F.col("head").rlike(r"#.*\p{L}|\p{L}.*#")).groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, docs * doc_share))
     key = publication(F.col("source_pdf")).alias("doc")
     m = {c: F.col(c) if c in manifest.columns else F.lit(None).cast("string") for c in ("source_pdf", "title", "doc_key")}
     known = manifest.select(*(x.cast("string").alias(c) for c, x in m.items()))
@@ -413,6 +415,9 @@ def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.
     keys = known.where("doc_key rlike '[0-9]' and doc_key rlike '[A-Za-z]'").select(key, F.concat(F.lit("="), F.regexp_replace(F.trim("doc_key"), r"\d+", "#")).alias("head"))
     all_ = own.unionByName(titles).unionByName(titles.select("doc", F.upper("head").alias("head"))).unionByName(keys).where("doc is not null")
     heads = all_.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("head")), _SEPARATOR).alias("heads"))
+    # rows without a file go by their document, whose other rows name it
+    named = values.where("document is not null and doc <> document").groupBy("document").agg(F.min("doc").alias("doc"))
+    heads = heads.unionByName(named.join(heads, "doc").select(F.col("document").alias("doc"), "heads"))
     return staged(heads, "heads"), sorted(r["head"] for r in common.select("head").collect())
 
 
@@ -463,18 +468,18 @@ def repaired(values: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _values(df: DataFrame, key: str, *fields: str) -> DataFrame:
-    """(field_name, row_seq, value, doc, place, page_first, page_last) of each named text
-    column. The publication is told by the file, else by the document; a column that is
-    missing counts as null. The context of a parent is from another place."""
+    """(field_name, row_seq, value, doc, document, place, page_first, page_last) of each
+    named text column. The publication is told by the file, else by the document; a
+    column that is missing counts as null. The context of a parent is from another place."""
     have = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
-    doc = F.coalesce(publication(have("source_pdf", "string")), have("document_id", "string"))
+    document = have("document_id", "string")
     d = df.select(
-        F.col(key).cast("long").alias("row_seq"), doc.alias("doc"), F.xxhash64(have("document_id", "string"), have("chunk_id", "long")).alias("at"), have("chunk_id", "long").isNotNull().alias("placed"),
+        F.col(key).cast("long").alias("row_seq"), F.coalesce(publication(have("source_pdf", "string")), document).alias("doc"), document.alias("document"), F.xxhash64(have("document_id", "string"), have("chunk_id", "long")).alias("at"), have("chunk_id", "long").isNotNull().alias("placed"),
         have("page_start", "int").alias("page_first"), have("page_end", "int").alias("page_last"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x"),
     )
     place = F.when(F.col("placed") & (F.col("x.field_name") != "parent_context"), F.col("at"))
-    return d.select("x.field_name", "row_seq", "x.value", "doc", place.alias("place"), "page_first", "page_last")
+    return d.select("x.field_name", "row_seq", "x.value", "doc", "document", place.alias("place"), "page_first", "page_last")
 
 
 def scanned_values(chunks: DataFrame, reqs: DataFrame) -> DataFrame:

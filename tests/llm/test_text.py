@@ -75,13 +75,13 @@ def test_heads_are_known_by_repetition(spark):
     stands on one page only is text, and so is a repeated line that ends a sentence."""
     body = "the depot of the fleet shall\n{}\nkeep the key of {}"
     rows = [(i, "a.pdf", i, 90 + i, body.format(h, i)) for i, h in enumerate(["Ledger of Fleet Keys", "Ledger of Fleet Keys", "Depot Rules Apply", "17", "Part 7/B", "Part 8/B", "The officer signs."])]
-    rows += [(20 + i, f"{c}_x.pdf", i, 5, body.format("Part 9/B", i)) for i, c in enumerate("bcd")]
+    rows += [(20 + i, f"{c}_x.pdf", i, 5, body.format("Part 9/B", i)) for i, c in enumerate("bbcd")]
     rows += [(30 + i, "e.pdf", i, None, body.format(n, i)) for i, n in enumerate(["3", "4"])] + [(40, "f.pdf", 1, None, body.format("Own Long Title", 1)), (41, None, 1, None, body.format("Own Long Title", 1)), (42, "a.pdf", 9, 9, body.format("The officer signs.", 2))]
-    chunks = spark.createDataFrame(rows, "chunk_seq long, source_pdf string, chunk_id int, page_start int, text string").selectExpr("*", "source_pdf document_id", "page_start page_end", "cast(null as string) parent_context")
+    chunks = spark.createDataFrame(rows, "chunk_seq long, source_pdf string, chunk_id int, page_start int, text string").selectExpr("*", "coalesce(source_pdf, 'f.pdf') document_id", "page_start page_end", "cast(null as string) parent_context")
     reqs = spark.createDataFrame([], "req_seq long, source_quote string")
     manifest = spark.createDataFrame([("F.pdf", "Own Long Title", None), (None, "No File Has It", "X 1"), ("a.pdf", None, None)], "source_pdf string, title string, doc_key string")
     got = {r.row_seq for r in scan_noise.found(chunks, reqs, manifest).where("noise_kind = 'page_furniture'").collect()}
-    assert got == {0, 1, 4, 5, 20, 21, 22, 30, 31, 40}
+    assert got == {0, 1, 4, 5, 20, 21, 22, 23, 30, 31, 40, 41}
 
 
 def test_repair_over_tables(spark):
