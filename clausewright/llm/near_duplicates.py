@@ -32,7 +32,9 @@ from .base import keyed, staged
 from .format_duplicates import canonical_quote, canonical_ref, field_labels
 
 _U64 = (1 << 64) - 1
-_SKETCH_BITS = 128
+_SKETCH_BITS = 256
+_SKETCH = ("s0", "s1", "s2", "s3")
+_REGION = "region long, cid long, n int, s0 long, s1 long, s2 long, s3 long, pos int, depth int"
 
 
 def word_set(x: Column) -> Column:
@@ -68,21 +70,23 @@ def _regions(frequent, num: int, den: int):
             return e
 
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(9)]
             for cid, words, region, pos, depth in zip(*(batch.column(c).to_pylist() for c in ("cid", "words", "region", "pos", "depth"))):
                 es = [entry(w) for w in words]
                 sketch = 0
                 for e in es:
                     sketch ^= e[2]
+                bits = [_signed(sketch >> 64 * i & _U64) for i in range(4)]
                 es.sort()
                 n = len(es)
                 for j in range(pos + 1, min(n, n + (-num * n) // den + depth + 1)):
                     h = es[j][1]
                     if depth:
                         h = xxh64_intdigest(h.to_bytes(8, "big"), region & _U64)
-                    for o, v in zip(out, (_signed(h), cid, n, _signed(sketch & _U64), _signed(sketch >> 64), j, depth + 1)):
+                    for o, v in zip(out, (_signed(h), cid, n, *bits, j, depth + 1)):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["region", "cid", "n", "s0", "s1", "pos", "depth"])
+            small = (2, 7, 8)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int32() if i in small else pa.int64()) for i, o in enumerate(out)], ["region", "cid", "n", *_SKETCH, "pos", "depth"])
 
     return run
 
@@ -91,29 +95,36 @@ def _join_regions(num: int, den: int):
     """Candidates (a, b) within each region of rows sorted by region."""
 
     def pairs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those whose sketches differ by no more than the sets may. Two words a sketch
+        apart can hide each other, so it never shows more than there is; the sketch
+        folded to half its bits is a sketch too, and the first test."""
         x = x[:, np.argsort(x[1], kind="stable")]
-        cid, n, s0, s1 = x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64)
+        cid, n, s = x[0], x[1], x[2:6].view(np.uint64)
+        f0, f1 = s[0] ^ s[2], s[1] ^ s[3]
         for i in range(0, len(cid), 512):
             top = min(i + 512, len(cid))
             upto = int(np.searchsorted(n, n[top - 1] * den // num, "right"))
-            d = np.bitwise_count(s0[i:top, None] ^ s0[None, i:upto]).astype(np.int16)
-            d += np.bitwise_count(s1[i:top, None] ^ s1[None, i:upto])
+            d = np.bitwise_count(f0[i:top, None] ^ f0[None, i:upto]).astype(np.int16)
+            d += np.bitwise_count(f1[i:top, None] ^ f1[None, i:upto])
             ok = d * (num + den) <= (n[i:top, None] + n[None, i:upto]) * (den - num)
             p, q = np.nonzero(ok)
-            p, q = p[q > p], q[q > p]
-            yield cid[i + p], cid[i + q]
+            keep = q > p
+            p, q = i + p[keep], i + q[keep]
+            d = np.bitwise_count(s[:, p] ^ s[:, q]).sum(axis=0, dtype=np.int64)
+            keep = d * (num + den) <= (n[p] + n[q]) * (den - num)
+            yield cid[p[keep]], cid[q[keep]]
 
     def close(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(parts, axis=1) if len(parts) > 1 else parts[0]
         if x.shape[1] > 1:
-            for a, b in pairs(x[1:5]):
+            for a, b in pairs(x[1:7]):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_region, held = None, []
         for batch in batches:
-            x = np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cid", "n", "s0", "s1")])
+            x = np.vstack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "cid", "n", *_SKETCH)])
             if not x.shape[1]:
                 continue
             for part in np.split(x, np.flatnonzero(np.diff(x[0])) + 1, axis=1):
@@ -134,17 +145,17 @@ def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000
     level; of their rows only those are compared here that need share no further word."""
     spark = classes.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_words(classes))
-    todo, found = classes.selectExpr("cid", "words", "0L region", "-1L pos", "0L depth"), []
+    todo, found = classes.selectExpr("cid", "words", "0L region", "-1 pos", "0 depth"), []
     ripe = f"ceil({num} * n / {den}) <= depth"
     while True:
-        regions = staged(todo.mapInArrow(_regions(frequent, num, den), "region long, cid long, n long, s0 long, s1 long, pos long, depth long"), "regions")
+        regions = staged(todo.mapInArrow(_regions(frequent, num, den), _REGION), "regions")
         large = staged(regions.groupBy("region").agg(F.count("*").alias("rows")).where(F.col("rows") > fits).select("region", F.lit(True).alias("large")), "large")
         more = not large.isEmpty()
         here = regions
         if more:
             marked = regions.join(large, "region", "left")
             here = marked.where(f"large is null or {ripe}")
-        here = here.select("region", "cid", "n", "s0", "s1")
+        here = here.select("region", "cid", "n", *_SKETCH)
         found.append(here.repartition("region").sortWithinPartitions("region").mapInArrow(_join_regions(num, den), "a long, b long"))
         if not more:
             break
@@ -154,7 +165,8 @@ def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000
         pairs = pairs.unionByName(x)
     a, b = (classes.selectExpr(f"cid {x}", f"words w{x}") for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
-    return pairs.distinct().join(a, "a").join(b, "b").where(both * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
+    # one exchange by a does for both the repeated pairs and the first join
+    return pairs.repartition("a").distinct().join(a, "a").join(b, "b").where(both * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
 def unit_links(df: DataFrame, key: str = "req_seq", quote: str = "source_quote", ref: str = "source_ref", description: str = "description", least_words: int = 24, fits: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
