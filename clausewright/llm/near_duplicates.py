@@ -32,6 +32,8 @@ from .base import keyed, staged
 from .format_duplicates import canonical_quote, canonical_ref, field_labels
 
 _U64 = (1 << 64) - 1
+#: Sets of a region that one task compares with one another.
+FITS = 16_000
 _SKETCH_BITS = 256
 _SKETCH = ("s0", "s1", "s2", "s3")
 _REGION = "region long, cid long, n int, s0 long, s1 long, s2 long, s3 long, pos int, depth int"
@@ -51,7 +53,7 @@ def frequent_words(classes: DataFrame, share: float = 1 / 5000) -> dict[str, int
     set size divided by ``share`` words, however large the table. All rarer words come
     before them in the order, by hash."""
     total = classes.count()
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").count()
+    counts = classes.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").count()
     return {r["w"]: r["count"] for r in counts.where(F.col("count") >= max(2, int(total * share))).collect()}
 
 
@@ -72,7 +74,7 @@ def _regions(frequent, num: int, den: int):
         for batch in batches:
             out = [[] for _ in range(9)]
             for cid, words, region, pos, depth in zip(*(batch.column(c).to_pylist() for c in ("cid", "words", "region", "pos", "depth"))):
-                es = [entry(w) for w in words]
+                es = [entry(w) for w in words.split(" ")]
                 sketch = 0
                 for e in es:
                     sketch ^= e[2]
@@ -139,10 +141,12 @@ def _join_regions(num: int, den: int):
     return run
 
 
-def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000) -> DataFrame:
+def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = FITS) -> DataFrame:
     """(a, b), a < b: every two of the sets (cid, words; no two alike) whose Jaccard
-    similarity is ``num / den`` or more. Regions of more than ``fits`` rows go down a
-    level; of their rows only those are compared here that need share no further word."""
+    similarity is ``num / den`` or more; ``words`` is a set's words in order with a space
+    between, as a string is half the size of an array in an exchange. Regions of more
+    than ``fits`` rows go down a level; of their rows only those are compared here that
+    need share no further word."""
     spark = classes.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_words(classes))
     todo, found = classes.selectExpr("cid", "words", "0L region", "-1 pos", "0 depth"), []
@@ -163,13 +167,17 @@ def class_pairs(classes: DataFrame, num: int = 4, den: int = 5, fits: int = 4000
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    a, b = (classes.selectExpr(f"cid {x}", f"words w{x}") for x in "ab")
-    both = F.size(F.array_intersect("wa", "wb"))
-    # one exchange by a does for both the repeated pairs and the first join
-    return pairs.repartition("a").distinct().join(a, "a").join(b, "b").where(both * (num + den) >= num * (F.size("wa") + F.size("wb"))).select("a", "b")
+    pairs = staged(pairs.distinct(), "candidates")
+    # only sets with a candidate take part in the check
+    either = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    of = classes.select("cid", "words").join(either, "cid", "left_semi")
+    a, b = (of.selectExpr(f"cid {x}", f"words w{x}") for x in "ab")
+    wa, wb = F.split("wa", " "), F.split("wb", " ")
+    both = F.size(F.array_intersect(wa, wb))
+    return pairs.join(a, "a").join(b, "b").where(both * (num + den) >= num * (F.size(wa) + F.size(wb))).select("a", "b")
 
 
-def unit_links(df: DataFrame, key: str = "req_seq", quote: str = "source_quote", ref: str = "source_ref", description: str = "description", least_words: int = 24, fits: int = 4000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def unit_links(df: DataFrame, key: str = "req_seq", quote: str = "source_quote", ref: str = "source_ref", description: str = "description", least_words: int = 24, fits: int = FITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (seq, unit) of the records that can have a near copy, units (unit, cid,
     n_members), and links (ua, ub), ua < ub, between units.
 
@@ -181,7 +189,8 @@ def unit_links(df: DataFrame, key: str = "req_seq", quote: str = "source_quote",
     """
     labels = field_labels(df, quote)
     d = keyed(df, key).select(F.col(key).cast("long").alias("seq"), word_set(F.col(quote)).alias("words"), F.col(quote).alias("q"), F.col(ref).alias("r"), F.col(description).alias("d"))
-    d = staged(d.where(F.size("words") >= least_words).withColumn("set_key", F.md5(F.array_join("words", " ").cast("binary"))), "sets")
+    d = d.where(F.size("words") >= least_words).withColumn("words", F.array_join("words", " "))
+    d = staged(d.withColumn("set_key", F.md5(F.col("words").cast("binary"))), "sets")
     classes = staged(d.groupBy("set_key").agg(F.min("seq").alias("cid"), F.any_value("words").alias("words"), (F.min("seq") != F.max("seq")).alias("several")), "classes")
     links = staged(class_pairs(classes.select("cid", "words"), fits=fits), "links")
     linked = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).distinct().withColumn("linked", F.lit(True))
