@@ -18,7 +18,10 @@ from .functions import text as T
 from .operators import audit as A
 from .operators import chunks as C
 from .operators import evaluation as E
+from .operators import diagnosis as D
+from .operators import enrichment as N
 from .operators import gate as G
+from .operators import indexing as X
 from .operators import requirements as Q
 from .operators import retrieval as R
 from .operators import runs as U
@@ -32,7 +35,6 @@ ORACLES: dict[str, str] = {}
 SKIPS = ["GLOSSARY", "REFERENCES", "Shared", "Weekly"]
 TAGS = ["access-control", "network-security", "privacy", "risk-management", "audit-and-logging"]
 TYPES = ["policy", "technical-control", "procedural-control", "assessment", "guidance"]
-TERMS = ["token retirement accordance", "quarterly keyring", "compressed visa approver", "harbor supervisor writing"]
 FLOORS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 
@@ -83,11 +85,11 @@ def _list(values: list) -> str:
 
 _LATEST = "(SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_seq DESC) AS _n FROM sample_chunks) WHERE _n = 1)"
 _DEDUP = (
-    "(SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, "
-    + _norm("coalesce(source_ref, '')")
-    + ", "
+    "(SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, coalesce(source_ref, ''), "
+    + _norm("source_quote")
+    + " ORDER BY coalesce(confidence, 0) * 1000 - length(source_quote) DESC, req_seq) AS _n FROM sample_normalized_reqs WHERE "
     + _norm("coalesce(source_quote, '')")
-    + " ORDER BY coalesce(confidence, 0) * 1000 - length(coalesce(source_quote, '')) DESC, req_seq) AS _n FROM sample_normalized_reqs) WHERE _n = 1)"
+    + " <> '') WHERE _n = 1)"
 )
 
 
@@ -101,15 +103,15 @@ def normalize_text_hash(spark, d):
     return reqs(spark, d).where("source_quote is not null").select("req_seq", F.sha2(_sigma(T.normalize_text(F.col("source_quote"))), 256).alias("quote_hash"))
 
 
-_SID = (
-    "WITH n AS (SELECT req_seq, document_id, chunk_id, requirement_type, "
-    + ", ".join(f"{_norm(f'''coalesce({c}, '')''')} AS {a}" for c, a in (("source_ref", "r"), ("source_quote", "q"), ("description", "de")))
-    + " FROM sample_normalized_reqs WHERE coalesce(source_quote,'') NOT LIKE '%Σ%') SELECT req_seq, 'REQ-' || substr(sha256(CASE WHEN q <> '' AND r <> '' THEN concat_ws(':', document_id, r, q) WHEN q <> '' THEN concat_ws(':', document_id, q)"
-    " ELSE concat_ws(':', document_id, coalesce(CAST(chunk_id AS VARCHAR), 'None'), coalesce(requirement_type, ''), de) END), 1, 12) AS stable_id FROM n"
-)
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '{_SP}+', ' ', 'g'))"
 
 
-@query(_SID.replace(" WHERE coalesce(source_quote,'') NOT LIKE '%Σ%'", "").replace("replace(lower(", "(lower(").replace(", 'ς', 'σ')", ")"))
+@query(
+    f"""WITH n AS (SELECT req_seq, document_id, chunk_id, requirement_type, {_plain('source_ref')} AS r, {_plain('source_quote')} AS q, {_plain('description')} AS de FROM sample_normalized_reqs)
+SELECT req_seq, 'REQ-' || substr(sha256(CASE WHEN q <> '' AND r <> '' THEN concat_ws(':', document_id, r, q) WHEN q <> '' THEN concat_ws(':', document_id, q)
+ELSE concat_ws(':', document_id, coalesce(CAST(chunk_id AS VARCHAR), 'None'), coalesce(requirement_type, ''), de) END), 1, 12) AS stable_id FROM n"""
+)
 def stable_id_cascade(spark, d):
     return Q.fresh_ids(reqs(spark, d)).select("req_seq", "stable_id")
 
@@ -202,31 +204,43 @@ def heading_depth_ref(spark, d):
 
 # ---- sections and chunks ----------------------------------------------------------
 _ITEMS = f"""items AS (
-  SELECT document_id, chunk_id * 2 AS item_seq, section_ref_path[-1] || '. ' || section_title_path[-1] AS heading FROM {_LATEST} WHERE len(section_ref_path) > 0 AND chunk_id IS NOT NULL
-  UNION ALL SELECT document_id, chunk_id * 2 + 1, NULL FROM {_LATEST} WHERE chunk_id IS NOT NULL)"""
+  SELECT document_id, chunk_id * 2 AS item_seq, section_ref_path[-1] || '. ' || section_title_path[-1] AS heading, NULL AS body FROM {_LATEST} WHERE len(section_ref_path) > 0 AND chunk_id IS NOT NULL
+  UNION ALL SELECT document_id, chunk_id * 2 + 1, NULL, text FROM {_LATEST} WHERE chunk_id IS NOT NULL)"""
 
 
 def _items(spark, d):
     c = C.latest_delivery(chunks(spark, d)).where("chunk_id is not null")
-    heads = c.where("size(section_ref_path) > 0").select("document_id", (F.col("chunk_id") * 2).alias("item_seq"), F.concat(F.element_at("section_ref_path", -1), F.lit(". "), F.element_at("section_title_path", -1)).alias("heading"))
-    return heads.unionByName(c.select("document_id", (F.col("chunk_id") * 2 + 1).alias("item_seq"), F.lit(None).cast("string").alias("heading")))
+    heads = c.where("size(section_ref_path) > 0").select("document_id", (F.col("chunk_id") * 2).alias("item_seq"), F.concat(F.element_at("section_ref_path", -1), F.lit(". "), F.element_at("section_title_path", -1)).alias("heading"), F.lit(None).cast("string").alias("body"))
+    return heads.unionByName(c.select("document_id", (F.col("chunk_id") * 2 + 1).alias("item_seq"), F.lit(None).cast("string").alias("heading"), F.col("text").alias("body")))
 
 
-_K = range(1, 7)
+#: A heading is open at an item where every heading between the two is deeper, and the
+#: item, if it is a heading itself, is deeper too.
+_OPEN = f"""WITH {_ITEMS}, i AS (SELECT *, {_depth_ref('heading')[0]} AS depth, {_depth_ref('heading')[1]} AS ref FROM items),
+pairs AS (SELECT i.document_id, i.item_seq, i.depth AS own, h.item_seq AS pos, h.depth, {_strip('h.heading')} AS title, h.ref,
+  min(h.depth) OVER (PARTITION BY i.document_id, i.item_seq ORDER BY h.item_seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS between_depth
+  FROM i JOIN i h ON i.document_id = h.document_id AND h.heading IS NOT NULL AND h.item_seq < i.item_seq),
+opened AS (SELECT * FROM pairs WHERE (between_depth IS NULL OR depth < between_depth) AND (own IS NULL OR depth < own)),
+paths AS (SELECT document_id, item_seq, string_agg(nullif(ref, ''), '>' ORDER BY pos) AS refs, string_agg(title, '>' ORDER BY pos) AS titles, arg_max(title, pos) AS parent_header_text, max(pos) AS parent_seq FROM opened GROUP BY ALL)"""
 
 
-@query(
-    f"WITH {_ITEMS}, d AS (SELECT *, least({_depth_ref('heading')[0]}, 6) AS depth FROM items),\nl AS (SELECT *, "
-    + ", ".join(f"last_value(CASE WHEN depth = {k} THEN {{'at': item_seq, 'title': heading, 'ref': {_depth_ref('heading')[1]}}} END IGNORE NULLS) OVER w AS l{k}" for k in _K)
-    + " FROM d WINDOW w AS (PARTITION BY document_id ORDER BY item_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),\np AS (SELECT document_id, item_seq, list_filter(["
-    + ", ".join("CASE WHEN l{0} IS NOT NULL AND (depth IS NULL OR depth > {0}){1} THEN l{0} END".format(k, "".join(f" AND coalesce(l{j}.at, -1) < l{k}.at" for j in range(1, k))) for k in _K)
-    + "], lambda x: x IS NOT NULL) AS path FROM l) SELECT document_id, item_seq, array_to_string(list_transform(path, lambda x: x['ref']), '>') AS refs, array_to_string(list_transform(path, lambda x: x['title']), '>') AS titles, CASE WHEN len(path) > 1 THEN path[-2]['title'] END AS parent_header_text FROM p"
-)
+@query(f"{_OPEN} SELECT document_id, item_seq, coalesce(refs, '') AS refs, coalesce(titles, '') AS titles, parent_header_text FROM i LEFT JOIN paths USING (document_id, item_seq)")
 def section_ancestry(spark, d):
     a = S.ancestry(_items(spark, d))
     return a.select("document_id", "item_seq", F.array_join("section_ref_path", ">").alias("refs"), F.array_join("section_title_path", ">").alias("titles"), "parent_header_text")
 
 
+@query(
+    f"""{_OPEN}, under AS (SELECT p.document_id, p.parent_seq, p.item_seq, {_strip('i.body')} AS body FROM paths p JOIN i USING (document_id, item_seq) WHERE i.heading IS NULL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY document_id, parent_seq ORDER BY item_seq) AS n FROM under WHERE coalesce(body, '') <> ''),
+bodies AS (SELECT document_id, parent_seq, substr(string_agg(body, ' ' ORDER BY n), 1, 600) AS preview FROM kept WHERE n <= 5 GROUP BY ALL)
+SELECT i.document_id, i.item_seq, coalesce(preview, parent_header_text) AS parent_context FROM i LEFT JOIN paths USING (document_id, item_seq) LEFT JOIN bodies ON bodies.document_id = i.document_id AND bodies.parent_seq = paths.parent_seq"""
+)
+def parent_context(spark, d):
+    """The body under the nearest heading, else that heading."""
+    return S.with_parent_context(S.ancestry(_items(spark, d)), body="body").select("document_id", "item_seq", "parent_context")
+
+
 @query(
     """WITH p AS (SELECT document_id, unnest(list_zip(section_ref_path[:-2], section_ref_path[2:])) AS x FROM sample_normalized_reqs WHERE len(section_ref_path) > 1),
 e AS (SELECT DISTINCT document_id, x[1] AS parent, x[2] AS child FROM p WHERE x[1] <> '' AND x[2] <> '') SELECT document_id, parent, string_agg(child, ',' ORDER BY encode(child)) AS children FROM e GROUP BY ALL"""
@@ -319,7 +333,15 @@ def _words(x: str) -> str:
 
 _EDGE = "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
 _DANG = f"(NOT contains({_strip('q')}, '?') AND lower(regexp_replace(coalesce({_words(_strip('q'))}[1], ''), '{_EDGE}', '', 'g')) IN ('is', 'are', 'was', 'were'))"
-_RULES = f"""CASE WHEN {_strip('q')} = '' THEN 'empty_source_quote' WHEN ends_with({_strip('q')}, ':') THEN 'unrepairable_fragment'
+_CITED = r"(?is)^[^,]{1,80},\s*as defined in\b(.*)$"
+_CITE_REST = f"regexp_extract({_strip('q')}, '{_CITED}', 1)"
+_CITE_WORDS = f"list_filter(list_transform({_words(_CITE_REST)}, lambda w: regexp_replace(w, '{_EDGE}', '', 'g')), lambda w: w <> '' AND lower(w) NOT IN ({_list(list(Q.CONNECTORS))}))"
+#: A citation and nothing else: no word in lower case, no two words of capitals in a row.
+_CITE = (
+    f"(regexp_matches({_strip('q')}, '{_CITED}') AND len(list_filter({_CITE_WORDS}, lambda w: regexp_matches(w, '^\\p{{Ll}}'))) = 0"
+    f" AND NOT contains(array_to_string(list_transform(list_filter({_CITE_WORDS}, lambda w: NOT regexp_matches(w, '\\d')), lambda w: CASE WHEN regexp_full_match(w, '\\p{{L}}+') AND w = upper(w) THEN 'U' ELSE 'x' END), ''), 'UU'))"
+)
+_RULES = f"""CASE WHEN {_strip('q')} = '' THEN 'empty_source_quote' WHEN ends_with({_strip('q')}, ':') THEN 'unrepairable_fragment' WHEN {_CITE} THEN 'orphaned_list_item'
   WHEN {_DANG} AND {_strip("coalesce(h, '')")} = '' THEN 'dangling_clause' WHEN starts_with({_norm('de')}, 'not explicitly stated') THEN 'not_actionable'
   WHEN starts_with({_norm('de')}, 'change ') AND (contains({_norm('de')}, ' to ') OR contains({_norm('de')}, ' from ')) AND length({_norm('de')}) < 100 THEN 'errata_change_entry' END"""
 _JOINED = f"SELECT r.req_seq, coalesce(source_quote, '') AS q, coalesce(description, '') AS de, c.parent_header_text AS h FROM sample_normalized_reqs r LEFT JOIN {_LATEST} c ON r.document_id = c.document_id AND r.chunk_id = c.chunk_id"
@@ -329,10 +351,10 @@ def _joined(spark, d):
     return Q.with_chunks(reqs(spark, d), C.latest_delivery(chunks(spark, d)))
 
 
-@query(f"SELECT req_seq, {_RULES} AS error FROM ({_JOINED}) WHERE NOT regexp_matches(q, '(?i)as defined in')")
+@query(f"SELECT req_seq, {_RULES} AS error FROM ({_JOINED})")
 def validation_rules(spark, d):
-    """The rules that need no fuzzy ratio; rows with a definitional opener are in ``validation_cascade``."""
-    return _joined(spark, d).where(~F.coalesce("source_quote", F.lit("")).rlike("(?i)as defined in")).select("req_seq", Q.first_error().alias("error"))
+    """The rules that need no fuzzy ratio; all are in ``validation_cascade``."""
+    return _joined(spark, d).select("req_seq", Q.first_error().alias("error"))
 
 
 @query()
@@ -397,14 +419,39 @@ def embedding_text(spark, d):
     return reqs(spark, d).select("req_seq", T.embedding_text(F.lit(None).cast("string"), F.col("source_quote"), F.col("source_ref")).alias("embedding_text"))
 
 
+_FILLED = "(coalesce(description, '') <> '' OR len(coalesce(domain_tags, [])) > 0 OR coalesce(requirement_type, '') <> '')"
+_CACHED = f"(SELECT requirement_id, description, domain_tags, requirement_type FROM (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY ingested_at DESC NULLS LAST, req_seq DESC) AS n FROM sample_normalized_reqs WHERE extraction_model = 'local-small' AND requirement_id IS NOT NULL AND {_FILLED}) WHERE n = 1)"
+_MERGED = "SELECT r.req_seq, c.requirement_id IS NOT NULL AS enriched, CASE WHEN c.requirement_id IS NOT NULL THEN c.description ELSE r.description END AS description, array_to_string(CASE WHEN c.requirement_id IS NOT NULL THEN c.domain_tags ELSE r.domain_tags END, ',') AS tags, CASE WHEN c.requirement_id IS NOT NULL THEN c.requirement_type ELSE r.requirement_type END AS requirement_type FROM sample_normalized_reqs r LEFT JOIN c USING (requirement_id)"
+
+
+def _enriched_fields(x):
+    return x.select("req_seq", "enriched", "description", F.array_join("domain_tags", ",").alias("tags"), "requirement_type")
+
+
+@query(f"WITH c AS {_CACHED} {_MERGED}")
+def enrichment_merge(spark, d):
+    """Rows with what a cache of one model's answers fills; the others are still to enrich."""
+    r = reqs(spark, d)
+    return _enriched_fields(N.merged(r, N.usable_cache(r.withColumn("enrichment_model", F.col("extraction_model")), "local-small", ["ingested_at", "req_seq"])))
+
+
+_ENRICHER = {"badge": "privacy", "ledger": "audit-and-logging", "sensor": "network-security"}
+_ENRICHER_TAGS = ", ".join(f"CASE WHEN contains(lower(q), '{w}') THEN '{t}' END" for w, t in _ENRICHER.items())
+_ASKS = _strip("'Asks: ' || substr(q, 1, 60)")
+
+
 @query(
-    """WITH c AS (SELECT DISTINCT requirement_id FROM sample_normalized_reqs WHERE extraction_model = 'local-small' AND (coalesce(description,'') <> '' OR len(coalesce(domain_tags, [])) > 0 OR coalesce(requirement_type,'') <> ''))
-SELECT r.req_seq, c.requirement_id IS NOT NULL AS enriched FROM sample_normalized_reqs r LEFT JOIN c USING (requirement_id)"""
+    f"""WITH old AS {_CACHED}, ask AS (SELECT requirement_id, max(coalesce(source_quote, '')) AS q FROM sample_normalized_reqs WHERE requirement_id IS NOT NULL AND requirement_id NOT IN (SELECT requirement_id FROM old) GROUP BY requirement_id),
+new AS (SELECT requirement_id, {_ASKS} AS description, list_filter([{_ENRICHER_TAGS}], lambda t: t IS NOT NULL) AS domain_tags,
+  CASE WHEN contains(lower(q), 'shall') THEN 'policy' WHEN contains(lower(q), 'must') THEN 'technical-control' ELSE '' END AS requirement_type FROM ask),
+c AS (SELECT * FROM old UNION ALL SELECT * FROM new) {_MERGED}"""
 )
-def enrichment_merge(spark, d):
-    """Which rows a cache of one model's answers fills; the others are still to enrich."""
+def enrichment_run(spark, d):
+    """All rows enriched: from the cache, the rest by an offline model in batches."""
+    from .providers import OfflineEnricher
+
     r = reqs(spark, d)
-    return G.merged(r, r.withColumn("enrichment_model", F.col("extraction_model")), "local-small").select("req_seq", "enriched")
+    return _enriched_fields(N.enriched(r, OfflineEnricher(_ENRICHER), "local-small", TAGS, TYPES, r.withColumn("enrichment_model", F.col("extraction_model")), ("ingested_at", "req_seq")))
 
 
 _MODAL = f"(?:^|[^a-z0-9_])(?:{'|'.join(G.MODALS)})(?:$|[^a-z0-9_])"
@@ -441,9 +488,8 @@ a AS (SELECT count(*) AS requirements, coalesce(round(avg(confidence), 3), 0) AS
 SELECT requirements, failures, requirements + failures AS requirements_before, chunks, avg_confidence, distinct_refs, round(covered * 100.0 / chunks, 1) AS coverage_pct, round(requirements * 1000.0 / chars, 3) AS per_1000_chars, round(requirements * 100.0 / (requirements + failures), 1) AS success_pct FROM a, f, c"""
 )
 def stats_summary(spark, d):
-    """The rules that need no fuzzy ratio, without rows with a definitional opener; all
-    rules and rows are in ``stats_whole``."""
-    v = _joined(spark, d).where(~F.coalesce("source_quote", F.lit("")).rlike("(?i)as defined in")).withColumn("error", Q.first_error())
+    """By the rules that need no fuzzy ratio; by all rules in ``stats_whole``."""
+    v = _joined(spark, d).withColumn("error", Q.first_error())
     return Q.stats(v.where("error is null"), v.where("error is not null"), C.latest_delivery(chunks(spark, d)))
 
 
@@ -472,7 +518,7 @@ def corpus_docs_rollup(spark, d):
 
 @query("SELECT m.framework, m.document_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, max(coalesce(m.authority_weight, 1)) AS weight FROM sample_normalized_reqs r LEFT JOIN source_manifest m USING (source_pdf) GROUP BY ALL")
 def corpus_analyze_pct(spark, d):
-    m = F.broadcast(_t(spark, d, "source_manifest").select("source_pdf", "framework", "document_type", F.coalesce("authority_weight", F.lit(1)).alias("w")))
+    m = _t(spark, d, "source_manifest").select("source_pdf", "framework", "document_type", F.coalesce("authority_weight", F.lit(1)).alias("w"))
     g = reqs(spark, d).join(m, "source_pdf", "left").groupBy("framework", "document_type").agg(F.count("*").alias("n"), F.coalesce(F.max("w"), F.lit(1)).alias("weight"))
     return g.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(W.partitionBy()), 4)).select("framework", "document_type", "n", "pct", "weight")
 
@@ -505,16 +551,21 @@ def latest_run_tier(spark, d):
 
 
 # ---- retrieval --------------------------------------------------------------------
-def _queries(spark):
-    return spark.createDataFrame(list(enumerate(TERMS)), "query_id int, query string")
+_STATED = "q AS (SELECT req_seq AS query_id, coalesce(source_quote, '') AS query FROM sample_normalized_reqs WHERE req_seq % 50 = 0)"
+
+
+def _stated(spark, d):
+    """The queries are the quotes of all rows whose number is divisible by 50."""
+    return reqs(spark, d).where("req_seq % 50 = 0").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
 
 
-_QUERIES = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS)) + ") AS t(query_id, query))"
+def _lex_stated(spark, d, n=100, idf=True, where="true"):
+    return R.lexical_top(reqs(spark, d).where(where), _stated(spark, d), "req_seq", "source_quote", n, idf)
 
 
-def _bm25(idf: bool, where: str = "true", asked: str = _QUERIES) -> str:
+def _bm25(idf: bool, where: str = "true", asked: str | None = None) -> str:
     w = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))" if idf else "1.0"
-    return f"""{asked}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
+    return f"""{asked or _STATED}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
 tok AS (SELECT req_seq, regexp_extract_all(lower(coalesce(source_quote, '')), '[a-z0-9]+') AS t FROM sample_normalized_reqs WHERE {where}),
 sz AS (SELECT avg(len(t)) AS avgdl, count(*) AS n_docs FROM tok), tf AS (SELECT req_seq, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT req_seq, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -528,39 +579,17 @@ def _ranked(src: str, n: int, alias: str, key: str = "req_seq") -> str:
 _TOP = "SELECT query_id, req_seq, rank, round(score, 6) AS score FROM r"
 
 
-def _lex(spark, d, idf=True, where="true"):
-    return R.lexical_scores(reqs(spark, d).where(where), _queries(spark), "req_seq", "source_quote", idf)
-
-
 def _show(x, key="req_seq"):
     return x.select("query_id", key, F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25(False)}, {_ranked('lex', 100, 'r')} {_TOP}")
-def bm25_tf_topk(spark, d):
-    return _show(R.top(_lex(spark, d, False), 100, "req_seq"))
-
-
-@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'r')} {_TOP}")
-def bm25_idf_topk(spark, d):
-    return _show(R.top(_lex(spark, d), 100, "req_seq"))
-
-
-@query(f"WITH {_bm25(True, '''list_has_any(coalesce(domain_tags, []), ['access-control', 'privacy']) AND requirement_type IN ('policy', 'guidance')''')}, {_ranked('lex', 50, 'r')} {_TOP}")
-def filtered_search(spark, d):
-    """Filters apply before any ranking, also to the statistics of the leg."""
-    f = R.query_filter(tags=["Access Control", "privacy"], types=["policy", "guidance"])
-    lex = R.lexical_scores(reqs(spark, d).where(f), _queries(spark), "req_seq", "source_quote")
-    return _show(R.top(lex, 50, "req_seq"))
-
-
 _QV = "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0"
 _DENSE = f"qv AS ({_QV}), dense AS (SELECT query_id, vec_id, round(coalesce(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 9) AS score FROM qv, embeddings)"
 
 
-def _dense(spark, d):
+def _dense(spark, d, n=100):
     v = _t(spark, d, "embeddings")
-    return R.dense_scores(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "vec_id", "embedding")
+    return R.dense_top(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "vec_id", "embedding", n)
 
 
 @query(f"WITH {_DENSE}, {_ranked('dense', 20, 'r', 'vec_id')} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r")
@@ -575,9 +604,9 @@ def _legs(spark, d, third: bool):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("req_seq"), "embedding")
     at = lambda shift: v.select((F.col("req_seq") - shift).alias("query_id"), F.col("embedding").alias("query_vector")).where("query_id % 50 = 0 and query_id >= 0")
     r = reqs(spark, d)
-    texts = r.join(F.broadcast(at(0).select(F.col("query_id").alias("req_seq"))), "req_seq").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
-    legs = [R.lexical_scores(r, texts, "req_seq", "source_quote")]
-    return legs + [R.dense_scores(v, at(shift), "req_seq", "embedding") for shift in ((0, 1) if third else (0,))]
+    texts = r.join(at(0).select(F.col("query_id").alias("req_seq")), "req_seq").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
+    legs = [R.lexical_top(r, texts, "req_seq", "source_quote", 100)]
+    return legs + [R.dense_top(v, at(shift), "req_seq", "embedding", 100) for shift in ((0, 1) if third else (0,))]
 
 
 _ASKED = "q AS (SELECT vec_id AS query_id, coalesce(source_quote, '') AS query FROM embeddings JOIN sample_normalized_reqs ON req_seq = vec_id WHERE vec_id % 50 = 0)"
@@ -606,31 +635,21 @@ def hybrid_rrf_hyde(spark, d):
     return _show(R.fused(_legs(spark, d, True), 20, "req_seq", min_score=0.02))
 
 
-_STATED = "q AS (SELECT req_seq AS query_id, coalesce(source_quote, '') AS query FROM sample_normalized_reqs WHERE req_seq % 50 = 0)"
-
-
-def _lex_stated(spark, d, idf=True, where="true"):
-    """The queries are the quotes of all rows whose number is divisible by 50, against all rows."""
-    r = reqs(spark, d)
-    asked = r.where("req_seq % 50 = 0").select(F.col("req_seq").alias("query_id"), F.coalesce("source_quote", F.lit("")).alias("query"))
-    return R.lexical_scores(r.where(where), asked, "req_seq", "source_quote", idf)
-
-
-@query(f"WITH {_bm25(False, asked=_STATED)}, {_ranked('lex', 100, 'r')} {_TOP}")
-def bm25_tf_stated(spark, d):
-    return _show(R.top(_lex_stated(spark, d, False), 100, "req_seq"))
+@query(f"WITH {_bm25(False)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_tf_topk(spark, d):
+    return _show(R.top(_lex_stated(spark, d, idf=False), 100, "req_seq"))
 
 
-@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'r')} {_TOP}")
-def bm25_idf_stated(spark, d):
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'r')} {_TOP}")
+def bm25_idf_topk(spark, d):
     return _show(R.top(_lex_stated(spark, d), 100, "req_seq"))
 
 
-@query(f"WITH {_bm25(True, '''list_has_any(coalesce(domain_tags, []), ['access-control', 'privacy']) AND requirement_type IN ('policy', 'guidance')''', _STATED)}, {_ranked('lex', 50, 'r')} {_TOP}")
-def filtered_search_stated(spark, d):
+@query(f"WITH {_bm25(True, '''list_has_any(coalesce(domain_tags, []), ['access-control', 'privacy']) AND requirement_type IN ('policy', 'guidance')''')}, {_ranked('lex', 50, 'r')} {_TOP}")
+def filtered_search(spark, d):
     """The filters are those of the rows searched; every stated row is a query."""
     f = R.query_filter(tags=["Access Control", "privacy"], types=["policy", "guidance"])
-    return _show(R.top(_lex_stated(spark, d, where=f), 50, "req_seq"))
+    return _show(R.top(_lex_stated(spark, d, 50, where=f), 50, "req_seq"))
 
 
 _NAMES = ["PTG_7513.35", "HARV 5597.03.pdf", "no such file"]
@@ -669,25 +688,13 @@ def embedding_warnings(spark, d):
 
 
 # ---- services ---------------------------------------------------------------------
-@query(
-    """WITH t AS (SELECT req_seq AS target, source_ref, source_pdf AS own FROM sample_normalized_reqs WHERE requirement_type = 'assessment' AND source_ref LIKE 'WY-%' AND chunk_id = 1),
-m AS (SELECT t.target, r.req_seq, r.source_pdf, row_number() OVER (PARTITION BY target, r.source_pdf ORDER BY r.req_seq) AS n FROM sample_normalized_reqs r JOIN t USING (source_ref) WHERE r.req_seq <> t.target AND (r.source_pdf IS NULL OR r.source_pdf IS DISTINCT FROM t.own))
-SELECT target, req_seq, source_pdf FROM m WHERE n = 1 OR source_pdf IS NULL"""
-)
-def trace_cross_matches(spark, d):
-    r = reqs(spark, d)
-    t = r.where("requirement_type = 'assessment' and source_ref like 'WY-%' and chunk_id = 1")
-    return V.cross_matches(r, t).select("target", "req_seq", "source_pdf")
-
-
 @query(
     """WITH t AS (SELECT req_seq AS target, source_ref, source_pdf AS own FROM sample_normalized_reqs WHERE req_seq % 50 = 0 AND source_ref <> ''),
 m AS (SELECT t.target, r.req_seq, r.source_pdf, row_number() OVER (PARTITION BY target, r.source_pdf ORDER BY r.req_seq) AS n FROM sample_normalized_reqs r JOIN t USING (source_ref) WHERE r.req_seq <> t.target AND (r.source_pdf IS NULL OR r.source_pdf IS DISTINCT FROM t.own))
 SELECT target, req_seq, source_pdf FROM m WHERE n = 1 OR source_pdf IS NULL"""
 )
-def trace_cross_matches_stated(spark, d):
-    """Targets are all rows whose number is divisible by 50 and that have a reference;
-    ``trace_cross_matches`` keeps the few targets its SQL names."""
+def trace_cross_matches(spark, d):
+    """Targets are all rows whose number is divisible by 50 and that have a reference."""
     r = reqs(spark, d)
     return V.cross_matches(r, r.where("req_seq % 50 = 0")).select("target", "req_seq", "source_pdf")
 
@@ -697,14 +704,8 @@ def compare_exact(spark, d):
     return V.compare_exact(reqs(spark, d), "enclosure-3").select("source_pdf", "req_seq", "confidence")
 
 
-@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.*, source_ref, source_pdf FROM k JOIN sample_normalized_reqs USING (req_seq) WHERE query_id = 0), o AS (SELECT *, row_number() OVER (PARTITION BY source_ref, source_pdf ORDER BY rank, req_seq) AS n FROM h) SELECT req_seq, source_ref, source_pdf, rank, min(rank) OVER (PARTITION BY source_ref) AS ref_rank FROM o WHERE n = 1")
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.*, source_ref, source_pdf FROM k JOIN sample_normalized_reqs USING (req_seq)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_ref, source_pdf ORDER BY rank, req_seq) AS n FROM h) SELECT query_id, req_seq, source_ref, source_pdf, rank, min(rank) OVER (PARTITION BY query_id, source_ref) AS ref_rank FROM o WHERE n = 1")
 def compare_semantic(spark, d):
-    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 0").join(reqs(spark, d).select("req_seq", "source_ref", "source_pdf"), "req_seq")
-    return V.compare_ranked(hits).select("req_seq", "source_ref", "source_pdf", F.col("rank").cast("long").alias("rank"), F.col("ref_rank").cast("long").alias("ref_rank"))
-
-
-@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.*, source_ref, source_pdf FROM k JOIN sample_normalized_reqs USING (req_seq)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_ref, source_pdf ORDER BY rank, req_seq) AS n FROM h) SELECT query_id, req_seq, source_ref, source_pdf, rank, min(rank) OVER (PARTITION BY query_id, source_ref) AS ref_rank FROM o WHERE n = 1")
-def compare_semantic_stated(spark, d):
     hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d).select("req_seq", "source_ref", "source_pdf"), "req_seq")
     return V.compare_ranked(hits, by=("query_id",)).select("query_id", "req_seq", "source_ref", "source_pdf", F.col("rank").cast("long").alias("rank"), F.col("ref_rank").cast("long").alias("ref_rank"))
 
@@ -723,19 +724,10 @@ _BARE = f"regexp_full_match({_REF}, '\\([0-9a-zA-Z]{{1,4}}\\)')"
 
 
 @query(
-    f"""WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.rank, r.*, CASE WHEN {_REF} = '' THEN '__no_ref__' || req_seq WHEN {_BARE} AND {_ABOVE} IS NULL THEN '__bare_fragment__' || req_seq WHEN {_BARE} THEN {_ABOVE} || {_REF} ELSE {_REF} END AS group_key FROM k JOIN sample_normalized_reqs r USING (req_seq) WHERE query_id = 1)
-SELECT group_key, min(rank) AS first_rank, arg_max(req_seq, {{'c': coalesce(confidence, 0), 'r': -rank}}) AS representative, string_agg(CAST(req_seq AS VARCHAR), ',' ORDER BY rank) AS sources FROM h GROUP BY group_key"""
-)
-def evidence_groups(spark, d):
-    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 1").join(reqs(spark, d), "req_seq")
-    return V.evidence_groups(hits).select("group_key", F.col("first_rank").cast("long").alias("first_rank"), "representative", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
-
-
-@query(
-    f"""WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.query_id, k.rank, r.*, CASE WHEN {_REF} = '' THEN '__no_ref__' || req_seq WHEN {_BARE} AND {_ABOVE} IS NULL THEN '__bare_fragment__' || req_seq WHEN {_BARE} THEN {_ABOVE} || {_REF} ELSE {_REF} END AS group_key FROM k JOIN sample_normalized_reqs r USING (req_seq))
+    f"""WITH {_bm25(True)}, {_ranked('lex', 100, 'k')}, h AS (SELECT k.query_id, k.rank, r.*, CASE WHEN {_REF} = '' THEN '__no_ref__' || req_seq WHEN {_BARE} AND {_ABOVE} IS NULL THEN '__bare_fragment__' || req_seq WHEN {_BARE} THEN {_ABOVE} || {_REF} ELSE {_REF} END AS group_key FROM k JOIN sample_normalized_reqs r USING (req_seq))
 SELECT query_id, group_key, min(rank) AS first_rank, arg_max(req_seq, {{'c': coalesce(confidence, 0), 'r': -rank}}) AS representative, string_agg(CAST(req_seq AS VARCHAR), ',' ORDER BY rank) AS sources FROM h GROUP BY query_id, group_key"""
 )
-def evidence_groups_stated(spark, d):
+def evidence_groups(spark, d):
     hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d), "req_seq")
     return V.evidence_groups(hits, by=("query_id",)).select("query_id", "group_key", F.col("first_rank").cast("long").alias("first_rank"), "representative", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 
@@ -764,14 +756,16 @@ def checklist_csv(spark, d):
     return csv_columns(V.checklist(reqs(spark, d), "cybersecurity")).select("req_seq", F.col("source_quote").alias("quote"), F.col("section_title_path").alias("section"), F.col("domain_tags").alias("tags"))
 
 
-@query("SELECT req_seq FROM sample_normalized_reqs WHERE len(regexp_extract_all(source_quote, '[A-Za-z][A-Za-z0-9 &/\\-]{2,40}\\s=\\s')) >= 2")
-def garbled_table(spark, d):
-    return reqs(spark, d).where(T.garbled_table(F.col("source_quote"))).select("req_seq")
+def _garbled(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[A-Za-z][A-Za-z0-9 &/\\-]{{2,40}}\\s=\\s')) >= 2"
 
 
-@query("SELECT failure_seq FROM labeled_failures WHERE len(regexp_extract_all(quote, '[A-Za-z][A-Za-z0-9 &/\\-]{2,40}\\s=\\s')) >= 2")
-def garbled_failures(spark, d):
-    return _t(spark, d, "labeled_failures").where(T.garbled_table(F.col("quote"))).select("failure_seq")
+@query(f"SELECT 'requirement' AS kind, req_seq AS seq FROM sample_normalized_reqs WHERE {_garbled('source_quote')} UNION ALL SELECT 'audited', failure_seq FROM labeled_failures WHERE {_garbled('quote')} UNION ALL SELECT 'chunk', chunk_seq FROM sample_chunks WHERE {_garbled('text')}")
+def garbled_table(spark, d):
+    """Quotes and texts that hold a table run together, of all three tables."""
+    each = ((reqs(spark, d), "requirement", "req_seq", "source_quote"), (_t(spark, d, "labeled_failures"), "audited", "failure_seq", "quote"), (chunks(spark, d), "chunk", "chunk_seq", "text"))
+    parts = [t.where(T.garbled_table(F.col(c))).select(F.lit(k).alias("kind"), F.col(s).alias("seq")) for t, k, s, c in each]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- evaluation -------------------------------------------------------------------
@@ -883,14 +877,6 @@ def weighted_prevalence(spark, d):
     return E.weighted_prevalence(_t(spark, d, "labeled_failures"), "doc_key", F.col("ends_colon"))
 
 
-_CATS = ["FRAGMENT", "OVER_GRAB", "JUDGMENT", "EXTRACTION", "RANKING"]
-
-
-@query(f"SELECT category, count(failure_seq) AS n FROM (VALUES {', '.join(f'''('{c}')''' for c in _CATS)}) v(category) LEFT JOIN labeled_failures USING (category) GROUP BY category")
-def category_prevalence(spark, d):
-    return E.category_counts(_t(spark, d, "labeled_failures"), "category", _CATS)
-
-
 @query("SELECT r.req_seq FROM sample_normalized_reqs r SEMI JOIN (SELECT r2.document_id, r2.chunk_id FROM labeled_failures f JOIN sample_normalized_reqs r2 USING (requirement_id) WHERE f.category = 'OVER_GRAB') k ON r.document_id = k.document_id AND r.chunk_id = k.chunk_id")
 def over_grab(spark, d):
     """Requirements in the chunk of an audited over-grab; unknown chunks join nothing."""
@@ -932,18 +918,6 @@ def discovery_candidates(spark, d):
     return _t(spark, d, "labeled_failures").where("quote is not null").select("failure_seq", F.array_join(E.discovery_signals(F.col("quote")), ",").alias("signals"))
 
 
-@query()
-def harvest_router(spark, d):
-    """Requirements by how their description relates to the quote: a citation fragment
-    that was spun out, an obligation that was added, or clean."""
-    from .functions.fuzzy import token_sort_ratio_udf
-
-    r = reqs(spark, d).where("coalesce(description, '') <> '' and coalesce(source_quote, '') <> ''").dropDuplicates(["document_id", "source_quote", "description", "source_ref"])
-    wq, wd = T.word_count(F.col("source_quote")), T.word_count(F.col("description"))
-    shaped = (Q.is_fragment(F.col("source_quote")) | (wq <= 20)) & (wd >= 2 * wq) & (token_sort_ratio_udf(F.lower("source_quote"), F.lower("description")) < 45)
-    return r.select("document_id", "source_quote", "description", F.when(shaped, "citation").when(G.fabricated(F.col("source_quote"), F.col("description")), "modality").otherwise("clean").alias("route"))
-
-
 @query()
 def json_recovery(spark, d):
     """Lists of the events' properties, cut off before their last bracket."""
@@ -997,11 +971,6 @@ def structure_verdicts(spark, d):
     return A.verdicts(chunks(spark, d))
 
 
-@query(f"WITH {_RANK} SELECT rel.query_id, rel.vec_id, CASE WHEN r.rank IS NULL THEN 'embedding' WHEN r.score < 0.5 THEN 'query-filter' WHEN r.rank > 20 THEN 'ranking' END AS category FROM rel LEFT JOIN r ON rel.query_id = r.query_id AND rel.vec_id = r.vec_id")
-def miss_classification(spark, d):
-    return A.misses(_relevant(spark, d), R.top(_dense(spark, d), 100, "vec_id"), _t(spark, d, "embeddings"), "vec_id", 20, 0.5)
-
-
 @query(f"WITH f AS (SELECT r.requirement_type, {_obl('source_quote')} AS q, {_obl('description')} AS de FROM sample_normalized_reqs r WHERE coalesce(source_quote, '') <> '' AND coalesce(description, '') <> '') SELECT requirement_type, count(*) AS n, count_if(NOT q AND de) AS caught FROM f GROUP BY requirement_type")
 def fabricated_by_type(spark, d):
     r = reqs(spark, d).where("coalesce(source_quote, '') <> '' and coalesce(description, '') <> ''")
@@ -1014,14 +983,8 @@ def label_set_difference(spark, d):
     return _t(spark, d, "labeled_failures").where("requirement_id is not null").select("requirement_id").distinct().join(have, "requirement_id", "left_anti")
 
 
-@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')} SELECT k.rank, '[' || k.rank || '] ' || coalesce(source_ref, '-') || ' (' || coalesce(source_pdf, '-') || '): ' || coalesce(nullif(description, ''), source_quote) AS line FROM k JOIN sample_normalized_reqs USING (req_seq) WHERE query_id = 2")
+@query(f"WITH {_bm25(True)}, {_ranked('lex', 100, 'k')} SELECT k.query_id, k.rank, '[' || k.rank || '] ' || coalesce(source_ref, '-') || ' (' || coalesce(source_pdf, '-') || '): ' || coalesce(nullif(description, ''), source_quote) AS line FROM k JOIN sample_normalized_reqs USING (req_seq)")
 def evidence_prompt(spark, d):
-    hits = R.top(_lex(spark, d), 100, "req_seq").where("query_id = 2").join(reqs(spark, d), "req_seq")
-    return V.evidence_lines(hits).select(F.col("rank").cast("long").alias("rank"), "line")
-
-
-@query(f"WITH {_bm25(True, asked=_STATED)}, {_ranked('lex', 100, 'k')} SELECT k.query_id, k.rank, '[' || k.rank || '] ' || coalesce(source_ref, '-') || ' (' || coalesce(source_pdf, '-') || '): ' || coalesce(nullif(description, ''), source_quote) AS line FROM k JOIN sample_normalized_reqs USING (req_seq)")
-def evidence_prompt_stated(spark, d):
     hits = R.top(_lex_stated(spark, d), 100, "req_seq").join(reqs(spark, d), "req_seq")
     return V.evidence_lines(hits, by=("query_id",)).select("query_id", F.col("rank").cast("long").alias("rank"), "line")
 
@@ -1046,3 +1009,224 @@ def gold_review_table(spark, d):
     gold = lambda x: x.groupBy("source_pdf", "chunk_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("req_seq")), lambda v: v.cast("string")), ","), F.lit("]")).alias("gold"))
     t = A.review_table(C.latest_delivery(chunks(spark, d)), gold(r), gold(r.where("confidence < 0.8")))
     return t.select("chunk_seq", "gold", "review_status")
+
+
+# ---- diagnosis --------------------------------------------------------------------
+#: The ids of a search are those of rows of requirements; the pool is one wide search, the plain one that by the next vector.
+_REL_REQ = "rel AS (SELECT a.vec_id AS query_id, CAST(b.vec_id AS VARCHAR) AS requirement_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
+_PLAIN = "plain_scores AS (SELECT a.vec_id - 1 AS query_id, b.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 9) AS score FROM embeddings a, embeddings b WHERE (a.vec_id - 1) % 50 = 0 AND a.vec_id >= 1)"
+_POOLS = f"{_DENSE}, {_ranked('dense', 100, 'r', 'vec_id')}, {_PLAIN}, {_ranked('plain_scores', 20, 'p', 'vec_id')}, {_REL_REQ}, kept AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM r WHERE score >= 0.1)"
+_CANDIDATE = f"({_strip('q')} <> '' AND (regexp_matches({_strip('q')}, '^\\(?[a-zA-Z0-9]{{1,3}}[.)]\\s') OR len({_words(_strip('q'))}) <= 20 OR {_DANG}))"
+_MISSES = f"""WITH {_POOLS}, k AS (SELECT CAST(req_seq AS VARCHAR) AS requirement_id, document_id, chunk_id, coalesce(source_quote, '') AS q FROM sample_normalized_reqs), c AS (SELECT document_id, chunk_id, text FROM {_LATEST})
+SELECT rel.query_id, rel.requirement_id, CASE WHEN k.requirement_id IS NULL THEN 'extraction_failure' WHEN coalesce({_garbled('k.q')}, false) OR coalesce({_garbled('c.text')}, false) THEN 'table_serialization' WHEN {_CANDIDATE} THEN 'missing_context'
+WHEN r.rank IS NULL THEN 'embedding_miss' WHEN r.score < 0.1 THEN 'zero_truth_confidence_failure' WHEN p.rank IS NOT NULL AND r.rank > 20 THEN 'query_filter_issue' ELSE 'ranking_miss' END AS category
+FROM rel LEFT JOIN kept ON kept.query_id = rel.query_id AND CAST(kept.vec_id AS VARCHAR) = rel.requirement_id AND kept.n <= 20 LEFT JOIN k ON k.requirement_id = rel.requirement_id LEFT JOIN c ON c.document_id = k.document_id AND c.chunk_id = k.chunk_id
+LEFT JOIN r ON r.query_id = rel.query_id AND CAST(r.vec_id AS VARCHAR) = rel.requirement_id LEFT JOIN p ON p.query_id = rel.query_id AND CAST(p.vec_id AS VARCHAR) = rel.requirement_id WHERE kept.n IS NULL"""
+_GRABS = f"""WITH {_POOLS}, k AS (SELECT CAST(req_seq AS VARCHAR) AS requirement_id, document_id, chunk_id FROM sample_normalized_reqs), places AS (SELECT DISTINCT query_id, document_id, chunk_id FROM rel JOIN k USING (requirement_id) WHERE chunk_id IS NOT NULL)
+SELECT kept.query_id, k.requirement_id, kept.n AS rank FROM kept JOIN k ON k.requirement_id = CAST(kept.vec_id AS VARCHAR) SEMI JOIN places ON places.query_id = kept.query_id AND places.document_id = k.document_id AND places.chunk_id = k.chunk_id WHERE kept.n <= 20 AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.query_id = kept.query_id AND rel.requirement_id = k.requirement_id)"""
+
+
+def _searched(spark, d):
+    """(relevant, pool, plain, reqs): as ``_POOLS`` says."""
+    v = _t(spark, d, "embeddings")
+    named = lambda x: x.withColumn("requirement_id", F.col("vec_id").cast("string")).drop("vec_id")
+    plain = R.dense_top(v, v.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("query_vector")).where("query_id % 50 = 0 and query_id >= 0"), "vec_id", "embedding", 20)
+    r = reqs(spark, d).withColumn("requirement_id", F.col("req_seq").cast("string")).withColumn("source_quote", F.coalesce("source_quote", F.lit(""))).drop("parent_stem")
+    return named(_relevant(spark, d)), named(R.top(_dense(spark, d), 100, "vec_id")), named(R.top(plain, 20, "vec_id")), r
+
+
+@query(_MISSES)
+def miss_classification(spark, d):
+    """Why each relevant row was not shown, by eight categories."""
+    rel, pool, plain, r = _searched(spark, d)
+    return D.miss_categories(rel, pool, plain, r, C.latest_delivery(chunks(spark, d)), floor=0.1)
+
+
+@query(_GRABS)
+def over_grab_ranks(spark, d):
+    rel, pool, _, r = _searched(spark, d)
+    return D.over_grabs(pool, rel, r, floor=0.1).select("query_id", "requirement_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT category, count(x.category_) AS n FROM (VALUES {', '.join(f'''('{c}')''' for c in D.CATEGORIES)}) v(category) LEFT JOIN (SELECT category AS category_ FROM ({_MISSES}) UNION ALL SELECT 'over_grab' FROM ({_GRABS})) x ON x.category_ = v.category GROUP BY category")
+def category_prevalence(spark, d):
+    """How often each of the eight categories is met, zeros kept."""
+    return D.prevalence(miss_classification(spark, d), over_grab_ranks(spark, d))
+
+
+_BY_KEY = "SELECT m.doc_key, r.source_quote, r.confidence FROM sample_normalized_reqs r JOIN source_manifest m USING (source_pdf)"
+
+
+@query(
+    f"""WITH k AS ({_BY_KEY}), e AS (SELECT failure_seq, requirement_id, doc_key, {_norm('quote')} AS q FROM labeled_failures WHERE quote IS NOT NULL), alive AS (SELECT DISTINCT doc_key, {_norm('source_quote')} AS q FROM k WHERE confidence >= 0.8), lost AS (SELECT DISTINCT doc_key, {_norm('source_quote')} AS q FROM k WHERE confidence < 0.8)
+SELECT failure_seq AS query_id, requirement_id, CASE WHEN alive.q IS NOT NULL THEN false WHEN lost.q IS NOT NULL THEN true END AS confirmed FROM e LEFT JOIN alive ON alive.doc_key = e.doc_key AND alive.q = e.q LEFT JOIN lost ON lost.doc_key = e.doc_key AND lost.q = e.q"""
+)
+def extraction_losses(spark, d):
+    """Audited quotes against the confident rows, as alive, and the others, as rejected."""
+    k = reqs(spark, d).join(_t(spark, d, "source_manifest").select("source_pdf", "doc_key"), "source_pdf").withColumn("source_quote", _sigma(F.col("source_quote")))
+    e = _t(spark, d, "labeled_failures").where("quote is not null").select(F.col("failure_seq").alias("query_id"), "requirement_id", "doc_key", "quote")
+    return D.extraction_loss(e, k.where("confidence >= 0.8"), k.where("confidence < 0.8"))
+
+
+_SHAPED = f"SELECT query_id, CASE WHEN query_id % 500 = 0 THEN 'zero' ELSE 'broad' END AS shape, CASE WHEN query_id % 350 = 0 THEN 0 ELSE n_relevant END AS n_relevant, CASE WHEN query_id % 450 = 0 THEN 'timeout' END AS error, query_id % 7 AS returned, recall_5, recall_10, recall_20, mrr FROM ({_MET})"
+
+
+@query(
+    f"""WITH q AS (SELECT *, error IS NULL AND shape <> 'zero' AND n_relevant > 0 AS s FROM ({_SHAPED})) SELECT round(avg(CASE WHEN s THEN recall_5 END), 4) AS mean_recall_5, round(avg(CASE WHEN s THEN recall_10 END), 4) AS mean_recall_10, round(avg(CASE WHEN s THEN recall_20 END), 4) AS mean_recall_20, round(avg(CASE WHEN s THEN mrr END), 4) AS mean_mrr,
+count_if(s) AS scored, count_if(error IS NULL AND shape = 'zero') AS zero, round(avg(CASE WHEN error IS NULL AND shape = 'zero' THEN returned END), 2) AS zero_returned, count_if(error IS NULL AND shape <> 'zero' AND n_relevant = 0) AS unscored, count_if(error IS NOT NULL) AS failed FROM q"""
+)
+def harness_totals(spark, d):
+    """Means over scored queries with the off-topic, unscored and failed ones counted apart."""
+    q = F.col("query_id")
+    m = retrieval_metrics(spark, d).withColumns({"shape": F.when(q % 500 == 0, "zero").otherwise("broad"), "n_relevant": F.when(q % 350 == 0, 0).otherwise(F.col("n_relevant")), "error": F.when(q % 450 == 0, "timeout"), "returned": q % 7})
+    return D.harness_totals(m)
+
+
+_REJECTED = f"CASE WHEN ends_with({_strip('q')}, ':') THEN 'unrepairable_fragment' WHEN {_CITE} THEN 'orphaned_list_item' WHEN {_DANG} THEN 'dangling_clause' END"
+_GATED = f"SELECT coalesce(category, 'REAL') AS category, subtype, {_REJECTED} AS rule FROM (SELECT *, coalesce(quote, '') AS q FROM labeled_failures)"
+
+
+def _labelled(spark, d):
+    return _t(spark, d, "labeled_failures").withColumn("category", F.coalesce("category", F.lit("REAL")))
+
+
+@query(
+    f"""WITH g AS ({_GATED}), n AS (SELECT count_if(category = 'REAL' AND rule IS NOT NULL) AS real_rejected, count_if((category IN ('OVER_GRAB', 'JUDGMENT') OR (category <> 'REAL' AND subtype = 'malformed_garbled')) AND rule IS NOT NULL) AS scope_violations,
+(count_if(category <> 'REAL' AND subtype = 'colon_too_long' AND rule = 'unrepairable_fragment') < 3)::INT + (count_if(category <> 'REAL' AND subtype = 'orphaned_list_item' AND rule = 'orphaned_list_item') < 2)::INT + (count_if(category <> 'REAL' AND subtype = 'dangling_clause' AND rule = 'dangling_clause') < 1)::INT AS coverage_regressions FROM g)
+SELECT *, real_rejected + scope_violations + coverage_regressions = 0 AS passed FROM n"""
+)
+def rule_gate(spark, d):
+    """The quote rules on audited rows: what must not be rejected and what must be caught."""
+    return D.rule_gate(_labelled(spark, d), {"colon_too_long": 3, "orphaned_list_item": 2, "dangling_clause": 1})
+
+
+@query(f"SELECT subtype, count(*) AS n, count_if(b) AS before, count_if(a) AS after, count_if(a AND NOT b) AS gained, count_if(b AND NOT a) AS lost FROM (SELECT subtype, coalesce(unrepairable_fragment, false) AS b, ends_with({_strip('q')}, ':') AS a FROM (SELECT *, coalesce(quote, '') AS q FROM labeled_failures)) GROUP BY subtype")
+def rule_variants(spark, d):
+    """The stored fragment flag against the rule as it is now."""
+    return D.rules_before_and_after(_t(spark, d, "labeled_failures"), F.col("unrepairable_fragment"), Q.is_fragment(F.coalesce("quote", F.lit(""))))
+
+
+@query(
+    f"""WITH places AS (SELECT requirement_id, arg_min({{'d': document_id, 'c': chunk_id}}, req_seq) AS p FROM sample_normalized_reqs GROUP BY requirement_id)
+SELECT failure_seq, r.req_seq AS candidate, {_strip("coalesce(r.source_quote, '')")} = {_strip("coalesce(f.quote, '')")} AS is_label, c.text IS NOT NULL AS has_text FROM labeled_failures f JOIN places USING (requirement_id) JOIN sample_normalized_reqs r ON r.document_id = p.d AND r.chunk_id = p.c LEFT JOIN {_LATEST} c ON c.document_id = p.d AND c.chunk_id = p.c"""
+)
+def traced_labels(spark, d):
+    """Each audited quote with all that was extracted from its chunk."""
+    t = D.traced_labels(_t(spark, d, "labeled_failures").select("failure_seq", "requirement_id", "subtype", "quote"), reqs(spark, d), C.latest_delivery(chunks(spark, d)))
+    return t.select("failure_seq", "candidate", "is_label", F.col("chunk_text").isNotNull().alias("has_text"))
+
+
+@query()
+def prompt_comparison(spark, d):
+    """What an offline extractor takes from the chunks under two templates."""
+    from .providers import OfflineExtractor
+
+    c = C.latest_delivery(chunks(spark, d)).select(F.when(F.length("text") > 1500, "long").otherwise("short").alias("group"), "document_id", "chunk_id", "text")
+    return D.prompt_comparison(c, {"plain": "{text}", "headed": "Extract.\n\n{text}"}, OfflineExtractor(["shall", "must"]))
+
+
+@query(f"SELECT count_if(NOT faithful AND score >= 0.5) AS false_negatives, count_if(NOT faithful) AS bad, count_if(faithful AND score < 0.5) AS false_positives, count_if(faithful) AS good FROM ({_SCORED})")
+def support_errors(spark, d):
+    return D.support_errors(_scored(spark, d), 0.5)
+
+
+@query("SELECT failure_seq, least(1.0, coalesce(word_count, 0) / 40.0) < 0.5 AS rejected, category = 'FRAGMENT' AS expected, (least(1.0, coalesce(word_count, 0) / 40.0) < 0.5) = (category = 'FRAGMENT') AS correct, min((least(1.0, coalesce(word_count, 0) / 40.0) < 0.5) = (category = 'FRAGMENT')) OVER () AS all_correct FROM labeled_failures WHERE category IS NOT NULL")
+def regression_checked(spark, d):
+    s = _t(spark, d, "labeled_failures").where("category is not null").select("failure_seq", (F.col("category") != "FRAGMENT").alias("faithful"), F.least(F.lit(1.0), F.coalesce("word_count", F.lit(0)) / 40.0).alias("score"))
+    return D.regression_checked(s, 0.5).select("failure_seq", "rejected", "expected", "correct", "all_correct")
+
+
+@query('SELECT q.vec_id AS "case", round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS bare, round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])), 0), 6) AS stemmed FROM embeddings q JOIN embeddings b ON b.vec_id = q.vec_id + 1 JOIN embeddings s ON s.vec_id = q.vec_id + 2')
+def stem_deltas(spark, d):
+    """Each vector as a question with the next two as the bare and the stemmed quote."""
+    v = _t(spark, d, "embeddings")
+    at = lambda n, name: v.select((F.col("vec_id") - n).alias("case"), F.col("embedding").alias(name))
+    return D.stem_deltas(at(0, "query_vector").join(at(1, "bare_vector"), "case").join(at(2, "stem_vector"), "case")).select("case", "bare", "stemmed")
+
+
+@query("SELECT stem, chunk_id, fp, fn FROM (SELECT document_id AS stem, chunk_id, count_if(confidence < 0.8) AS fp, count_if(coalesce(description, '') = '') AS fn FROM sample_normalized_reqs WHERE document_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL) ORDER BY fp + fn DESC, stem, chunk_id LIMIT 10")
+def worst_chunks(spark, d):
+    """The ten chunks with the most doubtful or undescribed rows."""
+    r = reqs(spark, d).where("document_id is not null and chunk_id is not null")
+    return D.worst_chunks(r.groupBy(F.col("document_id").alias("stem"), "chunk_id").agg(F.count_if(F.col("confidence") < 0.8).alias("fp"), F.count_if(F.coalesce("description", F.lit("")) == "").alias("fn")))
+
+
+_MADE = "SELECT document_id AS stem, chunk_id, req_seq, source_quote FROM sample_normalized_reqs WHERE document_id < 'a' AND chunk_id IS NOT NULL AND source_quote IS NOT NULL"
+
+
+@query(f"WITH x AS ({_MADE}), q AS (SELECT stem, chunk_id, count(*) AS n, string_agg(CAST(length(source_quote) AS VARCHAR), ',' ORDER BY req_seq) AS lengths FROM x GROUP BY ALL) SELECT c.chunk_seq, CASE WHEN c.document_id NOT IN (SELECT stem FROM x) THEN 'missing_file' WHEN q.n IS NULL THEN 'empty_model_output' ELSE 'seeded' END AS outcome, coalesce(lengths, '') AS lengths FROM {_LATEST} c LEFT JOIN q ON q.stem = c.document_id AND q.chunk_id = c.chunk_id WHERE c.document_id IS NOT NULL AND c.chunk_id IS NOT NULL")
+def seeded_gold(spark, d):
+    """Chunks with what was extracted of them, for documents of which there is a run."""
+    x = reqs(spark, d).where("document_id < 'a' and chunk_id is not null and source_quote is not null").select(F.col("document_id").alias("stem"), "chunk_id", F.col("req_seq").alias("seq"), "source_quote")
+    g = C.latest_delivery(chunks(spark, d)).where("document_id is not null and chunk_id is not null").select("chunk_seq", F.col("document_id").alias("stem"), "chunk_id")
+    return D.seeded_gold(g, x, x).select("chunk_seq", "outcome", F.array_join(F.transform("quotes", lambda q: F.length(q).cast("string")), ",").alias("lengths"))
+
+
+_HAS = [f"CASE WHEN regexp_matches({{0}}, '\\b{v}\\b') THEN '{v}' END" for v in ("shall", "must", "will", "is required to")]
+_HELD = "list_filter([" + ", ".join(_HAS) + "], lambda v: v IS NOT NULL)"
+
+
+@query(f"SELECT req_seq, len(list_filter({_HELD.format(_norm('description'))}, lambda v: NOT list_contains({_HELD.format(_norm('source_quote'))}, v))) > 0 AS modality FROM sample_normalized_reqs WHERE source_quote IS NOT NULL AND description IS NOT NULL")
+def modality_flags(spark, d):
+    """Descriptions that hold an obligation word their quote does not."""
+    r = reqs(spark, d).where("source_quote is not null and description is not null")
+    return r.select("req_seq", D.modality_shaped(F.col("source_quote"), F.col("description"), ("shall", "must", "will", "is required to")).alias("modality"))
+
+
+@query()
+def harvest_router(spark, d):
+    """Rows by how their description relates to the quote, with a sample of the clean ones."""
+    return D.harvested(reqs(spark, d), ("shall", "must", "will", "is required to"), 500).select("req_seq", "route")
+
+
+# ---- index ------------------------------------------------------------------------
+_LAST_REQ = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY ingested_at DESC NULLS LAST, req_seq DESC) AS _n FROM sample_normalized_reqs WHERE requirement_id IS NOT NULL AND " + _strip("coalesce(source_quote, '')") + " <> '') WHERE _n = 1)"
+
+
+def _length_vector(text):
+    return F.array(F.length(text).cast("double"), F.lit(1.0))
+
+
+def _uuid_sql(x: str) -> str:
+    h = f"sha1(unhex('{I.URL_NAMESPACE}') || encode({x}))"
+    return f"substr({h},1,8)||'-'||substr({h},9,4)||'-5'||substr({h},14,3)||'-'||substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr({h},17,1)), 1)||substr({h},18,3)||'-'||substr({h},21,12)"
+
+
+@query(
+    f"""SELECT {_uuid_sql('requirement_id')} AS point_id, requirement_id, length({_strip('source_quote')}) + CASE WHEN {_strip("coalesce(source_ref, '')")} <> '' THEN 6 + length({_strip('source_ref')}) ELSE 0 END AS embedded_chars, coalesce(document_id, '') AS document_id, coalesce(source_ref, '') AS source_ref, array_to_string(coalesce(domain_tags, []), ',') AS tags, page_start,
+coalesce(confidence, 0.0) AS confidence, coalesce(domain_profile, 'cybersecurity') AS domain_profile, parent_section_ref, array_to_string(coalesce(child_section_refs, []), ',') AS children, 2 AS embedding_dim FROM {_LAST_REQ}"""
+)
+def requirement_points(spark, d):
+    """The points of requirements with their payload; the vector here is the length of the text."""
+    p = X.requirement_points(reqs(spark, d), I.URL_NAMESPACE, _length_vector, "lengths", ["ingested_at", "req_seq"])
+    return p.select("point_id", "requirement_id", p["dense"][0].cast("int").alias("embedded_chars"), "document_id", "source_ref", F.array_join("domain_tags", ",").alias("tags"), "page_start", "confidence", "domain_profile", "parent_section_ref", F.array_join("child_section_refs", ",").alias("children"), "embedding_dim")
+
+
+@query(f"SELECT {_uuid_sql('document_id || chr(58) || chunk_id')} AS point_id, document_id, chunk_id, least(length(coalesce(text, '')), 1500) AS embedded_chars, length(coalesce(text, '')) AS chars FROM {_LATEST} WHERE coalesce(document_id, '') <> '' AND chunk_id IS NOT NULL")
+def context_points(spark, d):
+    """The points of chunks: the whole text is kept, 1500 characters of it are embedded."""
+    p = X.context_points(chunks(spark, d), _length_vector, "lengths", ["ingested_at", "chunk_seq"])
+    return p.select("point_id", "document_id", "chunk_id", p["dense"][0].cast("int").alias("embedded_chars"), F.length("text").alias("chars"))
+
+
+# ---- what readers see ---------------------------------------------------------------
+_ITEMPATH = "SELECT document_id, chunk_id, bool_and(section_title_path IS NOT NULL AND " + _SKIP + ") AS every FROM sample_normalized_reqs GROUP BY ALL"
+
+
+@query(f"SELECT document_id, chunk_id FROM ({_ITEMPATH}) WHERE every")
+def skipped_chunks(spark, d):
+    """Chunks whose every row is under a skipped heading."""
+    return C.skipped_by_items(reqs(spark, d), SKIPS)
+
+
+@query("WITH f AS (SELECT document_id AS doc_key, arg_min(source_pdf, req_seq) AS source_pdf FROM sample_normalized_reqs WHERE run_timestamp LIKE '2025%' GROUP BY document_id) SELECT k.doc_key, coalesce(f.source_pdf, '') AS source_pdf, coalesce(nullif(f.source_pdf, ''), CASE WHEN ends_with(lower(k.doc_key), '.pdf') THEN k.doc_key ELSE k.doc_key || '.pdf' END) AS canonical FROM (SELECT DISTINCT document_id AS doc_key FROM sample_chunks) k LEFT JOIN f USING (doc_key)")
+def source_of_keys(spark, d):
+    """The file of each document's current run, and the name it goes by."""
+    r = reqs(spark, d).where("run_timestamp like '2025%'").withColumnRenamed("document_id", "doc_key").withColumn("run_dir", F.lit("r"))
+    s = V.source_of_keys(chunks(spark, d).select(F.col("document_id").alias("doc_key")), r, r.select("doc_key", "run_dir").distinct())
+    return s.withColumn("canonical", V.canonical_source(F.col("doc_key"), F.col("source_pdf")))
+
+
+@query("SELECT chunk_seq, CASE WHEN len(coalesce(section_title_path, [])) > 0 THEN array_to_string(section_title_path, ' › ') ELSE '—' END AS path, coalesce(CASE WHEN trim(source_pdf) <> '' THEN source_pdf END, document_id) AS name FROM sample_chunks")
+def shown_names(spark, d):
+    return chunks(spark, d).select("chunk_seq", V.shown_path(F.col("section_title_path")).alias("path"), V.shown_name(F.col("source_pdf"), F.col("document_id")).alias("name"))

@@ -53,6 +53,26 @@ def recover_json_array(raw: str | None) -> tuple[list | None, bool]:
     return (items, True) if items else (None, False)
 
 
+def recover_json_object(raw: str | None) -> dict | None:
+    """A fenced or plain object; else the one that starts at the first brace; a list of
+    one object counts as that object. Nothing is recovered of one that never closes."""
+    if raw is None:
+        return None
+    text = _FENCE.sub("", raw).strip()
+    for start in dict.fromkeys((0, text.find("{"))):
+        if start < 0:
+            continue
+        try:
+            value, _ = json.JSONDecoder().raw_decode(text[start:])
+        except ValueError:
+            continue
+        if isinstance(value, list) and len(value) == 1:
+            value = value[0]
+        if isinstance(value, dict):
+            return value
+    return None
+
+
 @F.pandas_udf(StructType([StructField("items", ArrayType(StringType())), StructField("recovered", BooleanType())]))
 def recover_json_array_udf(raw: pd.Series) -> pd.DataFrame:
     got = [recover_json_array(x) for x in raw]

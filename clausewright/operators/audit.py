@@ -60,14 +60,6 @@ def verdicts(chunks: DataFrame, by: str = "source_pdf") -> DataFrame:
     return g.select(by, "depth", "context", F.when(n == 3, "pass").when(n > 0, "partial").otherwise("fail").alias("verdict"))
 
 
-def misses(relevant: DataFrame, ranked: DataFrame, known: DataFrame, key: str, shown: int = 20, floor: float = 0.0) -> DataFrame:
-    """Why each relevant point was not shown, by the first rule that holds: not in the
-    corpus, never ranked, under the floor, ranked too low; shown points have no category."""
-    d = relevant.join(known.select(key).distinct().withColumn("in_corpus", F.lit(True)), key, "left").join(ranked.select("query_id", key, "rank", "score"), ["query_id", key], "left")
-    category = F.when(F.col("in_corpus").isNull(), "extraction").when(F.col("rank").isNull(), "embedding").when(F.col("score") < floor, "query-filter").when(F.col("rank") > shown, "ranking")
-    return d.select("query_id", key, category.alias("category"))
-
-
 def review_table(chunks: DataFrame, seeded: DataFrame, curated: DataFrame) -> DataFrame:
     """Chunks with what was seeded and curated for them, the curated first."""
     key = ["source_pdf", "chunk_id"]

@@ -47,3 +47,11 @@ def size_stats(chunks: DataFrame) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
     crumbs = F.size(F.coalesce("section_title_path", F.array())) > 0
     return chunks.agg(F.count("*").alias("chunks"), F.round(F.avg(n), 1).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.round(100 * F.avg(crumbs.cast("int")), 1).alias("breadcrumb_pct"))
+
+
+def skipped_by_items(items: DataFrame, skips: list[str], doc: str = "document_id", chunk: str = "chunk_id") -> DataFrame:
+    """(doc, chunk) of the chunks whose every body item is under a skipped heading. An
+    item whose ``section_title_path`` is null has no known ancestry and keeps its chunk;
+    a chunk without items is not among them."""
+    under = F.col("section_title_path").isNotNull() & T.in_skipped_section(F.col("section_title_path"), skips)
+    return items.groupBy(doc, chunk).agg(F.bool_and(under).alias("_all")).where("_all").drop("_all")

@@ -91,7 +91,7 @@ def stratified_sample(df: DataFrame, classes: str, tier: str, key: str, per_clas
 
 def proportional_sample(df: DataFrame, stratum: str, key: str, total: int, floor: int = 15, seed: str = "") -> DataFrame:
     """Each stratum its share of ``total``, at least ``floor``, at most all it has."""
-    n = F.broadcast(df.groupBy(stratum).agg(F.count("*").alias("_pop")))
+    n = df.groupBy(stratum).agg(F.count("*").alias("_pop"))
     d = df.join(n, stratum).crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))
     w = W.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key)
     return d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.greatest(F.lit(floor), F.round(F.lit(float(total)) * F.col("_pop") / F.col("_all")))).drop("_n", "_pop", "_all")

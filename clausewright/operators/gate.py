@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +55,23 @@ def gated(df: DataFrame, support: Column | None = None, least: float = 0.85) ->
     return df.withColumn("rejected_description", F.when(F.size("gate_errors") > 0, F.col("description"))).withColumn("description", F.when(F.size("gate_errors") > 0, "").otherwise(F.col("description")))
 
 
-def merged(fresh: DataFrame, cache: DataFrame, model: str, key: str = "requirement_id") -> DataFrame:
-    """Fresh rows with the cached description, tags and type of the same model, where
-    any of those is non-empty; ``enriched`` tells which. The rest is still to enrich."""
-    filled = (F.coalesce("description", F.lit("")) != "") | (F.size(F.coalesce("domain_tags", F.array())) > 0) | (F.coalesce("requirement_type", F.lit("")) != "")
-    c = cache.where(filled & (F.col("enrichment_model") == model)).dropDuplicates([key]).select(key, F.struct("description", "domain_tags", "requirement_type").alias("_c"))
-    d = fresh.join(c, key, "left").withColumn("enriched", F.col("_c").isNotNull())
-    for f in ("description", "domain_tags", "requirement_type"):
-        d = d.withColumn(f, F.when(F.col("enriched"), F.col(f"_c.{f}")).otherwise(F.col(f)))
-    return d.drop("_c")
+def with_support(df: DataFrame, scorer, name: str = "support") -> DataFrame:
+    """``support`` of each description by its quote, from a provider with
+    ``score(quotes, descriptions)`` for a batch; only descriptions that are there and not
+    a copy of the quote are scored, and a failing batch has no scores, so that then the
+    rule alone decides."""
+    q, d = F.coalesce("source_quote", F.lit("")), F.coalesce("description", F.lit(""))
+    asked = (d != "") & (T.normalize_text(d) != T.normalize_text(q))
+
+    @F.pandas_udf("double")
+    def score(quote: pd.Series, description: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(quote), dtype="float64")
+        at = description.notna()
+        if at.any():
+            try:
+                out[at] = [float(x) for x in scorer.score(list(quote[at]), list(description[at]))]
+            except Exception:
+                pass
+        return out
+
+    return df.withColumn(name, score(q, F.when(asked, d)))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -82,13 +86,15 @@ def validated(reqs: DataFrame) -> DataFrame:
     exact = F.position(q, t) > 0
     d = reqs.withColumn("_q", q).withColumn("_t", F.when(F.col("chunk_known") & ~exact & (q != ""), t)).withColumn("_in", F.when(F.col("chunk_known") & exact, F.lit(100.0)))
     d = d.withColumn("grounding_score", F.coalesce("_in", fuzzy.partial_ratio_udf("_q", "_t")))
-    d = d.withColumn("_echo", heading_echo_udf("_q", F.transform(F.coalesce("section_title_path", F.array().cast("array<string>")), T.normalize_text)))
+    headings = F.filter(F.transform(F.coalesce("section_title_path", F.array().cast("array<string>")), T.normalize_heading), lambda h: h != "")
+    d = d.withColumn("_echo", heading_echo_udf(T.normalize_heading(F.coalesce("source_quote", F.lit(""))), headings))
     return d.withColumn("error", first_error(F.col("grounding_score"), F.col("_echo"))).drop("_q", "_t", "_in", "_echo")
 
 
 @F.pandas_udf(DoubleType())
 def heading_echo_udf(quote: pd.Series, headings: pd.Series) -> pd.Series:
-    """The best ratio of a quote with one of its headings; lengths too far apart for 90 are passed over."""
+    """The best ratio of a quote with one of its headings, both in the form of
+    ``normalize_heading``; lengths too far apart for 90 are passed over."""
     out = []
     for q, hs in zip(quote, headings):
         near = [h for h in hs if q and h and min(len(q), len(h)) * 11 >= max(len(q), len(h)) * 9]
@@ -116,36 +122,68 @@ def pass1(df: DataFrame, tags: list[str], types: list[str]) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, doc: str = "document_id", seq: str = "req_seq") -> DataFrame:
-    """One row for each normalised (document, reference, quote): the most confident,
-    then the shortest quote, then the first."""
-    ref, quote = (T.normalize_text(F.coalesce(c, F.lit(""))) for c in ("source_ref", "source_quote"))
-    score = F.coalesce("confidence", F.lit(0.0)) * 1000 - F.length(F.coalesce("source_quote", F.lit("")))
-    return greatest_row(df, [doc, ref, quote], [score, -F.col(seq)])
+    """Records without descriptions (those of the first pass): one row for each
+    (document, reference, normalised quote), the most confident, then the shortest
+    quote, then the first. Blank quotes are no key and are out. Where descriptions are
+    filled, ``deduplicated_all`` goes by both keys."""
+    quote = T.normalize_text(F.col("source_quote"))
+    score = F.coalesce("confidence", F.lit(0.0)) * 1000 - F.length("source_quote")
+    return greatest_row(df.where(quote != ""), [doc, F.coalesce("source_ref", F.lit("")), quote], [score, -F.col(seq)])
 
 
-def fold_duplicates(df: DataFrame, doc: str = "document_id", seq: str = "req_seq", salt: int = 1) -> DataFrame:
+def fold_duplicates(df: DataFrame, doc: str = "document_id", seq: str = "req_seq") -> DataFrame:
     """(doc, source_ref, seq): the rows that survive the order-dependent fold in which a
     description key or else a quote key finds the earlier record. A match by
     description leaves the new quote unregistered, and a replaced record stays under
-    its other key, so two of a kind can survive. Keys never cross (document, reference)."""
+    its other key, so two of a kind can survive. Empty descriptions and quotes are no
+    keys (a row with neither is held under nothing and does not survive); keys never
+    cross (document, reference), and a null reference is an empty one.
+
+    A row that shares neither key with another meets no earlier record and survives as
+    it is; only rows with a shared key are replayed in order, each (document,
+    reference) as a stream of rows in one task.
+    """
     norm = lambda c: T.normalize_text(F.coalesce(c, F.lit("")))
-    d = df.select(doc, norm("source_ref").alias("ref"), F.col(seq).alias("seq"), norm("source_quote").alias("q"), norm("description").alias("d"), (F.coalesce("confidence", F.lit(0.0)) * 1000 - F.length(F.coalesce("source_quote", F.lit("")))).alias("score"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[tuple, tuple] = {}
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            by_d, by_q = ("d", row.d), ("q", row.q)
-            key = by_d if row.d and by_d in held else by_q if by_q in held else None
-            if key is None:
-                if row.d:
-                    held[by_d] = row
-                held[by_q] = row
-            elif row.score > held[key].score:
-                held[key] = row
-        keep = list(dict.fromkeys(r.seq for r in held.values()))
-        return pdf[pdf["seq"].isin(keep)][[doc, "ref", "seq"]]
-
-    return d.groupBy(doc, "ref").applyInPandas(fold, f"{doc} string, ref string, seq long")
+    score = F.coalesce("confidence", F.lit(0.0)) * 1000 - F.length(F.coalesce("source_quote", F.lit("")))
+    d = df.select(doc, F.coalesce("source_ref", F.lit("")).alias("ref"), F.col(seq).cast("long").alias("seq"), F.md5(F.nullif(norm("source_quote"), F.lit(""))).alias("q"), F.md5(F.nullif(norm("description"), F.lit(""))).alias("d"), score.alias("score"))
+    d = d.where("q is not null or d is not null")
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.count("*").over(W.partitionBy(doc, "ref", c)))
+    d = d.withColumns({"n_q": n("q"), "n_d": n("d")})
+    alone = (F.col("n_q") <= 1) & (F.col("n_d") <= 1)
+    out = d.where(alone).select(doc, "ref", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def survivors(group: tuple, held: dict) -> pa.RecordBatch:
+            seqs = list(dict.fromkeys(s for s, _ in held.values()))
+            n = len(seqs)
+            return pa.RecordBatch.from_arrays([pa.array([group[0]] * n, pa.string()), pa.array([group[1]] * n, pa.string()), pa.array(seqs, pa.int64())], [doc, "ref", "seq"])
+
+        group, held = None, {}
+        for b in batches:
+            for x, ref, s, q, de, v in zip(*(b.column(c).to_pylist() for c in (doc, "ref", "seq", "q", "d", "score"))):
+                if (x, ref) != group:
+                    if held:
+                        yield survivors(group, held)
+                    group, held = (x, ref), {}
+                key = ("d", de) if de and ("d", de) in held else ("q", q) if q and ("q", q) in held else None
+                if key is None:
+                    for k in (("d", de), ("q", q)):
+                        if k[1]:
+                            held[k] = (s, v)
+                elif v > held[key][1]:
+                    held[key] = (s, v)
+        if held:
+            yield survivors(group, held)
+
+    shared = d.where(~alone).select(doc, "ref", "seq", "q", "d", "score").repartition(doc, "ref").sortWithinPartitions(doc, "ref", "seq")
+    return out.unionByName(shared.mapInArrow(fold, f"{doc} string, ref string, seq long"))
+
+
+def deduplicated_all(df: DataFrame, doc: str = "document_id", seq: str = "req_seq") -> DataFrame:
+    """The whole rows that ``fold_duplicates`` keeps, by both keys; ``seq`` is unique in
+    each document."""
+    kept = fold_duplicates(df, doc, seq).select(F.col(doc).alias("_doc"), F.col("seq").alias("_seq")).distinct()
+    return df.join(kept, F.equal_null(F.col(doc), F.col("_doc")) & (F.col(seq) == F.col("_seq")), "left_semi")
 
 
 def stats(valid: DataFrame, failures: DataFrame, chunks: DataFrame) -> DataFrame:

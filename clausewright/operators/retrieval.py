@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ def resolve_sources(names: list[str], catalogue: DataFrame) -> tuple[DataFrame,
     rows = [(n, n + e, i) for n in names for i, e in enumerate(("", ".pdf", ".PDF")) if not (i and n.lower().endswith(".pdf"))]
     cand = spark.createDataFrame(rows, "name string, source_pdf string, rank int")
     known = catalogue.select("source_pdf").distinct()
-    hit = F.broadcast(cand).join(known, "source_pdf").groupBy("name").agg(F.min_by("source_pdf", "rank").alias("source_pdf"))
+    hit = cand.join(known, "source_pdf").groupBy("name").agg(F.min_by("source_pdf", "rank").alias("source_pdf"))
     return hit, cand.select("name").distinct().join(hit, "name", "left_anti")
 
 
@@ -47,19 +49,20 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def lexical_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, use_idf: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score) for every document with a query term. ``queries`` is
-    (query_id, query), a small table; its terms filter the documents before they are
-    counted, lengths and document frequencies cover all of them."""
+    (query_id, query); its terms filter the documents before they are counted, lengths
+    and document frequencies cover all of them. Joins are by term, and broadcast only
+    where the optimizer knows the side to be small."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = F.broadcast(q.select("term").distinct())
+    terms = q.select("term").distinct()
     tok = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
     size = tok.agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n_docs"))
     tf = tok.select(key, "dl", F.explode("t").alias("term")).join(terms, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.lit(1.0)
     if use_idf:
-        tf = tf.join(F.broadcast(tf.groupBy("term").agg(F.count("*").alias("df"))), "term")
+        tf = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
         weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    d = tf.crossJoin(F.broadcast(size)).withColumn("s", s).join(F.broadcast(q), "term")
+    d = tf.crossJoin(F.broadcast(size)).withColumn("s", s).join(q, "term")
     return d.groupBy("query_id", key).agg(F.round(F.sum("s"), 9).alias("score"))
 
 
@@ -71,9 +74,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """(query_id, key, score): the stated queries, a small broadcast table of
-    (query_id, query_vector), against every vector."""
-    return F.broadcast(queries).join(vectors).select("query_id", key, F.round(cosine(F.col("query_vector"), F.col(vector)), 9).alias("score"))
+    """(query_id, key, score) of every vector for (query_id, query_vector), one question
+    or a few; ``dense_top`` is for many."""
+    return queries.join(vectors).select("query_id", key, F.round(cosine(F.col("query_vector"), F.col(vector)), 9).alias("score"))
 
 
 def top(scores: DataFrame, n: int, key: str, by: str = "query_id") -> DataFrame:
@@ -82,6 +85,96 @@ def top(scores: DataFrame, n: int, key: str, by: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _grid(rows: DataFrame, queries: DataFrame, key: str, rows_a_block: int, queries_a_block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with the number of the cell they meet in: every block of rows with
+    every block of queries. Blocks are of constant size, so a task's work and memory do
+    not grow with either table."""
+    count = lambda d, c, size: max(1, -(-d.agg(F.approx_count_distinct(c)).first()[0] // size))
+    a, b = count(rows, key, rows_a_block), count(queries, "query_id", queries_a_block)
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    r = rows.withColumn("cell", F.explode(F.sequence(at(key, a) * b, at(key, a) * b + (b - 1))))
+    q = queries.withColumn("cell", F.explode(F.sequence(at("query_id", b), F.lit((a - 1) * b) + at("query_id", b), F.lit(b))))
+    return r, q
+
+
+def _best(score: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n greatest rounded scores, ties by key."""
+    if len(score) > n:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
+    else:
+        at = np.arange(len(score))
+    return at[np.lexsort((keys[at], -score[at]))][:n]
+
+
+def lexical_top(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int, use_idf: bool = True, k1: float = 1.2, b: float = 0.75, rows_a_block: int = 8192, queries_a_block: int = 1024) -> DataFrame:
+    """(query_id, key, score): the ``n`` best documents of each query, as ``lexical_scores``
+    would rank them, ties by key. The weight of each (document, term) is worked out once;
+    blocks of documents then meet blocks of queries, where the weights of a query's terms
+    are added up in an array, and only the best of a block leave it. ``key`` is a long."""
+    q = queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    tok = docs.select(F.col(key).cast("long").alias("k"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    size = tok.agg(F.avg("dl").alias("a"), F.count("*").alias("n")).first()
+    avgdl, n_docs = size["a"] or 1.0, size["n"]
+    tf = tok.select("k", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term").groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    weight = F.lit(1.0)
+    if use_idf:
+        tf = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
+        weight = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    r, q = _grid(tf.select("k", F.xxhash64("term").alias("term"), s.alias("s")), q.select("query_id", F.xxhash64("term").alias("term")), "k", rows_a_block, queries_a_block)
+
+    def cell(posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        keys, place = np.unique(posts["k"].to_numpy(), return_inverse=True)
+        term = posts["term"].to_numpy()
+        order = np.argsort(term, kind="stable")
+        place, s, term = place[order], posts["s"].to_numpy()[order], term[order]
+        asked = asked.sort_values(["query_id", "term"])
+        first, last = np.searchsorted(term, asked["term"], "left"), np.searchsorted(term, asked["term"], "right")
+        ids = asked["query_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)] if len(ids) else [0]
+        out, acc = [], np.zeros(len(keys))
+        for i, j in zip(cuts, cuts[1:]):
+            acc[:] = 0
+            for x, y in zip(first[i:j], last[i:j]):
+                acc[place[x:y]] += s[x:y]
+            at = np.flatnonzero(acc)
+            score = np.round(acc[at], 9)
+            best = _best(score, keys[at], n)
+            out.append(pd.DataFrame({"query_id": ids[i], "k": keys[at[best]], "score": score[best]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "k": [], "score": []})
+
+    got = r.groupBy("cell").cogroup(q.groupBy("cell")).applyInPandas(cell, "query_id long, k long, score double")
+    return top(got.withColumnRenamed("k", key), n, key).drop("rank")
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, n: int, rows_a_block: int = 16384, queries_a_block: int = 1024) -> DataFrame:
+    """(query_id, key, score): the ``n`` nearest vectors of each of (query_id,
+    query_vector) by cosine, ties by key: matrix products of blocks. Null vectors, and
+    those without length, score 0 against all. ``key`` is a long."""
+    v = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.select(F.col("query_id").cast("long"), F.col("query_vector").cast("array<double>").alias("v"))
+    r, q = _grid(v, q, "k", rows_a_block, queries_a_block)
+
+    def unit(x: pd.Series, size: int) -> np.ndarray:
+        m = np.array([np.zeros(size) if e is None else e for e in x], float).reshape(len(x), size)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        size = next((len(e) for x in (rows["v"], asked["v"]) for e in x if e is not None), 1)
+        keys, m = rows["k"].to_numpy(), unit(rows["v"], size).T
+        out, ids = [], asked["query_id"].to_numpy()
+        for i in range(0, len(asked), 256):
+            scores = np.round(unit(asked["v"].iloc[i : i + 256], size) @ m, 9)
+            for j, score in enumerate(scores, i):
+                best = _best(score, keys, n)
+                out.append(pd.DataFrame({"query_id": ids[j], "k": keys[best], "score": score[best]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "k": [], "score": []})
+
+    got = r.groupBy("cell").cogroup(q.groupBy("cell")).applyInPandas(cell, "query_id long, k long, score double")
+    return top(got.withColumnRenamed("k", key), n, key).drop("rank")
+
+
 def fused(legs: list[DataFrame], n: int, key: str, rrf_k: int = 2, rank_base: int = 0, min_score: float = 0.0, prefetch: int | None = None) -> DataFrame:
     """Reciprocal rank fusion: the sum over legs of 1 / (k + rank); a leg without the
     point adds nothing. The score floor applies after fusion, before the cut."""
@@ -92,8 +185,9 @@ def fused(legs: list[DataFrame], n: int, key: str, rrf_k: int = 2, rank_base: in
 
 
 def with_context(hits: DataFrame, chunks: DataFrame, window: int = 300) -> DataFrame:
-    """Hits with the text around their quote; without a chunk null."""
-    c = chunks.select("document_id", "chunk_id", F.col("text").alias("_t")).dropDuplicates(["document_id", "chunk_id"])
+    """Hits with the text around their quote; without a chunk null. Of a chunk given
+    twice the greatest text counts."""
+    c = greatest_row(chunks.select("document_id", "chunk_id", F.col("text").alias("_t")), ["document_id", "chunk_id"], [F.col("_t")])
     return hits.join(c, ["document_id", "chunk_id"], "left").withColumn("context_text", T.context_window(F.col("_t"), F.col("source_quote"), window)).drop("_t")
 
 
@@ -102,6 +196,13 @@ def latest_points(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
     return greatest_row(writes, [key], [F.col(c) for c in order])
 
 
+def warning_texts(models: list[str | None], expected: str, default: str = "nomic-embed-text") -> list[str]:
+    """One message if some shown results were indexed with another model, else none."""
+    other = [m or default for m in models if (m or default) != expected]
+    names = ", ".join(sorted(set(other)))
+    return [f"{len(other)} of {len(models)} results were indexed with another embedding model ({names}) than the configured one ({expected}) and may be unreliable; index again to refresh them"] if other else []
+
+
 def model_warnings(points: DataFrame, expected: str, default: str = "nomic-embed-text") -> DataFrame:
     """One row with the number of points of other models and those models."""
     m = F.coalesce("embedding_model", F.lit(default))

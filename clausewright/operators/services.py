@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,19 +13,74 @@ from ..functions import text as T
 from .pick import greatest_row
 
 
-def cross_matches(reqs: DataFrame, targets: DataFrame, key: str = "req_seq") -> DataFrame:
+#: What a control id looks like.
+CONTROL_ID = re.compile(r"[A-Z]{1,4}-\d+(?:\([0-9a-z]+\))*$", re.I)
+
+
+def cross_matches(reqs: DataFrame, targets: DataFrame, key: str = "req_seq", most: int | None = None) -> DataFrame:
     """For each target (key, source_ref, source_pdf): the first requirement of every
-    other document with the same reference; rows without document are all kept."""
+    other document with the same reference; rows without document are all kept. Only the
+    first row of each (reference, document) meets the targets, whatever number of rows
+    share them; with ``most``, only the first so many of a reference by key."""
     t = targets.select(F.col(key).alias("target"), "source_ref", F.col("source_pdf").alias("_own")).where("source_ref <> ''")
-    m = reqs.join(t, "source_ref").where((F.col(key) != F.col("target")) & ~F.equal_null(F.col("source_pdf"), F.col("_own")) | F.col("source_pdf").isNull() & (F.col(key) != F.col("target")))
-    w = W.partitionBy("target", "source_pdf").orderBy(key)
-    return m.withColumn("_n", F.row_number().over(w)).where("_n = 1 or source_pdf is null").drop("_n", "_own")
+    cols = reqs.columns
+    row = F.struct(*(F.col(c) for c in cols))
+    if most is not None:
+        w = W.partitionBy("source_ref").orderBy(key)
+        reqs = reqs.join(t.select("source_ref").distinct(), "source_ref", "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    named = reqs.where("source_ref <> '' and source_pdf is not null").groupBy("source_ref", "source_pdf").agg(F.min_by(row, key).alias("_r")).select("_r.*")
+    m = named.join(t, "source_ref").where((F.col(key) != F.col("target")) & ~F.equal_null(F.col("source_pdf"), F.col("_own")))
+    free = reqs.where("source_ref <> '' and source_pdf is null").join(t, "source_ref").where(F.col(key) != F.col("target"))
+    return m.unionByName(free).drop("_own")
 
 
 def is_control_id(x: Column) -> Column:
     return T.stripped(x).rlike(r"^(?i)[A-Z]{1,4}-\d+(\([0-9a-z]+\))*$")
 
 
+def with_pdf(name: str) -> str:
+    return name if name.lower().endswith(".pdf") else name + ".pdf"
+
+
+def canonical_source(doc_key: Column, resolved: Column) -> Column:
+    """The resolved file, else the name itself if it is one, else the name with .pdf."""
+    return F.coalesce(F.nullif(resolved, F.lit("")), F.when(F.lower(doc_key).endswith(".pdf"), doc_key).otherwise(F.concat(doc_key, F.lit(".pdf"))))
+
+
+def source_of_keys(keys: DataFrame, reqs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_key, source_pdf): of each key the file its current run's first record names,
+    empty where there is none. ``runs`` is (doc_key, run_dir), ``reqs`` has run_dir and req_seq."""
+    first = reqs.join(runs.select("doc_key", "run_dir"), ["doc_key", "run_dir"]).groupBy("doc_key").agg(F.min_by("source_pdf", "req_seq").alias("source_pdf"))
+    return keys.select("doc_key").distinct().join(first, "doc_key", "left").select("doc_key", F.coalesce("source_pdf", F.lit("")).alias("source_pdf"))
+
+
+def shown_name(source_pdf: Column, doc_key: Column) -> Column:
+    return F.coalesce(F.nullif(F.when(T.stripped(source_pdf) != "", source_pdf), F.lit("")), doc_key)
+
+
+def shown_path(path: Column) -> Column:
+    """A section path for a reader, a dash for none."""
+    return F.when(F.size(F.coalesce(path, F.array().cast("array<string>"))) > 0, F.array_join(path, " › ")).otherwise("—")
+
+
+def filtered_names(docs: DataFrame, text: str) -> DataFrame:
+    """Documents whose file or key holds the text, whatever its case; all without text."""
+    return docs.where(F.lower(F.concat_ws(" ", F.coalesce("source_pdf", F.lit("")), "doc_key")).contains(text.strip().lower()))
+
+
+def sorted_documents(docs: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """By name, count or date, ties by name."""
+    c = {"name": F.lower(shown_name(F.col("source_pdf"), F.col("doc_key"))), "count": F.col("n_reqs"), "date": F.col("run_date")}[by]
+    return docs.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "doc_key")
+
+
+def public_group_keys(groups: DataFrame) -> DataFrame:
+    """Made-up keys of groups of one replaced by their representative's id; the labels
+    of such groups can repeat, so they would not do."""
+    made = F.col("group_key").startswith("__no_ref__") | F.col("group_key").startswith("__bare_fragment__")
+    return groups.withColumn("group_key", F.when(made, F.coalesce(F.nullif("requirement_id", F.lit("")), "group_key")).otherwise(F.col("group_key")))
+
+
 def compare_exact(reqs: DataFrame, ref: str, key: str = "req_seq") -> DataFrame:
     """Each document's most confident requirement with the reference, the first of equals."""
     return greatest_row(reqs.where(F.upper("source_ref") == ref.strip().upper()), ["source_pdf"], [F.col("confidence"), -F.col(key)])
@@ -88,3 +145,19 @@ def evidence_lines(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each hit as a numbered line for a prompt: description, else quote."""
     body = F.coalesce(F.nullif("description", F.lit("")), F.col("source_quote"))
     return hits.select(*by, "rank", F.format_string("[%d] %s (%s): %s", "rank", F.coalesce("source_ref", F.lit("-")), F.coalesce("source_pdf", F.lit("-")), body).alias("line"))
+
+
+def evidence_entries(hits: DataFrame) -> DataFrame:
+    """(rank, entry): each hit as a numbered block for a prompt, with what is known of its
+    place, the clause that governs it and the text around it."""
+    have = lambda c: F.col(c) if c in hits.columns else F.lit(None)
+    text = lambda c: F.coalesce(have(c).cast("string"), F.lit(""))
+    a, b = have("page_start").cast("int"), have("page_end").cast("int")
+    pages = F.when(F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)) == 0, "").when(a == b, F.format_string("p.%d", a)).otherwise(F.format_string("pp.%d-%d", a, b))
+    cite = F.array_join(F.filter(F.array(text("source_pdf"), text("source_ref"), pages), lambda x: x != ""), ", ")
+    tags = F.array_join(F.coalesce(have("domain_tags").cast("array<string>"), F.array().cast("array<string>")), ", ")
+    more = [F.when(text(c) != "", F.concat(F.lit(f"\n    {label}: "), text(c))).otherwise("") for c, label in (("parent_stem", "Governing clause"), ("context_text", "Context"))]
+    body = F.coalesce(F.nullif(text("description"), F.lit("")), text("source_quote"))
+    kind = F.coalesce(have("requirement_type").cast("string"), F.lit("unknown"))
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), cite, F.lit(")\n    Type: "), kind, F.lit("\n    Tags: "), tags)
+    return hits.select("rank", F.concat(head, F.lit("\n    Requirement: "), body, F.lit("\n    Quote: "), text("source_quote"), *more).alias("entry"))

@@ -45,15 +45,64 @@ def to_markdown(items: DataFrame, title: str) -> str:
     return "\n".join([f"# {title}\n", *(r[0] for r in items.select(body).toLocalIterator())])
 
 
+# Columns of the workbook (heading, item field, width, wrapped), the groups above them, the states of an item.
+SHEET = (
+    ("Ref", "source_ref", 14, False), ("Section", "section_title_path", 28, False), ("Pages", "pages", 9, False), ("Source Quote", "source_quote", 36, True),
+    ("Audit Question", "audit_question", 22, True), ("Status", "status", 15, False), ("Notes", "assessor_notes", 22, True), ("Flag", "requires_human_review", 8, False),
+    ("Reasons", "review_reasons", 22, False), ("Conf.", "confidence", 7, False), ("Item ID", "item_id", 26, False), ("Req IDs", "requirement_id", 20, False), ("Tags", "domain_tags", 20, False),
+)
+GROUPS = (("Locate", 1, 3), ("Ask", 4, 5), ("Record", 6, 7), ("Verify", 8, 10), ("Trace", 11, 13))
+STATES = ("not-started", "in-progress", "compliant", "non-compliant", "not-applicable")
+
+
+def sheet_rows(items: DataFrame) -> list[tuple[list, bool]]:
+    """(values, flagged) of each row of the workbook, one document's checklist. Fields
+    that only an assessor fills are empty, the state is the first."""
+    given = {"audit_question": "", "status": STATES[0], "assessor_notes": ""}
+    items = items.withColumns({c: F.lit(v) for c, v in given.items() if c not in items.columns})
+    out = []
+    for r in csv_columns(items).toLocalIterator():
+        flagged = bool(r["requires_human_review"])
+        row = [r[f] for _, f, _, _ in SHEET]
+        row[7], row[9] = "Yes" if flagged else "No", r["confidence"] or 0.0
+        out.append((["" if v is None else v for v in row], flagged))
+    return out
+
+
 def to_xlsx(items: DataFrame, path: str) -> None:
+    """A workbook of two header rows, frozen below them and after the first group, with
+    a list of states to choose from, flagged rows tinted and confidence in per cent."""
     try:
         from openpyxl import Workbook
+        from openpyxl.styles import Alignment, Font, PatternFill
+        from openpyxl.utils import get_column_letter
+        from openpyxl.worksheet.datavalidation import DataValidation
     except ImportError as e:
         raise RuntimeError("writing XLSX needs the optional library openpyxl") from e
     book = Workbook()
-    sheet = book.active
-    sheet.append(list(COLUMNS))
-    for r in csv_columns(items).select(*COLUMNS).toLocalIterator():
-        sheet.append(list(r))
-    sheet.freeze_panes, sheet.auto_filter.ref = "D2", sheet.dimensions
+    sheet, last = book.active, get_column_letter(len(SHEET))
+    sheet.title = "Checklist"
+    bold, grey, amber = Font(bold=True, size=9), PatternFill("solid", fgColor="E2E8F0"), PatternFill("solid", fgColor="FFFBEB")
+    rows = sheet_rows(items)
+    for label, a, b in GROUPS:
+        sheet.cell(1, a, label).alignment = Alignment(horizontal="center")
+        sheet.merge_cells(start_row=1, end_row=1, start_column=a, end_column=b)
+    for i, (heading, _, width, _) in enumerate(SHEET, 1):
+        sheet.cell(2, i, heading)
+        sheet.column_dimensions[get_column_letter(i)].width = width
+    for row in sheet[f"A1:{last}2"]:
+        for cell in row:
+            cell.font, cell.fill = bold, grey
+    for n, (values, flagged) in enumerate(rows, 3):
+        for i, v in enumerate(values, 1):
+            cell = sheet.cell(n, i, v)
+            cell.alignment = Alignment(vertical="top", wrap_text=SHEET[i - 1][3])
+            if flagged:
+                cell.fill = amber
+        sheet.cell(n, 10).number_format = "0%"
+    choice = DataValidation(type="list", formula1=f'"{",".join(STATES)}"', allow_blank=True)
+    sheet.add_data_validation(choice)
+    if rows:
+        choice.add(f"F3:F{len(rows) + 2}")
+    sheet.freeze_panes, sheet.auto_filter.ref = "D3", f"A2:{last}{len(rows) + 2}"
     book.save(path)

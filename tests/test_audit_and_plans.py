@@ -59,7 +59,7 @@ def test_trace_takes_every_stated_target(spark):
             if x == ref and k != t and (pdf is None or pdf != own):
                 first.setdefault(pdf if pdf is not None else k, (t, k, pdf))
         want |= set(first.values())
-    got = {tuple(r) for r in catalogue.QUERIES["trace_cross_matches_stated"](spark, DATA).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["trace_cross_matches"](spark, DATA).collect()}
     assert got == want and want
 
 
@@ -67,7 +67,7 @@ def test_searches_take_every_stated_query(spark):
     """Every row with a quote and a number divisible by 50 is a query, in the compare
     and evidence results too, and finds itself."""
     asked = {r[0] for r in catalogue.reqs(spark, DATA).where("req_seq % 50 = 0 and source_quote rlike '[A-Za-z0-9]'").select("req_seq").collect()}
-    for name in ("bm25_tf_stated", "bm25_idf_stated", "filtered_search_stated", "compare_semantic_stated", "evidence_groups_stated", "evidence_prompt_stated"):
+    for name in ("bm25_tf_topk", "bm25_idf_topk", "filtered_search", "compare_semantic", "evidence_groups", "evidence_prompt"):
         got = catalogue.QUERIES[name](spark, DATA)
         assert {r[0] for r in got.select("query_id").distinct().collect()} == asked and len(asked) > 4, name
         if name.startswith("bm25"):
