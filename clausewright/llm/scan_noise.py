@@ -51,8 +51,9 @@ _LIST_LINE = re.compile(r"\s*(?:\(?\w{1,4}[.)]|[•*–-])\s|\s*\d+(?:\.\d+)*\.?
 _ITEM = re.compile(r"\s*\(([a-z0-9])\)\s")
 _PAGE = r"(?:Page \d+(?: of \d+)?|p\. ?\d+|- ?\d+ ?-|\d+ ?\| ?P a g e|\[\d+\])"
 _BARE = re.compile(r"(?:\d{1,3}-)?(\d{1,4})")
-#: What can be a piece of a running head: a capital or digit first, no sign of a sentence, list or field.
-_PIECE = r"^(?=.*(?:[\p{L}\p{N}]\s+\S|\d))(?=.*\p{L})[\p{Lu}0-9][^:=|;]{0,99}(?<![.,!?¬\u00AD-])$"
+#: What can be a piece of a running head: a capital first, or a digit with a capital or
+#: digit in the last word too; no sign of a sentence, list or field.
+_PIECE = r"^(?=.*(?:[\p{L}\p{N}]\s+\S|\d))(?=.*\p{L})(?=\p{Lu}|[0-9].*(?:\s|^)[\p{Lu}0-9]\S*$)[\p{Lu}0-9][^:=|;]{0,99}(?<![.,!?¬\u00AD-])$"
 _SEPARATOR = "\x1f"
 
 
@@ -386,12 +387,13 @@ def publication(pdf: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(pdf, r"(?i)\.pdf$", ""), r"[\s_]+", " "))
 
 
-def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.002, doc_share: float = 0.01) -> tuple[DataFrame, list[str]]:
+def running_heads(values: DataFrame, manifest: DataFrame, value_share: float = 0.002, doc_share: float = 0.01) -> tuple[DataFrame, list[str]]:
     """(doc, heads) of each publication, the heads joined in one string, and the heads
     with digits of all publications.
 
     A piece is a whole line or a part between wider gaps. It is a head of its publication
-    if it is on two of its pages (``place``) and on ``page_share`` of them, and of all if it
+    if it is on two of its pages (``place``), and on ``value_share`` as many as there are
+    values with line ends, as lines of text meet by chance in many; and of all if it
     has digits and is a head of two publications and of ``doc_share`` of those that have
     heads; both shares bound what is kept. Titles of three words or more and keys come
     from the register.
@@ -403,8 +405,8 @@ def running_heads(values: DataFrame, manifest: DataFrame, page_share: float = 0.
     d = v.select("doc", "place", F.explode(F.concat(pieces, numbers)).alias("piece"))
     d = d.groupBy("doc", F.regexp_replace("piece", r"\d+", "#").alias("head"), "place").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"))
     d = staged(d.groupBy("doc", "head").agg(F.count("*").alias("n"), (F.min("lo") != F.max("hi")).alias("differs")), "pieces")
-    sizes = v.groupBy("doc").agg(F.approx_count_distinct("place").alias("places"))
-    own = d.where("n >= 2 and (differs or head not in ('#', '#-#'))").join(sizes, "doc").where(F.col("n") >= F.col("places") * page_share).select("doc", "head")
+    sizes = v.groupBy("doc").agg(F.count("*").alias("values"))
+    own = d.where("n >= 2 and (differs or head not in ('#', '#-#'))").join(sizes, "doc").where(F.col("n") >= F.col("values") * value_share).select("doc", "head")
     own = staged(own, "own")
     docs = own.select("doc").distinct().count()
     common = own.where(F.col("head").rlike(r"#.*\p{L}|\p{L}.*#")).groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, docs * doc_share))
