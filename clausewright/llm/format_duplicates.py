@@ -50,8 +50,9 @@ def field_labels(df: DataFrame, quote: str = "source_quote", share: float = 0.00
 
 
 def canonical_quote(quote: Column, labels: tuple[str, ...] = ()) -> Column:
-    """Case, white space, punctuation and symbols gone; the fields of a table row
-    (three or more labels followed by a sign) in one order."""
+    """Case, white space, punctuation and symbols gone; the parts of a table row (four or
+    more, each begun by a label before a sign, text before the first label being one
+    too) in one order."""
     q = _folded(quote)
     if not labels:
         return _bare(q)
