@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode defines it (Java's ``\s`` is ASCII only).
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
-# Heading prefixes and keywords, reference patterns, private-use ligatures.
+# Heading prefixes and keywords, reference patterns, private-use ligatures, dot leaders, list markers.
 _HEADING_PREFIX = r"^(?i:(?:appendix|attachment|annex|section|chapter|part|addendum|enclosure|exhibit)\s+[\w.-]+\s*[-–—:.]?\s*|\d+(?:\.\d+)*\.?\s+|[a-z]\.\s+)"
 _NUMBERED = r"^(?i:([a-z]?\d+(?:\.\d+)*))"
 _KEYWORD = r"^(?i:(section|enclosure|appendix|annex|attachment)\s+(\w+))"

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .requirements import is_dangling
 
+# First markers of a list, most words of a fragment.
+FIRST_MARKERS, FRAGMENT_WORDS = ("1", "a", "A", "i", "I"), 20
+
 
 def stem_of(x: Column) -> Column:
     """Through the first real colon; else nothing for list lines and text that ends a
@@ -23,14 +26,14 @@ def stem_of(x: Column) -> Column:
     )
 
 
-def is_candidate(quote: Column, most_words: int = 20) -> Column:
+def is_candidate(quote: Column, most_words: int = FRAGMENT_WORDS) -> Column:
     t = T.stripped(F.coalesce(quote, F.lit("")))
     return (t != "") & (t.rlike(T.LIST_MARKER) | (T.word_count(t) <= most_words) | is_dangling(t))
 
 
 def opens_list(quote: Column) -> Column:
     """The marker is a sequence's first, which continues nothing above."""
-    return F.regexp_extract(T.stripped(quote), r"^\(?([a-zA-Z0-9]{1,3})[.)]\s", 1).isin("1", "a", "A", "i", "I")
+    return F.regexp_extract(T.stripped(quote), r"^\(?([a-zA-Z0-9]{1,3})[.)]\s", 1).isin(*FIRST_MARKERS)
 
 
 def with_stems(reqs: DataFrame, chunks: DataFrame, seq: str = "req_seq") -> DataFrame:
