@@ -2,7 +2,8 @@
 
 A row is a sentence with slots; {person}, {phone}, {email}, {id} and {addr} are mentions,
 {num} and {cap} are numbers and capitalised names that are none. Slots are filled from
-seeded generators, so the table stays small and no name of any corpus is in it.
+seeded generators, so the table stays small and no name of any corpus is in it. A row
+given more than once weighs as much more.
 """
 
 from __future__ import annotations
