@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..operators.staging import shared_dir, staged  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one of this
-    machine, and only if this machine runs all tasks: on a cluster executors would write
-    to disks of their own, so there it is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="clausewright-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return f"file://{_OWN[app]}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again: lineage ends
-    here, and a lost executor costs no recomputation. The table is deleted when the
-    application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.option("compression", "zstd").parquet(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull())

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import lexical
+from .lexical import greatest
 from .pick import greatest_row
 
 
@@ -97,54 +99,14 @@ def _grid(rows: DataFrame, queries: DataFrame, key: str, rows_a_block: int, quer
     return r, q
 
 
-def _best(score: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n greatest rounded scores, ties by key."""
-    if len(score) > n:
-        at = np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n])
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((keys[at], -score[at]))][:n]
-
-
-def lexical_top(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int, use_idf: bool = True, k1: float = 1.2, b: float = 0.75, rows_a_block: int = 8192, queries_a_block: int = 1024) -> DataFrame:
+def lexical_top(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int, use_idf: bool = True, k1: float = 1.2, b: float = 0.75, rows_a_block: int = 131072, queries_a_block: int = 1024) -> DataFrame:
     """(query_id, key, score): the ``n`` best documents of each query, as ``lexical_scores``
-    would rank them, ties by key. The weight of each (document, term) is worked out once;
-    blocks of documents then meet blocks of queries, where the weights of a query's terms
-    are added up in an array, and only the best of a block leave it. ``key`` is a long."""
-    q = queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    tok = docs.select(F.col(key).cast("long").alias("k"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    size = tok.agg(F.avg("dl").alias("a"), F.count("*").alias("n")).first()
-    avgdl, n_docs = size["a"] or 1.0, size["n"]
-    tf = tok.select("k", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term").groupBy("k", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    weight = F.lit(1.0)
-    if use_idf:
-        tf = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
-        weight = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    r, q = _grid(tf.select("k", F.xxhash64("term").alias("term"), s.alias("s")), q.select("query_id", F.xxhash64("term").alias("term")), "k", rows_a_block, queries_a_block)
-
-    def cell(posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        keys, place = np.unique(posts["k"].to_numpy(), return_inverse=True)
-        term = posts["term"].to_numpy()
-        order = np.argsort(term, kind="stable")
-        place, s, term = place[order], posts["s"].to_numpy()[order], term[order]
-        asked = asked.sort_values(["query_id", "term"])
-        first, last = np.searchsorted(term, asked["term"], "left"), np.searchsorted(term, asked["term"], "right")
-        ids = asked["query_id"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)] if len(ids) else [0]
-        out, acc = [], np.zeros(len(keys))
-        for i, j in zip(cuts, cuts[1:]):
-            acc[:] = 0
-            for x, y in zip(first[i:j], last[i:j]):
-                acc[place[x:y]] += s[x:y]
-            at = np.flatnonzero(acc)
-            score = np.round(acc[at], 9)
-            best = _best(score, keys[at], n)
-            out.append(pd.DataFrame({"query_id": ids[i], "k": keys[at[best]], "score": score[best]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "k": [], "score": []})
-
-    got = r.groupBy("cell").cogroup(q.groupBy("cell")).applyInPandas(cell, "query_id long, k long, score double")
-    return top(got.withColumnRenamed("k", key), n, key).drop("rank")
+    would rank them, ties by key. The postings are staged once and read by every task, which
+    holds a block of queries and one of documents, so nothing is copied for either; only
+    documents that can't be among the best are left unscored. ``key`` is a long."""
+    d = docs.select(F.col(key).cast("long").alias("k"), tokens(F.col(text)).alias("t"))
+    q = queries.select(F.col("query_id").cast("long"), tokens(F.col("query")).alias("t"))
+    return lexical.search(d, q, n, use_idf, k1, b, rows_a_block, queries_a_block).withColumnRenamed("k", key)
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, n: int, rows_a_block: int = 16384, queries_a_block: int = 1024) -> DataFrame:
@@ -167,7 +129,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, key: str, vector: str, n:
         for i in range(0, len(asked), 256):
             scores = np.round(unit(asked["v"].iloc[i : i + 256], size) @ m, 9)
             for j, score in enumerate(scores, i):
-                best = _best(score, keys, n)
+                best = greatest(score, keys, n)
                 out.append(pd.DataFrame({"query_id": ids[j], "k": keys[best], "score": score[best]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "k": [], "score": []})
 
