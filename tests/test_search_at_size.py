@@ -8,7 +8,7 @@ from clausewright import catalogue
 from clausewright.operators import retrieval as R
 
 #: Queries that rank all rows by the lexical search.
-SEARCHES = ["bm25_tf_topk"]
+SEARCHES = ["bm25_tf_topk", "hybrid_rrf_hyde"]
 
 
 def _shuffled(spark):
@@ -23,6 +23,8 @@ def folder(spark, tmp_path_factory):
     rows = [(i * 25, " ".join(r.choice(words, 20)), f"R-{i % 9}", f"{i % 5}.pdf", "", 0.5) for i in range(3000)]
     d = spark.createDataFrame(rows, "req_seq long, source_quote string, source_ref string, source_pdf string, description string, confidence double")
     d.withColumns({"section_ref_path": F.array(F.lit("1")), "parent_section_ref": F.lit("1")}).repartition(3).write.parquet(f"{at}/sample_normalized_reqs.parquet")
+    v = [(i * 25, [float(x) for x in r.integers(-3, 4, 4)]) for i in range(600)]
+    spark.createDataFrame(v, "vec_id long, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
