@@ -8,7 +8,7 @@ from clausewright import catalogue
 from clausewright.operators import retrieval as R
 
 #: Queries that rank all rows by the lexical search.
-SEARCHES = ["bm25_tf_topk", "hybrid_rrf_hyde", "evidence_prompt", "hybrid_rrf", "bm25_idf_topk", "compare_semantic"]
+SEARCHES = ["bm25_tf_topk", "evidence_groups", "hybrid_rrf_hyde", "evidence_prompt", "hybrid_rrf", "bm25_idf_topk", "compare_semantic"]
 
 
 def _shuffled(spark):
