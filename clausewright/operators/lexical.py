@@ -23,6 +23,9 @@ from .staging import staged
 #: Scores are rounded to nine digits, so a bound this much under the least kept one is safe.
 _SLACK = 1e-6
 _POSTINGS = 4_000_000
+#: The most frequent terms of a block, so many, have a value for each document, and are
+#: added for so many queries at once.
+_WIDE, _AT_ONCE = 64, 64
 
 
 def _place(df: DataFrame) -> str:
@@ -60,32 +63,43 @@ def _counted(place: str):
         terms, _ = _vocabulary(place)
         for b in batches:
             row, term, n = _numbers(b["t"], terms)
-            ends = pa.array(np.searchsorted(row, np.arange(len(b) + 1)), "int32")
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, "int32")) for x in (term, n)]
+            ends = np.searchsorted(row, np.arange(len(b) + 1))
+            lists = [pa.Array.from_buffers(pa.binary(), len(b), [None, pa.array(ends * 4, "int32").buffers()[1], pa.py_buffer(x.astype("int32"))]) for x in (term, n)]
             yield pa.RecordBatch.from_arrays([b["k"], b["dl"], *lists], ["k", "dl", "terms", "tfs"])
 
     return f
 
 
+def _ints(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(how many in each row, all of them) of numbers kept as bytes."""
+    at = np.frombuffer(x.buffers()[1], "int32", len(x) + 1, x.offset * 4)
+    return np.diff(at) // 4, np.frombuffer(x.buffers()[2], "int32", (at[-1] - at[0]) // 4, at[0])
+
+
 class _Block:
-    """Postings of some documents, by document and by term."""
+    """Postings of some documents, by document and by term; of the most frequent terms
+    a value for each document, so that a matrix product adds them for many queries."""
 
     def __init__(self, parts: list[pa.RecordBatch], weight: np.ndarray, avgdl: float, k1: float, b: float):
         col = lambda c: pa.chunked_array([p[c] for p in parts]).combine_chunks()
-        terms = col("terms")
-        size = terms.value_lengths().to_numpy()
+        size, self.term = _ints(col("terms"))
         self.keys, self.first = col("k").to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
-        self.term, tf, dl = terms.flatten().to_numpy(), col("tfs").flatten().to_numpy(), np.repeat(col("dl").to_numpy(), size)
-        self.s = weight[self.term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        tf, dl = _ints(col("tfs"))[1], np.repeat(k1 * (1 - b + b * col("dl").to_numpy() / avgdl), size)
+        self.s = weight[self.term] * tf * (k1 + 1) / (tf + dl)
         order = np.argsort(self.term.astype("uint16") if len(weight) < 1 << 16 else self.term, kind="stable")
-        self.doc, self.by_term = np.repeat(np.arange(len(size), dtype="int32"), size)[order], self.s[order]
+        self.doc, self.by_term = np.repeat(np.arange(len(size), dtype="int32"), size)[order], self.s.astype("float32")[order]
         self.n = np.bincount(self.term, minlength=len(weight))
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.most = np.zeros(len(weight))
         used = np.flatnonzero(self.n)
         if len(used):
             self.most[used] = np.maximum.reduceat(self.by_term, self.at[used])
-        self.acc = np.zeros(len(size))
+        wide = np.flatnonzero(self.n > len(size) // 32)
+        wide = wide[np.argsort(-self.n[wide], kind="stable")][:_WIDE]
+        self.column, self.wide = np.full(len(weight), -1), np.zeros((len(wide), len(size)), "float32")
+        self.column[wide] = np.arange(len(wide))
+        for x, t in zip(self.wide, wide):
+            x[self.doc[self.at[t] : self.at[t + 1]]] = self.by_term[self.at[t] : self.at[t + 1]]
 
     def scores(self, docs: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Of some documents, with the terms always added in their order."""
@@ -94,30 +108,26 @@ class _Block:
         at = np.arange(end[-1]) + np.repeat(self.first[docs] - end + size, size)
         return np.round(np.bincount(np.repeat(np.arange(len(docs)), size), self.s[at] * asked[self.term[at]], len(docs)), 9)
 
-    def candidates(self, terms: np.ndarray, n: int, floor: float) -> np.ndarray:
-        """Documents that may score ``floor`` or be among the ``n`` best. Terms are added
-        from the rarest on; once those left can't reach the floor together, a document
-        that has none of the terms before is out."""
-        terms = terms[self.n[terms] > 0]
-        terms = terms[np.argsort(self.n[terms], kind="stable")]
-        left = np.concatenate([np.cumsum(self.most[terms][::-1])[::-1], [0.0]])
-        acc, i, unset = self.acc, 0, floor <= 0
-        while i < len(terms) and left[i] >= floor - _SLACK:
-            x, y = self.at[terms[i]], self.at[terms[i] + 1]
-            acc[self.doc[x:y]] += self.by_term[x:y]
-            i += 1
-            if unset and i < len(terms) and i % 4 == 0 and len(acc) > n:
-                floor = max(floor, np.partition(acc, len(acc) - n)[len(acc) - n])  # a part of a score is a lower bound of it
-        docs = np.flatnonzero(acc >= max(floor - _SLACK - left[i], 1e-300))
-        while i < len(terms) and len(docs) * 25 > self.n[terms[i]]:  # cheaper than to score them all
-            x, y = self.at[terms[i]], self.at[terms[i] + 1]
-            acc[self.doc[x:y]] += self.by_term[x:y]
-            i += 1
-            docs = docs[acc[docs] >= floor - _SLACK - left[i]]
+    def begun(self, asked: list[np.ndarray]) -> np.ndarray:
+        """What the frequent terms of each query add to each document."""
+        some = np.zeros((len(asked), len(self.wide)), "float32")
+        for x, terms in zip(some, asked):
+            at = self.column[terms]
+            x[at[at >= 0]] = 1
+        return some @ self.wide
+
+    def candidates(self, acc: np.ndarray, terms: np.ndarray, n: int, floor: float) -> np.ndarray:
+        """Documents that may score ``floor`` or be among the ``n`` best, ``acc`` being what
+        ``begun`` has of the query."""
+        slack = _SLACK + 1.2e-7 * (len(terms) + 2) * self.most[terms].sum()  # with what sums of floats of 32 bits can be off, twice
+        for t in terms[self.column[terms] < 0].tolist():
+            x, y = self.at[t], self.at[t + 1]
+            if x < y:
+                acc[self.doc[x:y]] += self.by_term[x:y]
+        docs = np.flatnonzero(acc >= max(floor - slack, 1e-37))
         if len(docs) > n:
             part = acc[docs]
-            docs = docs[part >= np.partition(part, len(part) - n)[len(part) - n] - _SLACK - left[i]]
-        acc[:] = 0
+            docs = docs[part >= float(np.partition(part, len(part) - n)[len(part) - n]) - slack]
         return docs
 
 
@@ -130,7 +140,7 @@ def _blocks(place: str, rows: int, *how) -> Iterator[_Block]:
             yield _Block(parts, *how)
             parts, n, size, most = [], 0, 0, min(rows, most * 4)
         if len(b):
-            parts, n, size = [*parts, b], n + len(b), size + len(b["terms"].flatten())
+            parts, n, size = [*parts, b], n + len(b), size + len(_ints(b["terms"])[1])
     if parts:
         yield _Block(parts, *how)
 
@@ -156,18 +166,20 @@ def _searched(words: str, posts: str, n: int, use_idf: bool, n_docs: int, avgdl:
                     asked[q] = np.union1d(asked[q], term[i:j]) if q in asked else term[i:j]
         none = (np.zeros(0), np.zeros(0, "int64"))
         best = dict.fromkeys(asked, none)
-        mask = np.zeros(len(terms))
+        mask, order = np.zeros(len(terms)), list(asked)
         for block in _blocks(posts, rows, weight, avgdl, k1, b) if asked else ():
-            for q, t in asked.items():
-                score, keys = best[q]
-                docs = block.candidates(t, n, score[-1] if len(score) == n else 0.0)
-                if not len(docs):
-                    continue
-                mask[t] = 1
-                score, keys = np.concatenate([score, block.scores(docs, mask)]), np.concatenate([keys, block.keys[docs]])
-                mask[t] = 0
-                at = greatest(score, keys, n)
-                best[q] = score[at], keys[at]
+            for i in range(0, len(asked), _AT_ONCE):
+                some = order[i : i + _AT_ONCE]
+                for q, acc in zip(some, block.begun([asked[q] for q in some])):
+                    (score, keys), t = best[q], asked[q]
+                    docs = block.candidates(acc, t, n, score[-1] if len(score) == n else 0.0)
+                    if not len(docs):
+                        continue
+                    mask[t] = 1
+                    score, keys = np.concatenate([score, block.scores(docs, mask)]), np.concatenate([keys, block.keys[docs]])
+                    mask[t] = 0
+                    at = greatest(score, keys, n)
+                    best[q] = score[at], keys[at]
         for q, (score, keys) in best.items():
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(keys), "int64"), pa.array(keys, "int64", from_pandas=True), pa.array(score)], ["query_id", "k", "score"])
@@ -186,7 +198,9 @@ def search(docs: DataFrame, queries: DataFrame, n: int, use_idf: bool, k1: float
     # counted before the join, so that what moves is a row a word and task
     df = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     words = _place(staged(df.join(queries.select(F.explode("t").alias("term")).distinct(), "term", "left_semi"), "words"))
-    posts = docs.select("k", "dl", "t").mapInArrow(_counted(words), "k long, dl int, terms array<int>, tfs array<int>").where(F.size("terms") > 0)
+    posts = docs.select("k", "dl", "t").mapInArrow(_counted(words), "k long, dl int, terms binary, tfs binary").where(F.length("terms") > 0)
     posts = _place(staged(posts, "posts"))
-    q = queries.repartition(max(1, -(-queries.count() // queries_a_block)), "query_id")
+    asked, cores = queries.count(), docs.sparkSession.sparkContext.defaultParallelism
+    few = min(cores, -(-asked * 4 // queries_a_block))  # smaller blocks only while cores are idle: each task reads all postings
+    q = queries.repartition(max(1, few, -(-asked // queries_a_block)), "query_id")
     return q.mapInArrow(_searched(words, posts, n, use_idf, size["n"], size["a"] or 1.0, k1, b, rows_a_block), "query_id long, k long, score double")

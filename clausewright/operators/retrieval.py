@@ -99,7 +99,7 @@ def _grid(rows: DataFrame, queries: DataFrame, key: str, rows_a_block: int, quer
     return r, q
 
 
-def lexical_top(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int, use_idf: bool = True, k1: float = 1.2, b: float = 0.75, rows_a_block: int = 131072, queries_a_block: int = 1024) -> DataFrame:
+def lexical_top(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int, use_idf: bool = True, k1: float = 1.2, b: float = 0.75, rows_a_block: int = 65536, queries_a_block: int = 2048) -> DataFrame:
     """(query_id, key, score): the ``n`` best documents of each query, as ``lexical_scores``
     would rank them, ties by key. The postings are staged once and read by every task, which
     holds a block of queries and one of documents, so nothing is copied for either; only

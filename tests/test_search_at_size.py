@@ -39,3 +39,25 @@ def test_blocks_of_a_search_are_not_copied(spark, folder, name, monkeypatch):
     want = catalogue.QUERIES[name](spark, folder).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert moved < 1.5 * (_shuffled(spark) - began)
+
+
+def test_a_task_reads_the_postings_for_many_queries(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}") for i in range(20)], "k long, text string")
+    asked = spark.range(20000).select(F.col("id").alias("query_id"), F.lit("w1 w2").alias("query"))
+    assert R.lexical_top(docs, asked, "k", "text", 3).rdd.getNumPartitions() == 10
+
+
+@pytest.mark.parametrize("use_idf", [True, False])
+def test_frequent_terms_rank_as_if_all_were_scored(spark, use_idf):
+    """Words in nearly all rows, in some and in few; many ties; blocks of every size."""
+    r = np.random.default_rng(3)
+    words, p = [f"w{i}" for i in range(200)], 1 / np.arange(1, 201)
+    rows = [(i, " ".join(r.choice(words, r.integers(1, 30), p=p / p.sum()))) for i in range(2500)]
+    docs = spark.createDataFrame(rows + rows[:5] + [(9000, ""), (9001, None)], "k long, text string").repartition(2)
+    asked = docs.where("k % 25 = 0 or k > 8000").dropDuplicates(["k"]).select(F.col("k").alias("query_id"), F.col("text").alias("query"))
+    want = R.top(R.lexical_scores(docs, asked, "k", "text", use_idf), 20, "k").collect()
+    near = lambda got: [(x["query_id"], x["rank"], round(x["score"], 6)) for x in sorted(got, key=lambda x: (x["query_id"], x["rank"]))]
+    for size in (65536, 700):
+        got = R.top(R.lexical_top(docs, asked, "k", "text", 20, use_idf, rows_a_block=size), 20, "k").collect()
+        assert near(got) == near(want)
+        assert len({(x["query_id"], x["k"]) for x in got} ^ {(x["query_id"], x["k"]) for x in want}) == 0
